@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe
+from notespan.llm import bpe, licences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licences": licences.op1_licences,
         "op5_bpe": bpe.op5_bpe,
     }
 
