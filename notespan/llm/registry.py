@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, licences, secrets
+from notespan.llm import bpe, decontamination, licences, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licences": licences.op1_licences,
         "op5_bpe": bpe.op5_bpe,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op10_secrets": secrets.op10_secrets,
     }
 
