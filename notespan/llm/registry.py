@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, decontamination, licences, secrets, substrings
+from notespan.llm import bpe, decontamination, jaccard, licences, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licences": licences.op1_licences,
         "op2_substrings": substrings.op2_substrings,
+        "op3_jaccard": jaccard.op3_jaccard,
         "op5_bpe": bpe.op5_bpe,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_secrets": secrets.op10_secrets,
