@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, decontamination, jaccard, licences, lm, secrets, substrings
+from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": substrings.op2_substrings,
         "op3_jaccard": jaccard.op3_jaccard,
         "op5_bpe": bpe.op5_bpe,
+        "op6_neighbours": neighbours.op6_neighbours,
         "op7_lm": lm.op7_lm,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_secrets": secrets.op10_secrets,
