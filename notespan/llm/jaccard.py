@@ -95,16 +95,34 @@ def nodes_of(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, mix(total + size.astype(np.uint64)).view(np.int64)
 
 
+def sketches(text: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set: how many elements fall in each of 2^k equal parts of the universe, about four in one, counted up to 255."""
+    parts = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1) / 4))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    cell = first[text] + ((mix(hashes ^ np.uint64(0x5EED)) >> np.uint64(32)) * parts[text].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=first[-1]), 255).astype(np.uint8).tobytes()
+    return [counts[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def differ_by(x: bytes, y: bytes) -> int:
+    """What two sets with these sketches differ by at least."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(a), len(b))
+    a, b = (np.minimum(v.reshape(n, -1).sum(axis=1), 255) for v in (a, b))
+    return int(np.abs(a - b).sum())
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles)."""
+    """doc_id, n_shingles, node (null without shingles) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in columns(batch, lower=True):
-                size, node = nodes_of(*sets(Words(data, bounds, WHITE)), len(bounds) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, len(size)), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0)], names=["doc_id", "n_shingles", "node"])
+                text, hashes = sets(Words(data, bounds, WHITE))
+                size, node = nodes_of(text, hashes, len(bounds) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, len(size)), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sketches(text, hashes, size), pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 ONE_LESS, TWICE, NEXT_BAND = 1, 2, 4
@@ -253,6 +271,24 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles binary")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of a, b those pairs that may link by their sizes and sketches; these never rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+            most = (n + m) * (100 - PERCENT) // (100 + PERCENT)
+            for i in np.flatnonzero(near).tolist():
+                near[i] = differ_by(batch.column("s")[i].as_py(), batch.column("t")[i].as_py()) <= most[i]
+            at = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    one = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     """Of a, b those pairs that link."""
 
@@ -261,9 +297,6 @@ def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 total = (len(x) + len(y)) // 8
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -276,19 +309,17 @@ def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     return pairs.join(small, "b").join(large, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b: links between nodes, enough to connect all that any links connect. sizes is sized(docs), kept."""
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: links between nodes, enough to connect all that any links connect. nodes: node, doc_id, n_shingles, sketch."""
     found = written(met(docs))
     shared = found.where(F.col("kind") == SHARED).select(F.col("x").alias("signature"), F.col("y").alias("node"), F.col("z").alias("band"))
     lost = found.where(F.col("kind").isin(LOST, SPARE)).groupBy("x", "y").agg(F.coalesce(F.sum(F.when(F.col("kind") == LOST, F.col("z"))), F.lit(0)).alias("lost"), F.min(F.when(F.col("kind") == SPARE, F.col("z"))).alias("spare"))
     over = lost.where("lost > spare").select(F.col("x").alias("node"), F.col("y").alias("band"))
-    own = shared.join(over, ["node", "band"]).select("signature", "node").distinct()
-    pairs = found.where(F.col("kind").isin(PAIR, STAR)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    own = written(shared.join(over, ["node", "band"]).select("signature", "node").distinct())
+    pairs = written(possible(found.where(F.col("kind").isin(PAIR, STAR)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), nodes))
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(own.select("node")).distinct()
-    one = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets_of = written(shingled(docs.join(one.join(used, "node").select("doc_id"), "doc_id")))
+    sets_of = written(shingled(docs.join(nodes.select("node", "doc_id").join(used, "node").select("doc_id"), "doc_id")))
     edges = written(linked(pairs, sets_of))
-    own = written(own)
     if own.isEmpty():
         return edges
     for turn in range(CENTRES + 1):
@@ -302,7 +333,7 @@ def links(docs: DataFrame, sizes: DataFrame) -> DataFrame:
         if turn < CENTRES:
             left = left.groupBy("signature").agg(F.min_by(F.struct("a", "ra"), F.xxhash64("a", F.lit(turn))).alias("c")).select("signature", "c.*")
         more = left.join(placed, "signature").where("root != ra" if turn < CENTRES else "root < ra").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        edges = written(edges.union(linked(more, sets_of)))
+        edges = written(edges.union(linked(possible(more, nodes), sets_of)))
     return edges
 
 
@@ -310,12 +341,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to): a row for every document."""
     own = documents(docs)
     sizes = written(sized(own))
-    roots = components(links(own, sizes))
-    first = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = named.where("node is not null").join(smallest, "root").select("node", "component_id")
-    return sizes.join(component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = written(sizes.where("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("first")).select("node", "first.*"))
+    roots = components(links(own, nodes))
+    named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = named.join(smallest, "root").select("node", "component_id")
+    return sizes.select("doc_id", "n_shingles", "node").join(component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
