@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, secrets, substrings
+from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, secrets, substrings, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_neighbours": neighbours.op6_neighbours,
         "op7_lm": lm.op7_lm,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_token_counts": token_counts.OP9_SQL,
+    }
