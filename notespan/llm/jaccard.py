@@ -37,8 +37,8 @@ from notespan.llm.substrings import FLUSH_BYTES, Blobs, joined
 WIDTH, PERCENT = 5, 80
 #: More different sets with one signature than this leave it out.
 FREQUENT = 12
-#: Rounds in which frequent groups compare with one centre, before all pairs not connected yet are.
-CENTRES = 3
+#: Sets that the others of a frequent group are compared with, before all pairs not connected yet are.
+CENTRES = 8
 TOP_SIZE = 1 << 40
 
 
@@ -96,8 +96,8 @@ def nodes_of(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketches(text: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each set: how many elements fall in each of 2^k equal parts of the universe, about four in one, counted up to 255."""
-    parts = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1) / 4))).astype(np.int64)
+    """For each set: how many elements fall in each of 2^k equal parts of the universe, about two in one, counted up to 255."""
+    parts = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1) / 2))).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])
     cell = first[text] + ((mix(hashes ^ np.uint64(0x5EED)) >> np.uint64(32)) * parts[text].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     counts = np.minimum(np.bincount(cell, minlength=first[-1]), 255).astype(np.uint8).tobytes()
@@ -320,23 +320,57 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(own.select("node")).distinct()
     sets_of = written(shingled(docs.join(nodes.select("node", "doc_id").join(used, "node").select("doc_id"), "doc_id")))
     edges = written(linked(pairs, sets_of))
-    if own.isEmpty():
-        return edges
-    for turn in range(CENTRES + 1):
+    for most in (CENTRES, None):
+        if own.isEmpty():
+            break
         roots = components(edges)
         placed = own.join(roots, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("signature")
-        placed = written(placed.join(open_, "signature"))
-        if placed.isEmpty():
-            break
-        left = placed.select("signature", F.col("node").alias("a"), F.col("root").alias("ra"))
-        if turn < CENTRES:
-            left = left.groupBy("signature").agg(F.min_by(F.struct("a", "ra"), F.xxhash64("a", F.lit(turn))).alias("c")).select("signature", "c.*")
-        more = left.join(placed, "signature").where("root != ra" if turn < CENTRES else "root < ra").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        edges = written(edges.union(linked(possible(more, nodes), sets_of)))
+        open_ = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("centre")).where("low < high").select("signature", "centre")
+        own = written(placed.join(open_, "signature"))
+        edges = written(edges.union(linked(unconnected(own, nodes, most), sets_of)))
+        own = own.select("signature", "node")
     return edges
 
 
+def unconnected(shared: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
+    """a, b: nodes with a signature in common and different roots that may link by their sketches.
+
+    shared: signature, centre (the least node with the signature), node, root. With most, only the pairs
+    of so many nodes of each centre, those that may link with the most others.
+    """
+
+    def compare(key: tuple, entries: pa.Table, members: pa.Table) -> pa.Table:
+        ids = members.column("member").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        n, root = (members.column(c).to_numpy()[order] for c in ("n_shingles", "root"))
+        counts = [np.frombuffer(x, np.uint8).astype(np.int16) for x in members.column("sketch").take(pa.array(order)).to_pylist()]
+        parts = min(map(len, counts))
+        folded = np.stack([np.minimum(c.reshape(parts, -1).sum(axis=1), 255).astype(np.int16) for c in counts])
+        _, signature = np.unique(entries.column("signature").to_numpy(), return_inverse=True)
+        has = np.zeros((len(ids), signature.max() + 1), np.float32)
+        has[np.searchsorted(ids, entries.column("node").to_numpy()), signature.ravel()] = 1
+        rows = [np.empty((2, 0), np.int64)]
+        allowed = np.zeros(len(ids), np.int64)
+        for turn in range(2 if most else 1):
+            chosen = np.argsort(-allowed, kind="stable")[:most] if turn else np.arange(len(ids))
+            for i in chosen.tolist():
+                others = np.flatnonzero(root != root[i])
+                others = others[has[others] @ has[i] > 0]
+                near = (n[others] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
+                others = others[np.abs(folded[others] - folded[i]).sum(axis=1, dtype=np.int64) <= near]
+                allowed[i] = len(others)
+                if turn or not most:
+                    rows.append(np.stack([np.full(len(others), i), others]))
+        pair = np.sort(ids[np.concatenate(rows, axis=1)], axis=0)
+        pair = np.unique(pair, axis=1)
+        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+
+    entries = shared.select("centre", "signature", "node")
+    members = shared.select(F.col("centre").alias("of"), F.col("node").alias("member"), F.col("root").alias("root")).distinct().join(nodes.select(F.col("node").alias("member"), "n_shingles", "sketch"), "member")
+    return entries.groupBy("centre").cogroup(members.groupBy("of")).applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to): a row for every document."""
     own = documents(docs)
