@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, secrets, substrings, token_counts
+from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, quality, secrets, substrings, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_licences": licences.op1_licences,
         "op2_substrings": substrings.op2_substrings,
         "op3_jaccard": jaccard.op3_jaccard,
+        "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
         "op6_neighbours": neighbours.op6_neighbours,
         "op7_lm": lm.op7_lm,
