@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views.
 
 One view is the text: shares of marks, digits, capitals, repeated lines and words, and which of the
-telling words a text has. The other is metadata: source, language and length. For each of two
+telling words a text has, beginnings of words included. The other is metadata: source, language and length. For each of two
 questions (low quality, toxic) each view has a logistic model. In rounds, each view labels those
 documents of an unlabelled pool that it is surest of, and the other view learns from them as well.
 Labelled documents that neither saw then calibrate both views and weigh them against each other,
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespan.llm.common import WHITE, Words, column_or_null, columns, ids_of, table
+from notespan.llm.common import WHITE, Words, byte_numbers, column_or_null, columns, ids_of, mix, table
 from notespan.llm.licences import BETWEEN
 
-LABELLED, POOL = 20_000, 10_000
+LABELLED, POOL = 15_000, 4_000
+#: Bytes of the beginnings of words that count as words too.
+BEGINNINGS = (4, 6)
 #: Telling words, documents that one must occur in, and standard errors that it must tell apart by.
-WORDS, LEAST_DOCUMENTS, LEAST_Z = 512, 8, 4.0
-ROUNDS, SURE, PER_ROUND = 3, 0.97, 500
+WORDS, LEAST_DOCUMENTS, LEAST_Z = 1024, 5, 3.5
+ROUNDS, SURE, PER_ROUND = 2, 0.97, 500
 REJECT = 0.5
 QUESTIONS = ["low", "toxic"]
 
@@ -40,10 +42,27 @@ MARKS = np.isin(np.arange(256), [*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
 PLAIN_MARKS = np.isin(np.arange(256), [*b".,'-"])
 CLASSES = [MARKS & ~PLAIN_MARKS, np.isin(np.arange(256), [*b"|"]), (np.arange(256) >= 48) & (np.arange(256) <= 57), (np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) == 10]
 STATS = len(CLASSES) + 5
+#: Leading features of the text view that are numbers.
+NUMBERS = STATS + 2 * len(QUESTIONS)
 SOURCES, LANGS, LENGTHS = 64, 16, 16
 META = SOURCES + LANGS + LENGTHS
 
 
+def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of what may tell: each word, and the beginnings of longer words."""
+    text, out = [words.text_of], [words.hash]
+    lens, total, at = words.end - words.start, np.zeros(len(words), np.uint64), 0
+    for n in BEGINNINGS:
+        own = np.flatnonzero(lens > n)
+        for k in range(at, n):
+            fits = np.flatnonzero(lens > k)
+            total[fits] += byte_numbers()[(k << 8) | words.data[words.start[fits] + k].astype(np.int64)]
+        at = n
+        text.append(words.text_of[own])
+        out.append(mix(total[own] ^ np.uint64(0xBE61 * n)))
+    return np.concatenate(text), np.concatenate(out)
+
+
 def different(words: Words) -> np.ndarray:
     """How many different words each text has."""
     text, h = words.text_of, words.hash
@@ -67,13 +86,22 @@ def text_features(data: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> tu
     letters = Words(low, bounds, BETWEEN)
     has = np.zeros((n, len(known)), bool)
     if len(known) and len(letters):
-        at = np.searchsorted(known, letters.hash)
+        text, h = terms(letters)
+        at = np.searchsorted(known, h)
         at[at == len(known)] = 0
-        hit = known[at] == letters.hash
-        has[letters.text_of[hit], at[hit]] = True
+        hit = known[at] == h
+        has[text[hit], at[hit]] = True
     return np.stack(stats, axis=1).astype(np.float32), has
 
 
+def view_of_text(stats: np.ndarray, has: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The text view: the numbers, for each question the largest and the sum of the log-odds of the words that a text has, and the words themselves."""
+    has = has.astype(np.float32)
+    none = np.zeros((len(has), 1), np.float32)
+    own = [x for o in odds for x in (np.concatenate([none, has * o], axis=1).max(axis=1), has @ np.maximum(o, 0))]
+    return np.concatenate([stats, np.minimum(np.stack(own, axis=1), 30), has], axis=1).astype(np.float32)
+
+
 def meta_features(source: np.ndarray, lang: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One-hot: hashed source, hashed language, and the length's power of two."""
     n = len(source)
@@ -101,7 +129,7 @@ class Logistic:
         return x @ self.weights + self.bias
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> Logistic:
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 200) -> Logistic:
     """Logistic regression by accelerated gradient steps; without both answers, a constant."""
     if not len(y) or y.min() == y.max():
         return Logistic(np.zeros(x.shape[1], np.float32), -20.0 if not len(y) or y.max() == 0 else 20.0)
@@ -134,13 +162,15 @@ class View:
         return np.clip(self.model.logit((x - self.mean) / self.scale), -15, 15)
 
 
-def view(x: np.ndarray, y: np.ndarray, dense: int) -> View:
-    """dense: how many leading features are numbers to be standardised; the rest are 0 or 1."""
+def view(x: np.ndarray, rows: np.ndarray, y: np.ndarray, dense: int) -> View:
+    """Fits the given rows. dense: how many leading features are numbers to be standardised; the rest are 0 or 1."""
     mean, scale = np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32)
-    if len(x):
-        mean[:dense] = x[:, :dense].mean(axis=0)
-        scale[:dense] = x[:, :dense].std(axis=0) + 1e-4
-    return View(mean, scale, fitted((x - mean) / scale, y))
+    own = x[rows]
+    if len(own):
+        mean[:dense] = own[:, :dense].mean(axis=0)
+        scale[:dense] = own[:, :dense].std(axis=0) + 1e-4
+        own[:, :dense] = (own[:, :dense] - mean[:dense]) / scale[:dense]
+    return View(mean, scale, fitted(own, y))
 
 
 @dataclass
@@ -163,10 +193,10 @@ def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarr
     """y: answers, with -1 for the pool. held: labelled rows that only calibrate."""
     labelled, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
     given = [np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)]  # rows and answers that each view got from the other
-    features, dense = (text, meta), (STATS, 0)
+    features, dense = (text, meta), (NUMBERS, 0)
     views: list[View] = []
     for turn in range(ROUNDS + 1):
-        views = [view(x[np.concatenate([labelled, g[0]])], np.concatenate([y[labelled], g[1]]).astype(np.float32), d) for x, g, d in zip(features, given, dense, strict=True)]
+        views = [view(x, np.concatenate([labelled, g[0]]), np.concatenate([y[labelled], g[1]]).astype(np.float32), d) for x, g, d in zip(features, given, dense, strict=True)]
         if turn == ROUNDS or not len(pool):
             break
         for k in (0, 1):
@@ -194,35 +224,41 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows_of(docs).join(F.broadcast(some.union(rest)), "doc_id")
 
 
-def telling_words(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words whose presence tells the answers of a question apart best."""
+def telling_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words whose presence tells the answers of a question apart best, and each question's log-odds of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in columns(batch, lower=True):
                 words = Words(data, bounds, BETWEEN)
-                pair = np.unique(np.stack([words.text_of.astype(np.uint64), words.hash], axis=1), axis=0)
-                h, back = np.unique(pair[:, 1], return_inverse=True)
-                doc = pair[:, 0].astype(np.int64)
+                text, h = terms(words)
+                order = np.lexsort((text, h))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+                doc, (h, back) = text[new], np.unique(h[new], return_inverse=True)
                 cols = [np.bincount(back.ravel(), ids_of(batch, part, q)[doc] if q else None, len(h)).astype(np.int64) for q in (None, *QUESTIONS)]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols)], names=["word", "n", *QUESTIONS])
 
     known = rows.where("low >= 0")
     counts = known.mapInArrow(count, "word long, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *QUESTIONS))).where(F.col("n") >= LEAST_DOCUMENTS)
     all_ = known.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(q), F.lit(0)).alias(q) for q in QUESTIONS)).first()
-    scores = []
+    scores, tells = [], []
     for q in QUESTIONS:
         yes, no = F.col(q), F.col("n") - F.col(q)
         odds = F.log((yes + 0.5) / (all_[q] + 1.0)) - F.log((no + 0.5) / (all_["n"] - all_[q] + 1.0))
+        tells.append(odds.alias(f"odds_{q}"))
         scores.append(F.abs(odds) / F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)))
-    best = counts.select("word", F.greatest(*scores).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()
-    return np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
+    best = counts.select("word", *tells, F.greatest(*scores).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    words = np.array([r["word"] for r in best], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([[r[f"odds_{q}"] for r in best] for q in QUESTIONS], np.float32).reshape(len(QUESTIONS), len(best))[:, order]
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[Judge]]:
-    """The telling words, and a judge for each question."""
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Judge]]:
+    """The telling words, their log-odds, and a judge for each question."""
     rows = sample(docs, labels)
-    known = telling_words(rows)
+    known, odds = telling_words(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +272,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[Judge]
     packed = rows.mapInArrow(pack, "doc_id long, low int, toxic int, stats binary, has binary, meta binary").orderBy("doc_id").collect()
     load = lambda name, kind: np.stack([np.frombuffer(r[name], kind) for r in packed]) if packed else np.empty((0, 0), kind)
     if not packed:
-        text, meta = np.empty((0, STATS + len(known)), np.float32), np.empty((0, META), np.float32)
+        text, meta = np.empty((0, NUMBERS + len(known)), np.float32), np.empty((0, META), np.float32)
     else:
         has = np.unpackbits(load("has", np.uint8), axis=1)[:, : len(known)] if len(known) else np.empty((len(packed), 0), np.uint8)
-        text = np.concatenate([load("stats", np.float32), has.astype(np.float32)], axis=1)
+        text = view_of_text(load("stats", np.float32), has, odds)
         meta = np.unpackbits(load("meta", np.uint8), axis=1)[:, :META].astype(np.float32)
     held = np.array([hash(r["doc_id"]) % 5 == 0 for r in packed], bool)
-    return known, [co_trained(text, meta, np.array([r[q] for r in packed], np.int64), held) for q in QUESTIONS]
+    return known, odds, [co_trained(text, meta, np.array([r[q] for r in packed], np.int64), held) for q in QUESTIONS]
 
 
 SCORED = "doc_id long, low double, toxic double, low_by_text double, low_by_meta double, toxic_by_text double, toxic_by_meta double, keep boolean"
@@ -250,13 +286,13 @@ SCORED = "doc_id long, low double, toxic double, low_by_text double, low_by_meta
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """For every document: its chances of being low in quality and toxic, by both views together and by each, and whether it is kept."""
-    known, judges = trained(docs, labels)
+    known, odds, judges = trained(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in columns(batch):
                 stats, has = text_features(data, bounds, known)
-                text = np.concatenate([stats, has.astype(np.float32)], axis=1)
+                text = view_of_text(stats, has, odds)
                 meta = meta_features(ids_of(batch, part, "source"), ids_of(batch, part, "lang"), bounds)
                 (lt, lm, low), (tt, tm, toxic) = (j.chances(text, meta) for j in judges)
                 keep = (low < REJECT) & (toxic < REJECT)
