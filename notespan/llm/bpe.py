@@ -205,21 +205,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every whole text and decodes the ids again."""
+def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids: encodes every whole text and decodes the ids again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in small(batches):
-            counts, ids_sha, text_sha = [], [], []
-            for x in batch.column("text").to_pylist():
-                ids = t.encode(x or "")
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(valid(t.decode_bytes(ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            all_ids = [t.encode(x or "") for x in batch.column("text").to_pylist()]
+            counts = np.array([len(x) // 4 for x in all_ids], np.int64)
+            ids_sha = [hashlib.sha256(x).hexdigest() for x in all_ids]
+            text_sha = [hashlib.sha256(valid(t.decode_bytes(x))).hexdigest() for x in all_ids]
+            cols = [batch.column("doc_id"), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                cols.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def valid(data: bytes) -> bytes:
@@ -240,4 +242,4 @@ def vocabulary() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), vocabulary())
+    return encoded(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
