@@ -1,4 +1,4 @@
-"""Every registered query but those of the llm subpackage."""
+"""Every registered query but those of the llm subpackage, and the SQL that each is held against."""
 
 from __future__ import annotations
 
@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.jobs import knn
+from notespan.jobs import knn, notes
+
+MODULES = [knn, notes]
+NAMES = {
+    knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
+    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe"],
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"knn_topk": knn.knn_topk}
+    return {name: getattr(module, name) for module, names in NAMES.items() for name in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(module, name.upper()) for module, names in NAMES.items() for name in names if hasattr(module, name.upper())}

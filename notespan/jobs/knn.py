@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notespan.functions.columns import relevance
+
 #: Rows fetched for each row wanted, and what a link to the query's page multiplies a similarity by.
 OVERFETCH, LINK_BOOST = 3, 1.5
 #: The queries of the registered searches: the vectors with the smallest ids.
@@ -38,3 +40,65 @@ def first_vectors(rows: DataFrame) -> DataFrame:
 def knn_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return top(similarities(first_vectors(rows), rows), "similarity", k).select("query_id", F.col("rank").cast("long"), "vec_id", "similarity")
+
+
+SCORED = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings),
+q AS (SELECT * FROM v ORDER BY vec_id LIMIT {N_QUERIES}),
+s AS (SELECT q.vec_id AS query_id, q.label AS q_label, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM q JOIN v ON q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+"""
+KNN_TOPK = SCORED + "SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 10"
+
+
+def boosted(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Three times as many rows as wanted; those with the query's label count as linked; then the best k by the raised score."""
+    rows = vectors(spark, sf_dir)
+    near = top(similarities(first_vectors(rows), rows), "similarity", k * OVERFETCH)
+    score = F.round(F.when(F.col("label") == F.col("q_label"), F.col("similarity") * LINK_BOOST).otherwise(F.col("similarity")), 6)
+    return near.withColumnRenamed("rank", "fetched").withColumn("score", score)
+
+
+BOOSTED = SCORED + f"""
+, f AS (SELECT *, round(CASE WHEN label = q_label THEN similarity * {LINK_BOOST} ELSE similarity END, 6) AS score FROM r WHERE rank <= {10 * OVERFETCH}),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM f)
+"""
+
+
+def reranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fetched")
+    return boosted(spark, sf_dir, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def knn_overfetch_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reranked(spark, sf_dir).select("query_id", "rank", "vec_id", "score")
+
+
+KNN_OVERFETCH_RERANK = BOOSTED + "SELECT query_id, place AS rank, vec_id, score FROM t WHERE place <= 10"
+
+
+def knn_label_score_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (labels) by the sum of their rows' scores."""
+    return boosted(spark, sf_dir).groupBy("query_id", "label").agg(F.round(F.sum("score"), 4).alias("score"), F.count("*").alias("n"))
+
+
+KNN_LABEL_SCORE_SUM = BOOSTED + "SELECT query_id, label, round(sum(score), 4) AS score, count(*) AS n FROM f GROUP BY query_id, label"
+
+
+def rank_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = reranked(spark, sf_dir)
+    n = best.groupBy("query_id").agg(F.count("*").alias("n"))
+    return best.join(n, "query_id").select("query_id", "rank", relevance(F.col("rank") - 1, F.col("n")).alias("percent"))
+
+
+RANK_RELEVANCE = BOOSTED + "SELECT query_id, place AS rank, greatest(50, 100 - (place - 1) * (50 // count(*) OVER (PARTITION BY query_id))) AS percent FROM t WHERE place <= 10"
+
+
+def reverse_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shown worst first, so that the best stands last as number 1."""
+    best = reranked(spark, sf_dir)
+    w = Window.partitionBy("query_id").orderBy(F.desc("rank"))
+    return best.select("query_id", "vec_id", F.row_number().over(w).cast("long").alias("line"), F.col("rank").alias("number"))
+
+
+REVERSE_NUMBERING = BOOSTED + "SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY place DESC) AS line, place AS number FROM t WHERE place <= 10"

@@ -87,13 +87,19 @@ def trimmed(frontmatter: Column) -> Column:
     return F.when(F.size(at) > 0, F.slice(frontmatter, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1)).otherwise(F.array().cast("array<string>"))
 
 
+def bullet(lines: Column, unit: Column, level: Column) -> Column:
+    """Lines as one bullet at a level."""
+    space = F.repeat(unit, level)
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(space, F.when(i == 0, "- ").otherwise("  "), x)), "\n")
+
+
 def contexts(outlines: DataFrame, hash_pages: bool = True) -> DataFrame:
     """One row for each block: page, seq, parent, depth, level, content, block_id, context and hybrid_id.
 
     The context is the frontmatter, a blank line, then each block above and the block itself as
     bullets at their depth. Journals hash without their name (hash_pages false).
     """
-    shown = lambda b, d: F.concat(F.repeat(F.lit("  "), d), F.lit("- "), F.array_join(b["content"], F.concat(F.lit("\n"), F.repeat(F.lit("  "), d + 1))))
+    shown = lambda b, d: bullet(b["content"], F.lit("  "), d)
     front = trimmed(F.col("frontmatter"))
     head = F.when(F.size(front) > 0, F.concat(F.array_join(front, "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
     path = F.transform(F.concat(F.col("b.above"), F.array("b.seq")), lambda s, i: shown(F.get("blocks", s), i))
@@ -104,5 +110,5 @@ def contexts(outlines: DataFrame, hash_pages: bool = True) -> DataFrame:
 def rendered(outlines: DataFrame) -> DataFrame:
     """page, text: the frontmatter and all blocks at their textual level; blank lines between blocks are dropped."""
     kept = lambda b: F.filter(b["content"], lambda x, i: (i == 0) | (C.strip(x) != ""))
-    body = F.transform("blocks", lambda b: F.concat(F.repeat(F.col("indent"), b["level"]), F.lit("- "), F.array_join(kept(b), F.concat(F.lit("\n"), F.repeat(F.col("indent"), b["level"]), F.lit("  ")))))
+    body = F.transform("blocks", lambda b: bullet(kept(b), F.col("indent"), b["level"]))
     return outlines.select("page", F.array_join(F.concat("frontmatter", body), "\n").alias("text"))
