@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.jobs import knn, notes
+from notespan.jobs import index, knn, notes, reviews
 
-MODULES = [knn, notes]
 NAMES = {
     knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
     notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe"],
+    index: ["encoder_search"],
+    reviews: [
+        "decision_dedupe", "decisions_by_block", "decision_summary", "best_two_per_page", "batch_accept", "record_validate", "stream_deltas", "id_shorten", "invalid_id_drop",
+        "state_labels", "accept_all", "toggle_reset", "confidence_range", "next_match_wrap", "page_urls", "link_extract", "journal_lookup", "combined_journal",
+    ],
 }
 
 
