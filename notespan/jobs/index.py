@@ -33,10 +33,10 @@ def build(spark: SparkSession, graph: str, index: str) -> DataFrame:
     if old is not None and old.where(F.col("schema_version") != VERSION).isEmpty():
         plan = chunks.changes(pages, old)
         todo = pages.join(plan.where(F.col("state").isin("new", "modified")), "page", "left_semi")
-        rows = chunks.updated(old, plan, models.hashed_words(chunk_table(todo)))
+        rows = chunks.updated(old, plan, models.encoded(chunk_table(todo)))
     else:
         plan = pages.select("page", F.lit("new").alias("state"))
-        rows = models.hashed_words(chunk_table(pages))
+        rows = models.encoded(chunk_table(pages))
     number = versions(spark, index)[-1] + 1 if versions(spark, index) else 0
     plan.write.mode("overwrite").parquet(f"{index}/changes/{number}")
     rows.write.mode("overwrite").parquet(f"{index}/rows/{number}")
@@ -71,7 +71,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     fetched row are raised; the best k stay. Queries are a stated set: blocks of them of a checked
     size meet all rows.
     """
-    asked = models.hashed_words(queries.select("query_id", F.col("text").alias("document"))).select("query_id", F.col("embedding").alias("q"))
+    asked = models.encoded(queries.select("query_id", F.col("text").alias("document"))).select("query_id", F.col("embedding").alias("q"))
     n = queries.count()
     parts = max(1, -(-n * models.DIMENSIONS * 4 // QUERY_BYTES))
     out = None
@@ -91,5 +91,5 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 def encoder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries over all documents as rows of an index."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    rows = models.hashed_words(d.select(F.col("source").alias("page"), F.col("doc_id").cast("string").alias("block_id"), F.col("text").alias("document")))
+    rows = models.encoded(d.select(F.col("source").alias("page"), F.col("doc_id").cast("string").alias("block_id"), F.col("text").alias("document")))
     return search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text"), 5)

@@ -55,12 +55,13 @@ def boosted(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Three times as many rows as wanted; those with the query's label count as linked; then the best k by the raised score."""
     rows = vectors(spark, sf_dir)
     near = top(similarities(first_vectors(rows), rows), "similarity", k * OVERFETCH)
-    score = F.round(F.when(F.col("label") == F.col("q_label"), F.col("similarity") * LINK_BOOST).otherwise(F.col("similarity")), 6)
-    return near.withColumnRenamed("rank", "fetched").withColumn("score", score)
+    micro = F.round(F.col("similarity") * 1e6).cast("long")  # whole numbers, so that raised scores and their sums are exact
+    boost = F.when(F.col("label") == F.col("q_label"), F.lit(int(LINK_BOOST * 10))).otherwise(F.lit(10))
+    return near.withColumnRenamed("rank", "fetched").withColumn("score", micro * boost)
 
 
 BOOSTED = SCORED + f"""
-, f AS (SELECT *, round(CASE WHEN label = q_label THEN similarity * {LINK_BOOST} ELSE similarity END, 6) AS score FROM r WHERE rank <= {10 * OVERFETCH}),
+, f AS (SELECT *, CAST(round(similarity * 1e6) AS BIGINT) * CASE WHEN label = q_label THEN {int(LINK_BOOST * 10)} ELSE 10 END AS score FROM r WHERE rank <= {10 * OVERFETCH}),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place FROM f)
 """
 
@@ -71,18 +72,18 @@ def reranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def knn_overfetch_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked(spark, sf_dir).select("query_id", "rank", "vec_id", "score")
+    return reranked(spark, sf_dir).select("query_id", "rank", "vec_id", (F.col("score") / 1e7).alias("score"))
 
 
-KNN_OVERFETCH_RERANK = BOOSTED + "SELECT query_id, place AS rank, vec_id, score FROM t WHERE place <= 10"
+KNN_OVERFETCH_RERANK = BOOSTED + "SELECT query_id, place AS rank, vec_id, score / 1e7 AS score FROM t WHERE place <= 10"
 
 
 def knn_label_score_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages (labels) by the sum of their rows' scores."""
-    return boosted(spark, sf_dir).groupBy("query_id", "label").agg(F.round(F.sum("score"), 4).alias("score"), F.count("*").alias("n"))
+    return boosted(spark, sf_dir).groupBy("query_id", "label").agg((F.sum("score") / 1e7).alias("score"), F.count("*").alias("n"))
 
 
-KNN_LABEL_SCORE_SUM = BOOSTED + "SELECT query_id, label, round(sum(score), 4) AS score, count(*) AS n FROM f GROUP BY query_id, label"
+KNN_LABEL_SCORE_SUM = BOOSTED + "SELECT query_id, label, CAST(sum(score) AS BIGINT) / 1e7 AS score, count(*) AS n FROM f GROUP BY query_id, label"
 
 
 def rank_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts to vectors of one length.
-Encoder = Callable[[list[str]], list[list[float]]]
+Encoder = Callable[[list[str]], np.ndarray]
+WORDS = re.compile(r"\w+").findall
 DIMENSIONS = 256
 BATCH = 256
 
 
-def encoded(rows: DataFrame, encoder: Encoder, text: str = "document") -> DataFrame:
+def encoded(rows: DataFrame, encoder: Encoder | None = None, text: str = "document") -> DataFrame:
     """rows with embedding (array of float), made batch by batch where the rows are."""
     schema = rows.schema.simpleString()[len("struct<") : -1]
-    names = rows.columns
+    names, encoder = rows.columns, encoder or word_cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 own = batch.slice(at, BATCH)
-                vectors = encoder([x or "" for x in own.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
+                v = np.asarray(encoder([x or "" for x in own.column(text).to_pylist()]), np.float32)
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=[*names, "embedding"])
 
     return rows.mapInArrow(run, f"{schema}, embedding array<float>")
 
 
-def hashed_words(rows: DataFrame, text: str = "document", dimensions: int = DIMENSIONS) -> DataFrame:
-    """The offline encoder: words hashed into so many cells, counted, and scaled to length 1. It is lexical, and no transformer; texts without words are zero."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    cells = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    n = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("_cells", lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate("_n", F.lit(0.0), lambda s, x: s + x * x))
-    out = rows.withColumn("_cells", cells).withColumn("_n", n).withColumn("_norm", norm)
-    return out.withColumn("embedding", F.transform("_n", lambda x: (x / F.greatest(F.col("_norm"), F.lit(1e-9))).cast("float"))).drop("_cells", "_n", "_norm")
+def word_cells(texts: list[str]) -> np.ndarray:
+    """The offline encoder: words hashed into DIMENSIONS cells, counted, and scaled to length 1. It is lexical, and no transformer; texts without words are zero."""
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        cells = [zlib.crc32(w.encode()) % DIMENSIONS for w in WORDS(text.lower())]
+        if cells:
+            row += np.bincount(cells, minlength=DIMENSIONS)
+            row /= np.sqrt((row * row).sum())
+    return out
 
 
 def answered(requests: DataFrame, model: Callable[[str], Iterator[str]], columns: str) -> DataFrame:
