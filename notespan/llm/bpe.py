@@ -32,8 +32,8 @@ from notespan.llm.common import documents, table
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Pieces that a worker keeps the ids of, and the longest that is kept.
-KEPT, KEPT_CHARS = 300_000, 48
+#: Pieces that each of a worker's two generations keeps the ids of, and the longest that is kept.
+KEPT, KEPT_CHARS = 120_000, 48
 NEVER = 1 << 60
 
 
@@ -44,6 +44,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Recent:
+    """What was computed or used lately, in two generations: when the new one is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def find(self, key):
+        if (value := self.now.get(key)) is None and (value := self.before.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self.now) >= self.size:
+            self.now, self.before = {}, self.now
+        self.now[key] = value
+
+
 class Tokenizer:
     """Encodes and decodes as the vocabulary file at path says."""
 
@@ -85,13 +102,14 @@ class Tokenizer:
         self.ids = [i for _, i in own]
         self.lens = [len(s) for s, _ in own]
         self.pieces = regex.compile(PIECES).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.piece_ids: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
+        self.pairs = Recent(2 * KEPT)
+        self.piece_ids = Recent(KEPT // 2)
+        self.chunk_ids = Recent(KEPT)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between a and b. Of equal merges the leftmost comes first."""
-        if (known := self.pairs.get((a, b))) is not None:
+        key = a << 32 | b
+        if (known := self.pairs.find(key)) is not None:
             return known
         rank, fits = self.rank, True
         for x, x_until in self.right[a]:
@@ -99,9 +117,7 @@ class Tokenizer:
                 r = rank.get((x, y))
                 if r is not None and r < x_until and r <= y_until:
                     fits = False
-        if len(self.pairs) >= 4 * KEPT:
-            self.pairs.clear()
-        self.pairs[a, b] = fits
+        self.pairs.keep(key, fits)
         return fits
 
     def encode_piece(self, s: bytes) -> list[int]:
@@ -131,13 +147,11 @@ class Tokenizer:
         """The ids of a part of a text that is split off where the tokenizer also splits, as little-endian numbers."""
         parts = []
         for piece in self.pieces(text):
-            ids = self.piece_ids.get(piece)
+            ids = self.piece_ids.find(piece)
             if ids is None:
                 ids = np.array(self.encode_piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
                 if len(piece) <= KEPT_CHARS:
-                    if len(self.piece_ids) >= KEPT:
-                        self.piece_ids.clear()
-                    self.piece_ids[piece] = ids
+                    self.piece_ids.keep(piece, ids)
             parts.append(ids)
         return b"".join(parts)
 
@@ -150,21 +164,19 @@ class Tokenizer:
         """A space before what is no white space always begins a piece; so words can be kept with their ids."""
         words = SPLIT(text) if WIDE(text) else text.split(" ")
         first = self.chunk(words[0])
-        kept = self.chunk_ids
-        try:
-            return first + b"".join([kept[w] for w in words[1:]])
-        except KeyError:
-            out = [first]
-            for w in words[1:]:
-                ids = kept.get(w)
+        kept, out = self.chunk_ids, [first]
+        now = kept.now
+        for w in words[1:]:
+            ids = now.get(w)
+            if ids is None:
+                ids = kept.find(w)
                 if ids is None:
                     ids = self.chunk(" " + w)
                     if len(w) <= KEPT_CHARS:
-                        if len(kept) >= KEPT:
-                            kept.clear()
-                        kept[w] = ids
-                out.append(ids)
-            return b"".join(out)
+                        kept.keep(w, ids)
+                now = kept.now
+            out.append(ids)
+        return b"".join(out)
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
