@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from notespan.llm.common import WHITE, Words, byte_numbers, column_or_null, columns, ids_of, mix, table
 from notespan.llm.licences import BETWEEN
 
-LABELLED, POOL = 15_000, 4_000
+LABELLED, POOL = 10_000, 3_000
 #: Bytes of the beginnings of words that count as words too.
 BEGINNINGS = (4, 6)
 #: Telling words, documents that one must occur in, and standard errors that it must tell apart by.
-WORDS, LEAST_DOCUMENTS, LEAST_Z = 1024, 5, 3.5
+WORDS, LEAST_DOCUMENTS, LEAST_Z = 320, 5, 3.5
 ROUNDS, SURE, PER_ROUND = 2, 0.97, 500
 REJECT = 0.5
 QUESTIONS = ["low", "toxic"]
@@ -129,7 +129,7 @@ class Logistic:
         return x @ self.weights + self.bias
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 200) -> Logistic:
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 120) -> Logistic:
     """Logistic regression by accelerated gradient steps; without both answers, a constant."""
     if not len(y) or y.min() == y.max():
         return Logistic(np.zeros(x.shape[1], np.float32), -20.0 if not len(y) or y.max() == 0 else 20.0)
