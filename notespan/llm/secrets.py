@@ -33,9 +33,11 @@ TOKEN = "[A-Za-z0-9+/_-]{20,}"
 WORD = "[A-Za-z0-9_-]{8,}"
 #: Documents that the models are trained on, by the hashes of their ids.
 SAMPLE_DOCUMENTS = 4000
-#: How much a uniform choice of characters weighs beside the counts, in observed pairs after one character.
+#: How much the distribution of single characters weighs beside the counts, in observed pairs after one character.
 PRIOR = 40.0
 SYMBOLS = 65
+#: What every pair's count in ordinary words is lowered by.
+DISCOUNT = 4
 #: Least ratio (natural logarithm) for each pair of a token, and in all.
 LEAST_MEAN, LEAST_TOTAL = 0.5, 12.0
 
@@ -80,10 +82,19 @@ def ratios(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> list[float]:
     tokens = own.select(F.lit(1).alias("random"), F.explode(F.array_distinct(values)).alias("token")).union(own.select(F.lit(0), F.explode(F.array_distinct(plain))))
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1))), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.where("length(pair) = 2").groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
-    after = {}
+    # A pair seen a few times only among ordinary words may be a secret's that no known form shows.
+    counts = {(kind, pair): n - (0 if kind else DISCOUNT) for (kind, pair), n in counts.items() if kind or n > DISCOUNT}
+    after, alone, total = {}, {}, {}
     for (kind, pair), n in counts.items():
         after[kind, pair[0]] = after.get((kind, pair[0]), 0) + n
-    chance = lambda kind, pair: (counts.get((kind, pair), 0) + PRIOR / SYMBOLS) / (after.get((kind, pair[0]), 0) + PRIOR)
+        alone[kind, pair[1]] = alone.get((kind, pair[1]), 0) + n
+        total[kind] = total.get(kind, 0) + n
+
+    def chance(kind: int, pair: str) -> float:
+        """Beside the counts weighs, for random strings, that all characters are alike, and for ordinary words how frequent each is in them."""
+        prior = 1 / SYMBOLS if kind else (alone.get((kind, pair[1]), 0) + 1) / (total.get(kind, 0) + SYMBOLS)
+        return (counts.get((kind, pair), 0) + PRIOR * prior) / (after.get((kind, pair[0]), 0) + PRIOR)
+
     return [math.log(chance(1, chr(a) + chr(b)) / chance(0, chr(a) + chr(b))) for a in range(128) for b in range(128)]
 
 
