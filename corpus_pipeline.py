@@ -15,14 +15,14 @@ from notespan.llm.common import table, work_folder, written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scores = quality.scored(docs, table(spark, sf_dir, "labels")).where(~F.col("keep")).select(F.col("doc_id").alias("_id"))
-    return docs.join(scores, F.col("doc_id") == F.col("_id"), "left_anti")
+    scores = quality.scored(docs, table(spark, sf_dir, "labels")).where(~F.col("keep")).select("doc_id")
+    return docs.join(scores, "doc_id", "left_anti").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    others = jaccard.near_copies(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(others, F.col("doc_id") == F.col("_id"), "left_anti")
+    others = jaccard.near_copies(docs).where("component_id != doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

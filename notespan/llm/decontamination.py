@@ -200,7 +200,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that contain an item."""
-    return docs.join(contained(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(contained(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,10 +135,12 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         lambda s, x: F.when(x["end"] > s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int")), F.when(x["start"] >= s["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"))).otherwise(s),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    out = scan(docs).withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_row"))
+    out = scan(rows).select("_row", F.size("spans").alias("n"), F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
