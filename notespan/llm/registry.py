@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substrings": substrings.OP2_SQL,
+        "op3_jaccard": jaccard.OP3_SQL,
         "op9_token_counts": token_counts.OP9_SQL,
     }

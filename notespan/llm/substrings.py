@@ -295,3 +295,13 @@ def kept(docs: DataFrame, texts: bool = True) -> DataFrame:
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT *, unnest(range(0, 20)) AS o FROM d)),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) p ANTI JOIN g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
