@@ -10,7 +10,7 @@ from notespan.jobs import index, knn, notes, reviews
 
 NAMES = {
     knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
-    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe"],
+    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe", "selected_subtrees", "previous_sibling", "clean_context", "candidate_xml"],
     index: ["encoder_search"],
     reviews: [
         "decision_dedupe", "decisions_by_block", "decision_summary", "best_two_per_page", "batch_accept", "record_validate", "stream_deltas", "id_shorten", "invalid_id_drop",

@@ -209,3 +209,49 @@ def idempotent_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IDEMPOTENT_PROBE = DECISIONS + "SELECT page AS target_page, 'k' || doc_id AS knowledge_block_id, done_as FROM u WHERE done_as = 'invalid'"
+
+
+def selected_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with a digit, without those below another one."""
+    parsed = outline.parsed(documents(spark, sf_dir))
+    rows = parsed.select("page", F.explode("blocks").alias("b")).select("page", "b.seq", "b.above", F.array_join("b.content", "\n").alias("content"))
+    return outline.without_covered(rows, rows.where(F.col("content").rlike("[0-9]"))).select("page", "seq")
+
+
+SELECTED_SUBTREES = LINES + """
+, s AS (SELECT page, seq FROM h WHERE regexp_matches(line, '[0-9]'))
+SELECT page, CAST(seq AS INT) AS seq FROM s WHERE seq = 0 OR page NOT IN (SELECT page FROM s WHERE seq = 0)
+"""
+
+
+def previous_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block before each one under the same parent."""
+    w = Window.partitionBy("page", "parent").orderBy("seq")
+    return blocks(spark, sf_dir).select("page", "seq", F.lag("hybrid_id").over(w).alias("previous_id"))
+
+
+PREVIOUS_SIBLING = LINES + "SELECT page, CAST(seq AS INT) AS seq, lag(hybrid_id) OVER (PARTITION BY page, seq > 0 ORDER BY seq) AS previous_id FROM h"
+
+
+def clean_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = outline.parsed(documents(spark, sf_dir))
+    rows = outline.contexts(parsed).select("page", "seq", "context").join(parsed.select("page", "frontmatter"), "page")
+    return rows.select("page", "seq", F.md5(outline.for_model(F.col("context"), F.col("frontmatter"))).alias("context_md5"))
+
+
+CLEAN_CONTEXT = LINES + "SELECT page, CAST(seq AS INT) AS seq, md5('- ' || lines[1] || CASE WHEN seq > 0 THEN chr(10) || '  - ' || line ELSE '' END) AS context_md5 FROM h"
+
+
+def candidate_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a request, with the document of its id as what it may refer to."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("request"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("request"), "page", F.posexplode("lines").alias("seq", "document"))
+    rows = d.join(items, "request").withColumn("block_id", F.concat_ws(":", "page", "seq"))
+    return outline.as_xml(rows).select("request", F.md5("xml").alias("xml_md5"))
+
+
+ESCAPE = "replace(replace(replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+CANDIDATE_XML = LINES + f"""
+SELECT request, md5('<page name="' || page || '">' || string_agg('<block id="' || page || ':' || seq || '">' || {ESCAPE % "line"} || '</block>', '' ORDER BY seq) || '</page>') AS xml_md5
+FROM (SELECT item_id AS request FROM benchmark) JOIN h ON h.doc_id = request GROUP BY request, page
+"""

@@ -112,3 +112,27 @@ def rendered(outlines: DataFrame) -> DataFrame:
     kept = lambda b: F.filter(b["content"], lambda x, i: (i == 0) | (C.strip(x) != ""))
     body = F.transform("blocks", lambda b: bullet(kept(b), F.col("indent"), b["level"]))
     return outlines.select("page", F.array_join(F.concat("frontmatter", body), "\n").alias("text"))
+
+
+def without_covered(blocks: DataFrame, selected: DataFrame) -> DataFrame:
+    """Of the selected blocks (page, seq) those that are below no other selected one; blocks has page, seq and above (the seqs above it)."""
+    own = blocks.join(selected.select("page", "seq").distinct(), ["page", "seq"])
+    over = own.select("page", F.explode("above").alias("_over"), F.col("seq"))
+    covered = over.join(selected.select(F.col("page"), F.col("seq").alias("_over")).distinct(), ["page", "_over"]).select("page", "seq").distinct()
+    return own.join(covered, ["page", "seq"], "left_anti")
+
+
+def for_model(context: Column, frontmatter: Column) -> Column:
+    """A context without id lines and, before its first bullet, without blank lines and frontmatter, which a model gets once for the page."""
+    lines = F.filter(F.split(context, "\n"), lambda x: ~x.rlike(r"^\s*id::\s+\S"))
+    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*- "), i)), lambda i: i.isNotNull())), F.size(lines))
+    return F.array_join(F.filter(lines, lambda x, i: (i >= first) | ((C.strip(x) != "") & ~F.array_contains(frontmatter, x))), "\n")
+
+
+def as_xml(chunks: DataFrame) -> DataFrame:
+    """request and xml: the chunks that a request may refer to, by page in order of name, then in their own order (seq)."""
+    block = F.concat(F.lit('<block id="'), C.xml_escape(F.col("block_id")), F.lit('">'), C.xml_escape(F.col("document")), F.lit("</block>"))
+    one = chunks.groupBy("request", "page").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("bs"))
+    page = F.concat(F.lit('<page name="'), C.xml_escape(F.col("page")), F.lit('">'), F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit("</page>"))
+    pages = one.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("p")))).alias("ps"))
+    return pages.select("request", F.array_join(F.transform("ps", lambda x: x["p"]), "\n").alias("xml"))
