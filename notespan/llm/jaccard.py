@@ -351,17 +351,22 @@ def unconnected(shared: DataFrame, nodes: DataFrame, most: int | None) -> DataFr
         has = np.zeros((len(ids), signature.max() + 1), np.float32)
         has[np.searchsorted(ids, entries.column("node").to_numpy()), signature.ravel()] = 1
         rows = [np.empty((2, 0), np.int64)]
-        allowed = np.zeros(len(ids), np.int64)
-        for turn in range(2 if most else 1):
-            chosen = np.argsort(-allowed, kind="stable")[:most] if turn else np.arange(len(ids))
-            for i in chosen.tolist():
-                others = np.flatnonzero(root != root[i])
-                others = others[has[others] @ has[i] > 0]
-                near = (n[others] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
-                others = others[np.abs(folded[others] - folded[i]).sum(axis=1, dtype=np.int64) <= near]
-                allowed[i] = len(others)
-                if turn or not most:
-                    rows.append(np.stack([np.full(len(others), i), others]))
+
+        def may_link(chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            for at in range(0, len(chosen), 128):
+                own = chosen[at : at + 128]
+                fits = (has[own] @ has.T > 0) & (root[own][:, None] != root)
+                for i, row in zip(own.tolist(), fits, strict=True):
+                    others = np.flatnonzero(row)
+                    near = (n[others] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
+                    yield i, others[np.abs(folded[others] - folded[i]).sum(axis=1, dtype=np.int64) <= near]
+
+        chosen = np.arange(len(ids))
+        if most:
+            allowed = np.array([len(others) for _, others in may_link(chosen)])
+            chosen = np.argsort(-allowed, kind="stable")[:most]
+        for i, others in may_link(chosen):
+            rows.append(np.stack([np.full(len(others), i), others]))
         pair = np.sort(ids[np.concatenate(rows, axis=1)], axis=0)
         pair = np.unique(pair, axis=1)
         return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
