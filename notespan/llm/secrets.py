@@ -5,7 +5,7 @@ matches follow from the lengths of the matches and of what stands between them.
 character Markov models are trained from labelled samples of a bounded number of documents: values
 that the known forms found are the random strings, other words the ordinary ones. A token is a
 secret when the log-likelihood ratio of its character pairs is high enough, for each pair and in
-all. The table of ratios has 128 x 128 cells at any size of the input. Nothing else is shuffled:
+all. Where a known form covers a part of a run, what is left on either side are tokens of their own. The table of ratios has 128 x 128 cells at any size of the input. Nothing else is shuffled:
 each document is a row of its own.
 
 Null texts are empty, and empty texts have no spans. Places are code points, the end exclusive.
@@ -105,16 +105,24 @@ def likely(token: Column, cells: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def blanked(text: Column, spans: str) -> Column:
+    """The text with blanks, as many as there were characters, in place of the spans (sorted)."""
+    return F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.when(x["end"] > s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int")), F.repeat(F.lit(" "), (x["end"] - F.greatest(x["start"], s["at"])).cast("int"))).alias("out"))).otherwise(s),
+        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
+    )
+
+
 def scan(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """docs with spans: array of start, kind (its place in KINDS), end, sorted. docs has doc_id and text, and its other columns stay."""
     cells = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios(docs, sample))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
-    tokens = F.filter(found(text, TOKEN), lambda m: likely(m["value"], cells) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * (F.length(m["value"]) - 1)))
+    tokens = F.filter(found(F.col("_bare"), TOKEN), lambda m: likely(m["value"], cells) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * (F.length(m["value"]) - 1)))
     as_spans = lambda ms, kind: F.transform(ms, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
-    base = known_forms(docs).withColumn("_tokens", tokens)
-    base = base.withColumn("base_spans", F.array_sort(F.concat(as_spans(F.col("assign"), 0), as_spans(F.col("access"), 1), as_spans(F.col("hex"), 2))))
-    more = F.filter(as_spans(F.col("_tokens"), 3), lambda t: ~F.exists("base_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return base.withColumn("spans", F.array_sort(F.concat("base_spans", more))).drop("assign", "access", "hex", "_tokens")
+    base = known_forms(docs).withColumn("base_spans", F.array_sort(F.concat(as_spans(F.col("assign"), 0), as_spans(F.col("access"), 1), as_spans(F.col("hex"), 2))))
+    base = base.withColumn("_bare", F.when(F.size("base_spans") > 0, blanked(text, "base_spans")).otherwise(text)).withColumn("_tokens", tokens)
+    return base.withColumn("spans", F.array_sort(F.concat("base_spans", as_spans(F.col("_tokens"), 3)))).drop("assign", "access", "hex", "_bare", "_tokens")
 
 
 def joined(spans: str) -> Column:

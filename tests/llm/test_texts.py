@@ -88,6 +88,19 @@ def test_markov_finds_random_strings(spark):
     assert got[900] == "markov:4:48" and got[901] == "" and got[902] == ""
 
 
+@pytest.mark.parametrize("between", ["/", "+", "_", "-"])
+def test_what_a_known_form_leaves_of_a_token_is_scanned(spark, between):
+    r = random.Random(6)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    names = ["get", "user", "name", "list", "value", "from", "table", "index", "read", "write", "first", "last", "number", "of", "items"]
+    docs = [(i, f"token = '{key(40)}' then " + " ".join("_".join(r.choice(names) for _ in range(5)) for _ in range(8))) for i in range(300)]
+    access, secret, plain = "AKIA" + "Q7WZ" * 4, "x" + key(39), "_".join(names[:9])
+    docs += [(900, f"é {access}{between}{secret} end"), (901, f"{secret}{between}{access}{between}{secret}"), (902, f"{access}{between}{plain} end")]
+    got = {x["doc_id"]: x["text"] for x in secrets.redacted(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any(secret[1:] in got[i] for i in (900, 901)) and got[900].endswith(" end") and got[900].startswith("é ")
+    assert got[902].endswith(plain + " end") and access not in got[902]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = X.frame(spark)
     out = secrets.redacted(df)
