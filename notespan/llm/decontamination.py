@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash windows as long as the items, found by multi-index Hamming blocks, verified exactly.
 
 Texts and items are lower-cased (A-Z) and split at white space; both are bags of five-word shingles
-(a shorter item is one shingle of all its words). A shingle weighs more the fewer items have it.
+(a shorter item is one shingle of all its words). A shingle weighs more the fewer items of the whole
+benchmark have it.
 For every item length, the windows of that many words are fingerprinted with 128 bits. The index
 splits the bits into 12 blocks and lists, for each value of a block, the items within two bits of
 it; 12 blocks with over two bits each would make 36, so every item within a radius of 35 bits is
@@ -10,7 +11,8 @@ met. Of those, the exact weighted similarity (common over combined weight) must
 A window of which less than 0.8 of the weight is in shingles that any item has can't be similar to
 one, and gets no fingerprint. Each document is a row of its own, so nothing is shuffled but the
 result. Items go to the tasks in passes of a bounded number of bytes, so a large benchmark takes
-more passes and no more memory. Null texts and texts without words contain nothing; items without
+more passes; beside a pass's items, tasks hold 12 bytes for each shingle that several items of the
+benchmark have. Results don't depend on the passes. Null texts and texts without words contain nothing; items without
 words are contained in nothing.
 """
 
@@ -41,9 +43,9 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The index of some benchmark items."""
+    """The index of some benchmark items. often: shingles that several items of the whole benchmark have (sorted), and how many items; if not given, these items are all."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], often: tuple[np.ndarray, np.ndarray] | None = None):
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -58,11 +60,14 @@ class Items:
             for x, item in zip(h.tolist(), words.text_of[a].tolist(), strict=True):
                 if self.lens[item] == n:
                     self.short.setdefault(n, {}).setdefault(x, []).append(item)
-        self.known, first = np.unique(hashes, return_index=True)
-        pairs = np.unique(np.stack([np.searchsorted(self.known, hashes), own], 1), axis=0) if len(own) else np.empty((0, 2), np.int64)
-        spread = np.bincount(pairs[:, 0], minlength=len(self.known))
+        self.known = np.unique(hashes)
+        if often is None:
+            several, n = np.unique(once_each(own, hashes), return_counts=True)
+            often = several[n > 1], n[n > 1]
+        self.often = often[0]
         #: Whole numbers, so that sums are exact: 16 for a shingle of one item, or of none, and less for one of many.
-        self.weight = np.maximum(1, np.rint(16 / np.sqrt(np.maximum(1, spread)))).astype(np.int64)
+        self.often_weight = np.maximum(1, np.rint(16 / np.sqrt(often[1]))).astype(np.int32)
+        self.weight = self.weight_of(self.known)
         self.bags = [Counter() for _ in ids]
         for h, item in zip(hashes.tolist(), own.tolist(), strict=True):
             self.bags[item][h] += 1
@@ -82,6 +87,15 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.table.append((int(low), n, np.searchsorted(keys[order], np.arange((1 << n) + 1)), items[order]))
 
+    def weight_of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), 16, np.int64)
+        if len(self.often):
+            at = np.searchsorted(self.often, hashes)
+            at[at == len(self.often)] = 0
+            hit = self.often[at] == hashes
+            out[hit] = self.often_weight[at[hit]]
+        return out
+
     def near(self, prints: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """Row of prints and item, for all items of that length within the radius."""
         rows, items = [], []
@@ -98,10 +112,11 @@ class Items:
         apart = (prints[pairs[:, 0]] != self.prints[pairs[:, 1]]).sum(axis=1)
         yield from map(tuple, pairs[apart <= RADIUS].tolist())
 
-    def similarity(self, bag: Counter, item: int) -> float:
+    def similarity(self, bag: Counter, weight: int, item: int) -> float:
+        """Of a bag of shingles that weigh so much in all."""
         other, w = self.bags[item], self.weights
         common = sum(min(n, other[h]) * w[h] for h, n in bag.items() if h in other)
-        total = sum(n * w.get(h, 16) for h, n in bag.items()) + sum(n * w[h] for h, n in other.items())
+        total = weight + sum(n * w[h] for h, n in other.items())
         return common / (total - common)
 
     def windows(self, words: Words) -> Iterator[tuple[int, int, int, float]]:
@@ -120,7 +135,7 @@ class Items:
         hit = self.known[place] == h
         if not hit.any():
             return
-        weight = np.where(hit, self.weight[place], 16)
+        weight = self.weight_of(h)
         all_w = np.concatenate([[0], np.cumsum(weight)])
         hit_w = np.concatenate([[0], np.cumsum(weight * hit)])
         text = words.text_of[at]
@@ -152,21 +167,48 @@ class Items:
             prints = (sums[local[s] + n] - sums[local[s]]) > 0
             for row, item in self.near(prints, length):
                 at_shingle = int(s[row])
-                similar = self.similarity(Counter(h[at_shingle : at_shingle + n].tolist()), item)
+                similar = self.similarity(Counter(h[at_shingle : at_shingle + n].tolist()), int(all_w[at_shingle + n] - all_w[at_shingle]), item)
                 if similar >= SIMILAR:
                     t = int(text[at_shingle])
                     yield t, int(at[at_shingle] - words.first[t]), item, similar
 
 
+def once_each(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hashes, each once for a text."""
+    order = np.lexsort((hashes, text))
+    text, hashes = text[order], hashes[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new]
+
+
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several items have, sorted, and how many items each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in columns(batch, lower=True):
+                words = Words(data, bounds, WHITE)
+                h, at = words.shingles(WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(once_each(words.text_of[at], h).view(np.int64))], names=["shingle"])
+
+    found = items.mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count("*").cast("int").alias("n")).where("n > 1").toArrow()
+    shingle, n = (found.column(c).to_numpy() for c in ("shingle", "n"))
+    shingle = shingle.view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
 def passes(benchmark: DataFrame) -> Iterator[Items]:
     """The items, as many at once as PASS_BYTES allows, or one."""
     own = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     n = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     parts = -(-n // PASS_BYTES)
+    often = shared_shingles(own) if parts else None
     for part in range(parts):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         if rows:
-            yield Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+            yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], often)
 
 
 FOUND = "doc_id long, item_id long, similarity double, first_word long, n_words long"

@@ -134,6 +134,25 @@ def test_decontamination(spark):
     assert decontamination.clean(df, marks).count() == df.count() - 4
 
 
+def test_decontamination_is_the_same_in_any_number_of_passes(spark, monkeypatch):
+    r = random.Random(9)
+    shared = [[f"s{k}_{j}" for j in range(12)] for k in range(4)]
+    items = [(i, " ".join([f"i{i}_{j}" for j in range(r.randint(8, 16))] + shared[i % 4] + shared[(i + 1) % 4][: r.randint(5, 12)])) for i in range(60)]
+    docs = []
+    for i, t in items:
+        for k in range(6):
+            w = t.split()
+            for _ in range(r.choice([1, 1, 2])):  # new words, or passages of other items
+                at = r.randrange(len(w))
+                w[at : at + 5] = [f"n{k}"] * len(w[at : at + 5]) if r.random() < 0.3 else r.choice(shared)[: len(w[at : at + 5])]
+            docs.append((100 * i + k, "a b " + " ".join(w) + " c d"))
+    docs, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontamination.contained(docs, marks).collect()))
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 2000)
+    assert len(list(decontamination.passes(marks))) > 3
+    assert sorted(map(tuple, decontamination.contained(docs, marks).collect())) == one and len(one) > 15
+
+
 @pytest.mark.parametrize("bits", [0, 10, 25, 35])
 def test_blocks_guarantee_the_radius(bits):
     r = np.random.default_rng(bits)
