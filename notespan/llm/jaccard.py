@@ -10,7 +10,8 @@ get an allowance: 0 (its subset must be equal: one signature), or 1 (it may diff
 the subset and all subsets with one element less are signatures, and the segment counts twice and
 is twice as wide). The allocation spends as few signatures as give some spare allowance. What is
 spare pays for signatures that are left out (allowance -1): empty subsets, and subsets that many
-different sets share. Sets that meet in a signature are compared exactly.
+different sets share. A set with too many empty subsets keeps them as signatures, and nothing is
+spare. Sets that meet in a signature are compared exactly.
 
 A set that has left out more than its spare allowance could miss a link, if its partner has too.
 Such sets are compared by the frequent signatures as well: within those, only sets that are not
@@ -154,7 +155,8 @@ def signatures(text: np.ndarray, hashes: np.ndarray, size: np.ndarray, k: int) -
     lost = np.bincount(owner, ((count == 0) | (twice & (count == 1))) * (1 + twice), minlength=len(size)).astype(np.int64)
     spare = slots - need - lost
     keeps_empty = spare < 0
-    spare = np.where(keeps_empty, slots - need, spare)
+    # A set that keeps its empty subsets may meet partners that leave theirs out only in other segments: it can spare none of those.
+    spare = np.where(keeps_empty, 0, spare)
     own = np.flatnonzero((count > 0) | keeps_empty[owner])
     less = np.flatnonzero(twice[cell] & ((count[cell] > 1) | keeps_empty[text]))
     entry_text = np.concatenate([owner[own], text[less]])

@@ -98,6 +98,26 @@ def test_a_large_family(spark):
     assert got == linked(docs)
 
 
+@pytest.mark.parametrize(("common", "one", "other"), [(4, 0, 1), (8, 0, 2), (9, 1, 1), (12, 1, 2), (13, 0, 3), (16, 0, 4), (20, 1, 4)])
+def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_there(common, one, other):
+    r, n, edges = np.random.default_rng(0), 20_000, np.array(jaccard.bands())
+    assert 100 * common >= 80 * (common + one + other)
+    equal = r.integers(0, 2**63, (n, common), dtype=np.uint64)
+    k = int(np.searchsorted(edges, common + other, "right") - np.searchsorted(edges, common + one, "right"))
+    entries, spare = [], []
+    for more, step in ((one, k), (other, 0)):
+        s = np.concatenate([equal, r.integers(0, 2**63, (n, more), dtype=np.uint64)], axis=1)
+        text, entry, flags, left = jaccard.signatures(np.repeat(np.arange(n), s.shape[1]), s.ravel(), np.full(n, s.shape[1]), step)
+        spare.append(left)
+        entries.append({(t, e): 1 + bool(f & jaccard.TWICE) for t, e, f in zip(text.tolist(), entry.tolist(), flags.tolist(), strict=True)})
+    both = entries[0].keys() & entries[1].keys()
+    for own, left in zip(entries, spare, strict=True):
+        lost = np.zeros(n, np.int64)
+        for t, e in both:
+            lost[t] += own[t, e]
+        assert (lost > left).all()
+
+
 def test_sketches_never_rule_out_a_link():
     r = np.random.default_rng(0)
     for n in (1, 5, 40, 300, 900):
