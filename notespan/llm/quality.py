@@ -8,7 +8,8 @@ Labelled documents that neither saw then calibrate both views and weigh them aga
 and the combined models score every document.
 
 The models are fitted on at most LABELLED labelled documents and POOL others, taken by the hash of
-doc_id; those come to the driver as packed features. Telling words are the words whose presence
+doc_id; those come to the driver as packed features, and are fitted there as lists of the words that
+each has. Telling words are the words whose presence
 tells labels apart best among the labelled ones. Scoring is one pass over all documents, each a row
 of its own. Null texts are empty, null metadata are values of their own, labels with nulls are left
 out, and several labels of one document count as the worst of them. With no labels, or only one
@@ -18,7 +19,7 @@ kind, that question's chance is 0 and every document is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from notespan.llm.common import WHITE, Words, byte_numbers, column_or_null, columns, ids_of, mix, table
 from notespan.llm.licences import BETWEEN
 
-LABELLED, POOL = 10_000, 3_000
+LABELLED, POOL = 15_000, 4_000
 #: Bytes of the beginnings of words that count as words too.
 BEGINNINGS = (4, 6)
 #: Telling words, documents that one must occur in, and standard errors that it must tell apart by.
-WORDS, LEAST_DOCUMENTS, LEAST_Z = 320, 5, 3.5
+WORDS, LEAST_DOCUMENTS, LEAST_Z = 1024, 5, 3.5
 ROUNDS, SURE, PER_ROUND = 2, 0.97, 500
 REJECT = 0.5
 QUESTIONS = ["low", "toxic"]
@@ -94,18 +95,65 @@ def text_features(data: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> tu
     return np.stack(stats, axis=1).astype(np.float32), has
 
 
-def view_of_text(stats: np.ndarray, has: np.ndarray, odds: np.ndarray) -> np.ndarray:
+@dataclass
+class Features:
+    """Rows of some numbers and of many columns that are 0 or 1: these as lists of the places that have a 1, sorted by row."""
+
+    numbers: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    places: int
+
+    @classmethod
+    def of(cls, numbers: np.ndarray, has: np.ndarray) -> Features:
+        row, place = np.nonzero(has)
+        return cls(np.asarray(numbers, np.float32), row.astype(np.int32), place.astype(np.int32), has.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    @property
+    def width(self) -> int:
+        return self.numbers.shape[1] + self.places
+
+    def take(self, rows: np.ndarray) -> Features:
+        first = np.searchsorted(self.row, np.arange(len(self) + 1))
+        n = np.diff(first)[rows]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1][rows], n)
+        return Features(self.numbers[rows], np.repeat(np.arange(len(rows), dtype=np.int32), n), self.place[at], self.places)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """For each row, its sum of w."""
+        d = self.numbers.shape[1]
+        return self.numbers @ w[:d] + np.bincount(self.row, w[d:][self.place], len(self)).astype(np.float32)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """For each column, its sum of r."""
+        return np.concatenate([self.numbers.T @ r, np.bincount(self.place, r[self.row], self.places)]).astype(np.float32)
+
+
+def view_of_text(stats: np.ndarray, has: np.ndarray, odds: np.ndarray) -> Features:
     """The text view: the numbers, for each question the largest and the sum of the log-odds of the words that a text has, and the words themselves."""
-    has = has.astype(np.float32)
-    none = np.zeros((len(has), 1), np.float32)
-    own = [x for o in odds for x in (np.concatenate([none, has * o], axis=1).max(axis=1), has @ np.maximum(o, 0))]
-    return np.concatenate([stats, np.minimum(np.stack(own, axis=1), 30), has], axis=1).astype(np.float32)
+    out = Features.of(stats, has)
+    own = []
+    for o in odds:
+        largest = np.zeros(len(stats), np.float32)
+        if len(out.row):
+            begin = np.flatnonzero(np.diff(out.row, prepend=-1))
+            largest[out.row[begin]] = np.maximum(np.maximum.reduceat(o[out.place], begin), 0)
+        own += [largest, np.bincount(out.row, np.maximum(o, 0)[out.place], len(stats))]
+    out.numbers = np.concatenate([stats, np.minimum(np.stack(own, axis=1), 30)], axis=1).astype(np.float32)
+    return out
+
+
+def view_of_meta(meta: np.ndarray) -> Features:
+    return Features.of(np.empty((len(meta), 0), np.float32), meta)
 
 
 def meta_features(source: np.ndarray, lang: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One-hot: hashed source, hashed language, and the length's power of two."""
     n = len(source)
-    out = np.zeros((n, META), np.float32)
+    out = np.zeros((n, META), bool)
     rows = np.arange(n)
     out[rows, source % SOURCES] = 1
     out[rows, SOURCES + lang % LANGS] = 1
@@ -125,26 +173,27 @@ class Logistic:
     weights: np.ndarray
     bias: float
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+    def logit(self, x: Features) -> np.ndarray:
+        return x.times(self.weights) + self.bias
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 120) -> Logistic:
+def fitted(x: Features, y: np.ndarray, ridge: float = 3e-4, steps: int = 200) -> Logistic:
     """Logistic regression by accelerated gradient steps; without both answers, a constant."""
     if not len(y) or y.min() == y.max():
-        return Logistic(np.zeros(x.shape[1], np.float32), -20.0 if not len(y) or y.max() == 0 else 20.0)
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
-    v = np.ones(x1.shape[1], np.float32)
+        return Logistic(np.zeros(x.width, np.float32), -20.0 if not len(y) or y.max() == 0 else 20.0)
+    times = lambda w: x.times(w[:-1]) + w[-1]
+    back = lambda r: np.append(x.back(r), r.sum()).astype(np.float32)
+    v = np.ones(x.width + 1, np.float32)
     for _ in range(12):
-        v = x1.T @ (x1 @ v) / len(x1)
+        v = back(times(v)) / len(x)
         top = float(np.linalg.norm(v))
         v /= top
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.width + 1, np.float32)
     ahead, rate = w.copy(), 1 / (0.27 * top + ridge)
-    keep = np.append(np.full(x.shape[1], ridge, np.float32), 0)
+    keep = np.append(np.full(x.width, ridge, np.float32), 0)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30)))
-        new = ahead - rate * (x1.T @ (p - y) / len(y) + keep * ahead)
+        p = 1 / (1 + np.exp(-np.clip(times(ahead), -30, 30)))
+        new = ahead - rate * (back(p - y) / len(y) + keep * ahead)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return Logistic(w[:-1], float(w[-1]))
@@ -152,27 +201,31 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 3e-4, steps: int = 120)
 
 @dataclass
 class View:
-    """A view's models for one question: standardised features, and the model."""
+    """A view's models for one question: what its numbers are standardised by, and the model."""
 
     mean: np.ndarray
     scale: np.ndarray
     model: Logistic
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.model.logit((x - self.mean) / self.scale), -15, 15)
+    def logit(self, x: Features) -> np.ndarray:
+        return np.clip(self.model.logit(replace(x, numbers=(x.numbers - self.mean) / self.scale)), -15, 15)
 
 
-def view(x: np.ndarray, rows: np.ndarray, y: np.ndarray, dense: int) -> View:
-    """Fits the given rows. dense: how many leading features are numbers to be standardised; the rest are 0 or 1."""
-    mean, scale = np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32)
-    own = x[rows]
+def view(x: Features, rows: np.ndarray, y: np.ndarray) -> View:
+    """Fits the given rows; their numbers are standardised."""
+    own = x.take(rows)
+    mean, scale = np.zeros(own.numbers.shape[1], np.float32), np.ones(own.numbers.shape[1], np.float32)
     if len(own):
-        mean[:dense] = own[:, :dense].mean(axis=0)
-        scale[:dense] = own[:, :dense].std(axis=0) + 1e-4
-        own[:, :dense] = (own[:, :dense] - mean[:dense]) / scale[:dense]
+        mean, scale = own.numbers.mean(axis=0), own.numbers.std(axis=0) + np.float32(1e-4)
+        own.numbers = (own.numbers - mean) / scale
     return View(mean, scale, fitted(own, y))
 
 
+def plain(*columns: np.ndarray) -> Features:
+    """Numbers alone."""
+    return Features.of(np.stack(columns, axis=1), np.empty((len(columns[0]), 0), bool))
+
+
 @dataclass
 class Judge:
     """Both views of one question after co-training, and how to combine them."""
@@ -182,25 +235,25 @@ class Judge:
     calibrate: list[Logistic]
     combine: Logistic
 
-    def chances(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chances(self, text: Features, meta: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances by text, by metadata, and by both."""
-        own = [c.logit(v.logit(x)[:, None]) for v, x, c in zip((self.text, self.meta), (text, meta), self.calibrate, strict=True)]
-        both = self.combine.logit(np.stack(own, axis=1))
+        own = [c.logit(plain(v.logit(x))) for v, x, c in zip((self.text, self.meta), (text, meta), self.calibrate, strict=True)]
+        both = self.combine.logit(plain(*own))
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*own, both))
 
 
-def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray) -> Judge:
+def co_trained(text: Features, meta: Features, y: np.ndarray, held: np.ndarray) -> Judge:
     """y: answers, with -1 for the pool. held: labelled rows that only calibrate."""
     labelled, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
     given = [np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)]  # rows and answers that each view got from the other
-    features, dense = (text, meta), (NUMBERS, 0)
+    features = (text, meta)
     views: list[View] = []
     for turn in range(ROUNDS + 1):
-        views = [view(x, np.concatenate([labelled, g[0]]), np.concatenate([y[labelled], g[1]]).astype(np.float32), d) for x, g, d in zip(features, given, dense, strict=True)]
+        views = [view(x, np.concatenate([labelled, g[0]]), np.concatenate([y[labelled], g[1]]).astype(np.float32)) for x, g in zip(features, given, strict=True)]
         if turn == ROUNDS or not len(pool):
             break
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-views[k].logit(features[k][pool])))
+            p = 1 / (1 + np.exp(-views[k].logit(features[k].take(pool))))
             sure = np.maximum(p, 1 - p)
             best = np.argsort(-sure, kind="stable")[: PER_ROUND * (turn + 1)]
             best = best[sure[best] >= SURE]
@@ -209,9 +262,10 @@ def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarr
     if not test.any():
         test = y >= 0
     answers = y[test].astype(np.float32)
-    calibrate = [fitted(v.logit(x[test])[:, None].astype(np.float32), answers) for v, x in zip(views, features, strict=True)]
-    own = np.stack([c.logit(v.logit(x[test])[:, None]) for v, x, c in zip(views, features, calibrate, strict=True)], axis=1)
-    return Judge(*views, calibrate, fitted(np.clip(own, -15, 15).astype(np.float32), answers))
+    tested = [v.logit(x.take(np.flatnonzero(test))) for v, x in zip(views, features, strict=True)]
+    calibrate = [fitted(plain(z), answers) for z in tested]
+    own = [np.clip(c.logit(plain(z)), -15, 15) for c, z in zip(calibrate, tested, strict=True)]
+    return Judge(*views, calibrate, fitted(plain(*own), answers))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,16 +321,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
                 bits = np.packbits(has, axis=1)
                 meta = meta_features(ids_of(batch, part, "source"), ids_of(batch, part, "lang"), bounds)
                 own = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("low"), own.column("toxic"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (stats, bits, np.packbits(meta > 0, axis=1)))], names=["doc_id", "low", "toxic", "stats", "has", "meta"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("low"), own.column("toxic"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (stats, bits, np.packbits(meta, axis=1)))], names=["doc_id", "low", "toxic", "stats", "has", "meta"])
 
     packed = rows.mapInArrow(pack, "doc_id long, low int, toxic int, stats binary, has binary, meta binary").orderBy("doc_id").collect()
     load = lambda name, kind: np.stack([np.frombuffer(r[name], kind) for r in packed]) if packed else np.empty((0, 0), kind)
     if not packed:
-        text, meta = np.empty((0, NUMBERS + len(known)), np.float32), np.empty((0, META), np.float32)
+        text, meta = Features.of(np.empty((0, NUMBERS), np.float32), np.empty((0, len(known)), bool)), view_of_meta(np.empty((0, META), bool))
     else:
         has = np.unpackbits(load("has", np.uint8), axis=1)[:, : len(known)] if len(known) else np.empty((len(packed), 0), np.uint8)
         text = view_of_text(load("stats", np.float32), has, odds)
-        meta = np.unpackbits(load("meta", np.uint8), axis=1)[:, :META].astype(np.float32)
+        meta = view_of_meta(np.unpackbits(load("meta", np.uint8), axis=1)[:, :META])
     held = np.array([hash(r["doc_id"]) % 5 == 0 for r in packed], bool)
     return known, odds, [co_trained(text, meta, np.array([r[q] for r in packed], np.int64), held) for q in QUESTIONS]
 
@@ -293,7 +347,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part, data, bounds in columns(batch):
                 stats, has = text_features(data, bounds, known)
                 text = view_of_text(stats, has, odds)
-                meta = meta_features(ids_of(batch, part, "source"), ids_of(batch, part, "lang"), bounds)
+                meta = view_of_meta(meta_features(ids_of(batch, part, "source"), ids_of(batch, part, "lang"), bounds))
                 (lt, lm, low), (tt, tm, toxic) = (j.chances(text, meta) for j in judges)
                 keep = (low < REJECT) & (toxic < REJECT)
                 cols = [np.asarray(x, np.float64) for x in (low, toxic, lt, lm, tt, tm)]

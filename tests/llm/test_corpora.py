@@ -241,6 +241,24 @@ def test_quality_on_held_out_labels(spark):
     assert (~got["keep"][got["toxic"] == 1]).mean() > 0.85
 
 
+def test_quality_keeps_rare_telling_words(spark):
+    rare = 600
+    marked = [f"q{k:03d}" for k in range(rare)] * 12
+    docs = [(i, f"p{i % 400} p{i % 399}", 0, 0) for i in range(12_000)] + [(20_000 + i, " ".join(marked[i : i + 6]), 0, 1) for i in range(0, len(marked), 6)]
+    known, odds = quality.telling_words(spark.createDataFrame(docs, "doc_id long, text string, low int, toxic int"))
+    assert len(known) >= rare and (odds[1] > 0).sum() >= rare
+
+
+def test_features_by_places_are_those_of_a_matrix():
+    r = np.random.default_rng(0)
+    numbers, has = r.normal(size=(50, 3)).astype(np.float32), r.random((50, 20)) < 0.1
+    has[7] = False
+    x, dense = quality.Features.of(numbers, has), np.concatenate([numbers, has], axis=1)
+    w, y, rows = r.normal(size=23), r.normal(size=50), r.permutation(50)[:30]
+    assert np.allclose(x.times(w), dense @ w, atol=1e-5) and np.allclose(x.back(y), dense.T @ y, atol=1e-5)
+    assert np.allclose(x.take(rows).times(w), dense[rows] @ w, atol=1e-5)
+
+
 def test_quality_without_labels_keeps_all(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.scored(X.frame(spark), labels).collect()
