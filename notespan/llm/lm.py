@@ -9,8 +9,8 @@ up and replies with the totals. So a word that every document has costs one row
 
 The network. The 1022 most frequent words, the end and one symbol for all other words are what it
 predicts: first a class, then the symbol in its class. It is trained by truncated backpropagation
-on a fixed share of the documents learned from, so what it learns from grows with the input: each
-part of the input trains from the same start, and the results are averaged, in two rounds. When
+on all documents learned from, each once: in every round, each part of the input trains on its
+documents of that round from the same start, and the results are averaged. When
 scoring, the state is carried across windows, so a text's score is the log-probability of all of
 it. Other words get the symbol's probability times their own, from the counts.
 
@@ -33,8 +33,8 @@ CLASSES, MEMBERS, HIDDEN = 32, 32, 24
 SYMBOLS = CLASSES * MEMBERS
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Part of the documents learned from that each round of training takes: one in so many.
-ONE_IN, ROUNDS = 32, 2
+#: Rounds of training; a hash of the id deals the documents learned from among them.
+ROUNDS = 4
 #: Documents side by side when scoring and training, and tokens that a window holds.
 LANES, TRAIN_LANES, WINDOW, TRAIN_WINDOW = 256, 48, 64, 32
 RATE, CLIP = 4e-3, 1.0
@@ -326,11 +326,16 @@ def train_part(net: Network, vocab: Vocabulary, batches: Iterator[pa.RecordBatch
     return seen
 
 
+def shares(docs: DataFrame) -> list[DataFrame]:
+    """The documents that each round trains on: together all that are learned from, each once."""
+    learned = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    return [docs.where(learned & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)) for turn in range(ROUNDS)]
+
+
 def trained(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """The averaged parameters after all rounds."""
     flat = Network.start(vocab.counts).flat
-    learned = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
-    for turn in range(ROUNDS):
+    for share in shares(docs):
         given = flat
 
         def run(batches: Iterator[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
@@ -343,7 +348,6 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
             total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in part.column("weights"))
             return pa.table({"weight": pa.array([sum(part.column("weight").to_pylist())], pa.float64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        share = docs.where(learned & (F.pmod(F.xxhash64("doc_id"), F.lit(ONE_IN)) == turn))
         models = share.mapInArrow(run, "weight double, weights binary").withColumn("part", F.spark_partition_id())
         for _ in range(2):  # few models are left for the driver
             models = models.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInArrow(lambda key, t: average(t).append_column("part", pa.array([key[0].as_py()], pa.int64())), "weight double, weights binary, part long")

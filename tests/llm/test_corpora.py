@@ -177,6 +177,11 @@ def test_probabilities_sum_to_one_and_windows_carry_the_state():
     assert np.allclose(rest[-1], states[-1])
 
 
+def test_the_network_trains_on_every_learned_document_once(spark):
+    given = [r["doc_id"] for share in lm.shares(X.frame(spark).where("doc_id is not null")) for r in share.select("doc_id").collect()]
+    assert sorted(given) == sorted(i for i, _ in X.known() if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_learned_scores_beat_counts_on_held_out(spark):
     r = random.Random(0)
     words = [[f"{c}{k}" for k in range(30)] for c in "abc"]
