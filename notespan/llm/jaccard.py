@@ -16,7 +16,8 @@ spare. Sets that meet in a signature are compared exactly.
 A set that has left out more than its spare allowance could miss a link, if its partner has too.
 Such sets are compared by the frequent signatures as well: within those, only sets that are not
 connected yet, until every pair not connected has been compared. So no link between components is
-lost, and neither all pairs of a group of near copies nor a group itself are ever in one place.
+lost. One task holds a frequent group's sets that aren't connected, with their sketches, and all pairs
+of them that the sketches allow: up to the square of their number.
 
 Null and wordless texts have no shingles, link with nothing and are components by themselves.
 """
