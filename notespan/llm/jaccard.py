@@ -16,8 +16,12 @@ spare. Sets that meet in a signature are compared exactly.
 A set that has left out more than its spare allowance could miss a link, if its partner has too.
 Such sets are compared by the frequent signatures as well: within those, only sets that are not
 connected yet, until every pair not connected has been compared. So no link between components is
-lost. One task holds a frequent group's sets that aren't connected, with their sketches, and all pairs
-of them that the sketches allow: up to the square of their number.
+lost. First some sets of each frequent group, those with the most of its signatures, are compared
+with all others; that connects most families. Then the group is dealt into blocks of about BLOCK
+sets, a large component into blocks of its own, and a task compares two blocks by sizes, signatures
+and sketches. Two blocks of one component are not compared. So no task holds more than two blocks
+and the pairs between them; the number of tasks grows with the square of the sets of a group that
+no link connects, such as a large family just below the threshold.
 
 Null and wordless texts have no shingles, link with nothing and are components by themselves.
 """
@@ -29,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notespan.llm.common import WHITE, Words, columns, documents, groups_for, ids_of, mix, table, written
@@ -41,6 +45,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 12
 #: Sets that the others of a frequent group are compared with, before all pairs not connected yet are.
 CENTRES = 8
+#: Sets of a frequent group in a block, and parts that the rows of a large group are dealt to in joins.
+BLOCK, SALTS = 1024, 64
 TOP_SIZE = 1 << 40
 
 
@@ -323,60 +329,98 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(own.select("node")).distinct()
     sets_of = written(shingled(docs.join(nodes.select("node", "doc_id").join(used, "node").select("doc_id"), "doc_id")))
     edges = written(linked(pairs, sets_of))
-    for most in (CENTRES, None):
+    for chosen in (True, False):
         if own.isEmpty():
             break
         roots = components(edges)
         placed = own.join(roots, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
         open_ = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("centre")).where("low < high").select("signature", "centre")
         own = written(placed.join(open_, "signature"))
-        edges = written(edges.union(linked(unconnected(own, nodes, most), sets_of)))
+        edges = written(edges.union(linked(unconnected(blocked(own, nodes), chosen), sets_of)))
         own = own.select("signature", "node")
     return edges
 
 
-def unconnected(shared: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
-    """a, b: nodes with a signature in common and different roots that may link by their sketches.
+def blocked(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """centre, block, node, root, mask, n_signatures, n_shingles, sketch: the sets of each centre's group, dealt into blocks.
 
-    shared: signature, centre (the least node with the signature), node, root. With most, only the pairs
-    of so many nodes of each centre, those that may link with the most others.
+    shared: signature, centre (the least node with the signature), node, root. mask has a bit for each of the
+    set's signatures; sets with no bit in common have no signature in common. All rows of a large component
+    are in blocks without others.
     """
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(signature), 64) as int))")
+    members = shared.groupBy("centre", "node", "root").agg(F.bit_or(bit).alias("mask"), F.count("*").alias("n_signatures"))
+    sizes = written(members.groupBy("centre", "root").agg(F.count("*").alias("n")))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    large = salted(sizes.where(F.col("n") >= BLOCK).select("centre", "root", F.ceil(F.col("n") / BLOCK).alias("own")))
+    pool = salted(sizes.where(F.col("n") < BLOCK).groupBy("centre").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("centre", F.ceil(F.col("n") / BLOCK).alias("parts")))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["centre", "root", "salt"], "left").join(pool, ["centre", "salt"], "left")
+    alone = F.xxhash64("centre", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("own")))
+    block = F.when(F.col("own").isNotNull(), alone).otherwise(F.xxhash64("centre", F.pmod(F.xxhash64("root", F.lit(2)), F.coalesce("parts", F.lit(1)))))
+    return written(rows.select("centre", block.alias("block"), "node", "root", "mask", "n_signatures").join(nodes.select("node", "n_shingles", "sketch"), "node"))
 
-    def compare(key: tuple, entries: pa.Table, members: pa.Table) -> pa.Table:
-        ids = members.column("member").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        n, root = (members.column(c).to_numpy()[order] for c in ("n_shingles", "root"))
-        counts = [np.frombuffer(x, np.uint8).astype(np.int16) for x in members.column("sketch").take(pa.array(order)).to_pylist()]
-        parts = min(map(len, counts))
-        folded = np.stack([np.minimum(c.reshape(parts, -1).sum(axis=1), 255).astype(np.int16) for c in counts])
-        _, signature = np.unique(entries.column("signature").to_numpy(), return_inverse=True)
-        has = np.zeros((len(ids), signature.max() + 1), np.float32)
-        has[np.searchsorted(ids, entries.column("node").to_numpy()), signature.ravel()] = 1
-        rows = [np.empty((2, 0), np.int64)]
-
-        def may_link(chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-            for at in range(0, len(chosen), 128):
-                own = chosen[at : at + 128]
-                fits = (has[own] @ has.T > 0) & (root[own][:, None] != root)
-                for i, row in zip(own.tolist(), fits, strict=True):
-                    others = np.flatnonzero(row)
-                    near = (n[others] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
-                    yield i, others[np.abs(folded[others] - folded[i]).sum(axis=1, dtype=np.int64) <= near]
-
-        chosen = np.arange(len(ids))
-        if most:
-            allowed = np.array([len(others) for _, others in may_link(chosen)])
-            chosen = np.argsort(-allowed, kind="stable")[:most]
-        for i, others in may_link(chosen):
-            rows.append(np.stack([np.full(len(others), i), others]))
-        pair = np.sort(ids[np.concatenate(rows, axis=1)], axis=0)
-        pair = np.unique(pair, axis=1)
-        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
-
-    entries = shared.select("centre", "signature", "node")
-    members = shared.select(F.col("centre").alias("of"), F.col("node").alias("member"), F.col("root").alias("root")).distinct().join(nodes.select(F.col("node").alias("member"), "n_shingles", "sketch"), "member")
-    return entries.groupBy("centre").cogroup(members.groupBy("of")).applyInArrow(compare, "a long, b long").distinct()
+
+COMPARED = ["node", "root", "mask", "n_shingles", "sketch"]
+
+
+def unconnected(members: DataFrame, chosen: bool) -> DataFrame:
+    """a, b: of the sets of blocked() those pairs with a signature in common and different roots that may link by their sketches.
+
+    With chosen, only pairs with one of the CENTRES sets of each group that have the most signatures.
+    """
+    blocks = members.groupBy("centre", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    if chosen:
+        order = Window.partitionBy("centre").orderBy(F.desc("n_signatures"), "node")
+        first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES).drop("place", "block")
+        one = first.join(blocks.select("centre", "block"), "centre").withColumnRenamed("block", "task")
+        two = members.withColumnRenamed("block", "task")
+    else:
+        other = blocks.select("centre", *(F.col(c).alias(f"{c}_") for c in ("block", "low", "high")))
+        pairs = blocks.join(other, "centre").where("block <= block_ and not (low = high and low_ = high_ and low = low_)")
+        pairs = written(pairs.select("block", "block_", F.xxhash64("block", "block_").alias("task")))
+        one = members.join(pairs.select("block", "task"), "block")
+        two = members.join(pairs.select(F.col("block_").alias("block"), "task"), "block")
+    one = one.select("task", *COMPARED)
+    two = two.select(F.col("task").alias("task_"), *(F.col(c).alias(f"{c}_") for c in COMPARED))
+    return one.groupBy("task").cogroup(two.groupBy("task_")).applyInArrow(compared, "a long, b long").distinct()
+
+
+class Folded:
+    """Sketches as rows of one length, whichever is asked for."""
+
+    def __init__(self, sketches_: list[bytes]):
+        self.lens = np.array([len(x) for x in sketches_], np.int64)
+        self.of = {n: (np.flatnonzero(self.lens == n), np.frombuffer(b"".join(x for x in sketches_ if len(x) == n), np.uint8).reshape(-1, n)) for n in np.unique(self.lens).tolist()}
+        self.known: dict[int, np.ndarray] = {}
+
+    def rows(self, n: int) -> np.ndarray:
+        """All sketches of n or more parts in n parts; the rows of shorter ones are 0."""
+        if n not in self.known:
+            out = np.zeros((len(self.lens), n), np.int16)
+            for size, (at, counts) in self.of.items():
+                if size >= n:
+                    out[at] = np.minimum(counts.reshape(len(at), n, -1).sum(axis=2, dtype=np.int64), 255)
+            self.known[n] = out
+        return self.known[n]
+
+
+def compared(one: pa.Table, two: pa.Table) -> pa.Table:
+    """a, b: the pairs of two blocks that may link and aren't connected."""
+    two = two.rename_columns(one.column_names)
+    id1, root1, n1, id2, root2, n2 = (t.column(c).to_numpy() for t in (one, two) for c in ("node", "root", "n_shingles"))
+    mask1, mask2 = (t.column("mask").to_numpy() for t in (one, two))
+    fold1, fold2 = (Folded(t.column("sketch").to_pylist()) for t in (one, two))
+    found = [np.empty((2, 0), np.int64)]
+    for i in range(len(id1)):
+        near = (root2 != root1[i]) & ((mask2 & mask1[i]) != 0) & (100 * np.minimum(n2, n1[i]) >= PERCENT * np.maximum(n2, n1[i]))
+        others = np.flatnonzero(near)
+        for size in np.unique(np.minimum(fold2.lens[others], fold1.lens[i])).tolist():
+            own = others[np.minimum(fold2.lens[others], fold1.lens[i]) == size]
+            least = np.abs(fold2.rows(size)[own] - fold1.rows(size)[i]).sum(axis=1, dtype=np.int64)
+            own = own[least <= (n2[own] + n1[i]) * (100 - PERCENT) // (100 + PERCENT)]
+            found.append(np.stack([np.full(len(own), id1[i]), id2[own]]))
+    pair = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+    return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
