@@ -9,10 +9,11 @@ up and replies with the totals. So a word that every document has costs one row
 
 The network. The 1022 most frequent words, the end and one symbol for all other words are what it
 predicts: first a class, then the symbol in its class. It is trained by truncated backpropagation
-on all documents learned from, each once: in every round, each part of the input trains on its
-documents of that round from the same start, and the results are averaged. When
-scoring, the state is carried across windows, so a text's score is the log-probability of all of
-it. Other words get the symbol's probability times their own, from the counts.
+on all documents learned from, each once. A hash of the id deals them to trainers, as many as the
+bytes of text call for, and to rounds. In every round, each trainer trains on its documents from the
+same start, and the models are averaged as a tree; so scores don't depend on how the input is split.
+When scoring, the state is carried across windows, so a text's score is the log-probability of all
+of it. Other words get the symbol's probability times their own, from the counts.
 
 Null and empty texts have the end as their only token. No documents: no rows.
 """
@@ -27,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespan.llm.common import WHITE, Words, columns, documents, groups_for, ids_of, mix, table, written
+from notespan.llm.common import WHITE, Words, columns, documents, groups_for, ids_of, mix, table, text_bytes, written
 
 CLASSES, MEMBERS, HIDDEN = 32, 32, 24
 SYMBOLS = CLASSES * MEMBERS
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Rounds of training; a hash of the id deals the documents learned from among them.
-ROUNDS = 4
+#: Rounds of training, and bytes of text that one trainer learns from in all of them; a hash of the id deals the documents.
+ROUNDS, TRAIN_BYTES = 4, 8 << 20
 #: Documents side by side when scoring and training, and tokens that a window holds.
-LANES, TRAIN_LANES, WINDOW, TRAIN_WINDOW = 256, 48, 64, 32
-RATE, CLIP = 4e-3, 1.0
-#: How many trained models one task averages.
-FAN_IN = 32
+LANES, TRAIN_LANES, WINDOW, TRAIN_WINDOW = 256, 256, 64, 16
+#: Tokens after which a longer document is trained on as if another began, so that lanes are alike in length.
+TRAIN_STRETCH = 256
+RATE, CLIP = 1.2e-2, 1.0
+#: How many trained models are averaged at once.
+FAN_IN = 16
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -130,18 +133,27 @@ class Network:
         back = back.reshape(states.shape)
         into = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
         dh = np.zeros_like(h)
+        befores, d_as = np.empty_like(states), np.empty_like(into)
         for t in range(len(inputs) - 1, -1, -1):
             before, r, z, new, a_new = kept[t]
-            dh = dh + back[t]
+            dh += back[t]
+            d, d_a = into[t], d_as[t]
             d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (before - new) * z * (1 - z)
-            d_r = d_new * a_new * r * (1 - r)
-            into[t] = np.concatenate([d_r, d_z, d_new], axis=1)
-            d_a = np.concatenate([d_r, d_z, d_new * r], axis=1)
-            grad.u += before.T @ d_a
-            dh = np.where(reset[t][:, None], 0, dh * z + d_a @ self.u.T).astype(np.float32)
+            d[:, HIDDEN : 2 * HIDDEN] = dh * (before - new) * z * (1 - z)
+            d[:, :HIDDEN] = d_new * a_new * r * (1 - r)
+            d[:, 2 * HIDDEN :] = d_new
+            d_a[:, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
+            d_a[:, 2 * HIDDEN :] = d_new * r
+            befores[t] = before
+            dh = dh * z + d_a @ self.u.T
+            if reset[t].any():
+                dh[reset[t]] = 0
+        grad.u[:] = befores.reshape(-1, HIDDEN).T @ d_as.reshape(-1, 3 * HIDDEN)
         grad.b[:] = into.sum(axis=(0, 1))
-        np.add.at(grad.x, inputs.ravel(), into.reshape(-1, 3 * HIDDEN))
+        order = np.argsort(inputs, axis=None, kind="stable")
+        own = inputs.ravel()[order]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        grad.x[own[begin]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], begin)
         return float(loss), grad.flat, states[-1]
 
 
@@ -169,9 +181,9 @@ def lanes(lens: np.ndarray, n: int) -> list[list[int]]:
 
 
 def laid_out(symbols: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets, resets and documents (-1: none), each steps x lanes. Document d has symbols[first[d]:first[d + 1]]."""
+    """Inputs, targets, resets and documents (-1: none), each steps x lanes, the longest lane first. Document d has symbols[first[d]:first[d + 1]]."""
     lens = np.diff(first)
-    dealt = [x for x in lanes(lens, max(1, min(n, len(lens)))) if x]
+    dealt = sorted((x for x in lanes(lens, max(1, min(n, len(lens)))) if x), key=lambda x: -int(lens[x].sum()))
     steps = max((int(lens[x].sum()) for x in dealt), default=0)
     inputs, targets = np.full((steps, len(dealt)), END, np.int32), np.full((steps, len(dealt)), END, np.int32)
     reset, doc = np.zeros((steps, len(dealt)), bool), np.full((steps, len(dealt)), -1, np.int32)
@@ -290,70 +302,75 @@ def vocabulary(counts: DataFrame, groups: int) -> Vocabulary:
     return Vocabulary(np.ascontiguousarray(top[:, 0]).view(np.uint64), top[:, 1], n[2], n[0], n[1])
 
 
-def train_part(net: Network, vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> int:
-    """Trains on some documents, once; returns the number of tokens."""
+def train(net: Network, vocab: Vocabulary, docs: pa.Table) -> int:
+    """Trains on some documents, once, in the order of their ids; returns the number of tokens."""
+    parts = list(tokens(docs.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_batches()))
+    h = np.concatenate([x for _, x, _ in parts])
+    symbols = vocab.symbols(h)
+    symbols[h == END_HASH] = END
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, _, f in parts]))])
+    first = np.unique(np.concatenate([first, *(np.arange(a, b, TRAIN_STRETCH) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]))
+    inputs, targets, reset, doc = laid_out(symbols, first, TRAIN_LANES)
     m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    step = seen = 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def learn() -> None:
-        nonlocal step, seen
-        symbols = np.concatenate([s for s, _ in held])
-        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
-        inputs, targets, reset, doc = laid_out(symbols, first, TRAIN_LANES)
-        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(inputs), TRAIN_WINDOW):
-            part = slice(t, t + TRAIN_WINDOW)
-            used = doc[part] >= 0
-            n = int(used.sum())
-            _, g, h = net.gradient(inputs[part], targets[part], reset[part], used, h)
-            g /= max(n, 1)
-            g *= min(1.0, CLIP / (float(np.sqrt((g * g).sum())) + 1e-9))
-            step, seen = step + 1, seen + n
-            m[:] = 0.9 * m + 0.1 * g
-            v[:] = 0.999 * v + 0.001 * g * g
-            net.flat -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        held.clear()
-
-    for _, h, first in tokens(batches):
-        s = vocab.symbols(h)
-        s[h == END_HASH] = END
-        held.append((s, first))
-        if sum(len(x) for x, _ in held) > 400_000:
-            learn()
-    if held:
-        learn()
-    return seen
-
-
-def shares(docs: DataFrame) -> list[DataFrame]:
-    """The documents that each round trains on: together all that are learned from, each once."""
-    learned = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
-    return [docs.where(learned & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)) for turn in range(ROUNDS)]
+    state = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+    for step, at in enumerate(range(0, len(inputs), TRAIN_WINDOW), 1):
+        busy = int((doc[at] >= 0).sum())  # the longest lanes come first
+        part = slice(at, at + TRAIN_WINDOW), slice(0, busy)
+        used = doc[part] >= 0
+        _, g, state = net.gradient(inputs[part], targets[part], reset[part], used, state[:busy])
+        g /= used.sum()
+        g *= min(1.0, CLIP / (float(np.sqrt((g * g).sum())) + 1e-9))
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        net.flat -= RATE / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return len(h)
+
+
+def shares(docs: DataFrame, trainers: int) -> list[DataFrame]:
+    """The documents that each round trains on, with their trainer: together all that are learned from, each once."""
+    learned = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS * trainers))
+    return [learned.where(F.floor(place / trainers) == turn).withColumn("trainer", F.pmod(place, F.lit(trainers)).cast("int")) for turn in range(ROUNDS)]
+
+
+MODEL = "trainer int, weight double, weights binary"
+
+
+def average(models: pa.Table) -> tuple[float, np.ndarray]:
+    """The weights and the weighted sum of some models, added up in the order of their trainers."""
+    models = models.combine_chunks().sort_by("trainer")
+    total = np.zeros(Network.size())
+    for x in models.column("weights"):
+        total += np.frombuffer(x.as_buffer(), np.float32)
+    return sum(models.column("weight").to_pylist()), total
 
 
 def trained(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """The averaged parameters after all rounds."""
+    trainers = max(1, -(-text_bytes(docs) // TRAIN_BYTES))
     flat = Network.start(vocab.counts).flat
-    for share in shares(docs):
-        given = flat
 
-        def run(batches: Iterator[pa.RecordBatch], given: np.ndarray = given) -> Iterator[pa.RecordBatch]:
+    def from_start(given: np.ndarray):
+        def run(key: tuple, own: pa.Table) -> pa.Table:
             net = Network(given.copy())
-            n = train_part(net, vocab, batches)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([(net.flat * np.float32(n)).tobytes()], pa.binary())], names=["weight", "weights"])
-
-        def average(part: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in part.column("weights"))
-            return pa.table({"weight": pa.array([sum(part.column("weight").to_pylist())], pa.float64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        models = share.mapInArrow(run, "weight double, weights binary").withColumn("part", F.spark_partition_id())
-        for _ in range(2):  # few models are left for the driver
-            models = models.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInArrow(lambda key, t: average(t).append_column("part", pa.array([key[0].as_py()], pa.int64())), "weight double, weights binary, part long")
-        rows = models.collect()
-        if weight := sum(r["weight"] for r in rows):
-            flat = (sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in rows) / weight).astype(np.float32)
+            n = train(net, vocab, own)
+            return pa.table({"trainer": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([n], pa.float64()), "weights": pa.array([(net.flat * np.float32(n)).tobytes()], pa.binary())})
+
+        return run
+
+    for share in shares(docs, trainers):
+
+        def add(key: tuple, some: pa.Table) -> pa.Table:
+            weight, total = average(some)
+            return pa.table({"trainer": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([weight], pa.float64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+        models, left = share.groupBy("trainer").applyInArrow(from_start(flat), MODEL), trainers
+        while left > FAN_IN:  # a few models are left for the driver
+            models = models.withColumn("trainer", F.floor(F.col("trainer") / FAN_IN).cast("int")).groupBy("trainer").applyInArrow(add, MODEL)
+            left = -(-left // FAN_IN)
+        weight, total = average(models.toArrow())
+        if weight:
+            flat = (total / weight).astype(np.float32)
     return flat
 
 
@@ -394,8 +411,9 @@ def scores(docs: DataFrame) -> DataFrame:
         inputs, targets, reset, of = laid_out(symbols, first, LANES)
         state = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for t in range(0, len(inputs), WINDOW):
-            part = slice(t, t + WINDOW)
-            states, _ = net.forward(inputs[part], reset[part], state)
+            busy = int((of[t] >= 0).sum())  # the longest lanes come first
+            part = slice(t, t + WINDOW), slice(0, busy)
+            states, _ = net.forward(inputs[part], reset[part], state[:busy])
             state = states[-1]
             used = of[part] >= 0
             by_other += np.bincount(of[part][used], net.log_probability(states[used], targets[part][used]), len(ids)) / np.log(10)
