@@ -1,11 +1,14 @@
 """Quality classifier by co-training of two views.
 
 One view is the text: shares of marks, digits, capitals, repeated lines and words, and which of the
-telling words a text has, beginnings of words included. The other is metadata: source, language and length. For each of two
-questions (low quality, toxic) each view has a logistic model. In rounds, each view labels those
-documents of an unlabelled pool that it is surest of, and the other view learns from them as well.
-Labelled documents that neither saw then calibrate both views and weigh them against each other,
-and the combined models score every document.
+telling words a text has, beginnings of words included. The other is metadata: source, language,
+both together, and length in quarters of a power of two. For each of two questions (low quality,
+toxic) each view has a logistic model. In rounds, each view labels those documents of an unlabelled
+pool that it is surest of, for either answer in proportion to how frequent that is, and the other
+view learns from them as well. Labelled documents that neither saw tell how far such labels are
+better than chance, and the labels weigh accordingly; those no better than chance are not given.
+The same documents then calibrate both views and weigh them against each other, and the combined
+models score every document.
 
 The models are fitted on at most LABELLED labelled documents and POOL others, taken by the hash of
 doc_id; those come to the driver as packed features, and are fitted there as lists of the words that
@@ -34,7 +37,8 @@ LABELLED, POOL = 15_000, 4_000
 BEGINNINGS = (4, 6)
 #: Telling words, documents that one must occur in, and standard errors that it must tell apart by.
 WORDS, LEAST_DOCUMENTS, LEAST_Z = 1024, 5, 3.5
-ROUNDS, SURE, PER_ROUND = 2, 0.97, 500
+#: Rounds of co-training, and labels that a view gives in the first; in later ones it gives twice as many, and so on.
+ROUNDS, PER_ROUND = 2, 500
 REJECT = 0.5
 QUESTIONS = ["low", "toxic"]
 
@@ -45,8 +49,8 @@ CLASSES = [MARKS & ~PLAIN_MARKS, np.isin(np.arange(256), [*b"|"]), (np.arange(25
 STATS = len(CLASSES) + 5
 #: Leading features of the text view that are numbers.
 NUMBERS = STATS + 2 * len(QUESTIONS)
-SOURCES, LANGS, LENGTHS = 64, 16, 16
-META = SOURCES + LANGS + LENGTHS
+SOURCES, LANGS, BOTH, LENGTHS = 64, 16, 256, 96
+META = SOURCES + LANGS + BOTH + LENGTHS
 
 
 def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +155,15 @@ def view_of_meta(meta: np.ndarray) -> Features:
 
 
 def meta_features(source: np.ndarray, lang: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One-hot: hashed source, hashed language, and the length's power of two."""
+    """One-hot: hashed source, hashed language, both, and the length's power of two in quarters."""
     n = len(source)
     out = np.zeros((n, META), bool)
     rows = np.arange(n)
     out[rows, source % SOURCES] = 1
     out[rows, SOURCES + lang % LANGS] = 1
-    out[rows, SOURCES + LANGS + np.minimum(np.log2(np.diff(bounds) + 1).astype(int), LENGTHS - 1)] = 1
+    both = mix(source.astype(np.uint64) * np.uint64(1 << 20) + lang.astype(np.uint64))
+    out[rows, SOURCES + LANGS + (both % np.uint64(BOTH)).astype(np.int64)] = 1
+    out[rows, SOURCES + LANGS + BOTH + np.minimum(4 * np.log2(np.diff(bounds) + 1), LENGTHS - 1).astype(np.int64)] = 1
     return out
 
 
@@ -177,15 +183,17 @@ class Logistic:
         return x.times(self.weights) + self.bias
 
 
-def fitted(x: Features, y: np.ndarray, ridge: float = 3e-4, steps: int = 200) -> Logistic:
-    """Logistic regression by accelerated gradient steps; without both answers, a constant."""
+def fitted(x: Features, y: np.ndarray, ridge: float = 3e-4, steps: int = 200, weigh: np.ndarray | None = None) -> Logistic:
+    """Logistic regression by accelerated gradient steps; without both answers, a constant. Rows weigh 1 if weigh isn't given."""
     if not len(y) or y.min() == y.max():
         return Logistic(np.zeros(x.width, np.float32), -20.0 if not len(y) or y.max() == 0 else 20.0)
+    share = (np.ones(len(y)) if weigh is None else weigh).astype(np.float32)
+    share /= share.sum()
     times = lambda w: x.times(w[:-1]) + w[-1]
     back = lambda r: np.append(x.back(r), r.sum()).astype(np.float32)
     v = np.ones(x.width + 1, np.float32)
     for _ in range(12):
-        v = back(times(v)) / len(x)
+        v = back(share * times(v))
         top = float(np.linalg.norm(v))
         v /= top
     w = np.zeros(x.width + 1, np.float32)
@@ -193,7 +201,7 @@ def fitted(x: Features, y: np.ndarray, ridge: float = 3e-4, steps: int = 200) ->
     keep = np.append(np.full(x.width, ridge, np.float32), 0)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(times(ahead), -30, 30)))
-        new = ahead - rate * (back(p - y) / len(y) + keep * ahead)
+        new = ahead - rate * (back(share * (p - y)) + keep * ahead)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return Logistic(w[:-1], float(w[-1]))
@@ -211,14 +219,14 @@ class View:
         return np.clip(self.model.logit(replace(x, numbers=(x.numbers - self.mean) / self.scale)), -15, 15)
 
 
-def view(x: Features, rows: np.ndarray, y: np.ndarray) -> View:
+def view(x: Features, rows: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> View:
     """Fits the given rows; their numbers are standardised."""
     own = x.take(rows)
     mean, scale = np.zeros(own.numbers.shape[1], np.float32), np.ones(own.numbers.shape[1], np.float32)
     if len(own):
         mean, scale = own.numbers.mean(axis=0), own.numbers.std(axis=0) + np.float32(1e-4)
         own.numbers = (own.numbers - mean) / scale
-    return View(mean, scale, fitted(own, y))
+    return View(mean, scale, fitted(own, y, weigh=weigh))
 
 
 def plain(*columns: np.ndarray) -> Features:
@@ -228,12 +236,13 @@ def plain(*columns: np.ndarray) -> Features:
 
 @dataclass
 class Judge:
-    """Both views of one question after co-training, and how to combine them."""
+    """Both views of one question after co-training, and how to combine them. gave: labels that each view gave in each round."""
 
     text: View
     meta: View
     calibrate: list[Logistic]
     combine: Logistic
+    gave: list[tuple[int, int]]
 
     def chances(self, text: Features, meta: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances by text, by metadata, and by both."""
@@ -242,22 +251,42 @@ class Judge:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*own, both))
 
 
+def surest(of_pool: np.ndarray, tested: np.ndarray, answers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the pool, answers and weights of the labels that a view gives.
+
+    of_pool: its logits of the pool. tested, answers: its logits of documents that it hasn't seen, and what they
+    are. A label weighs by how much better than chance the view is among as large a share of those.
+    """
+    places, labels, weights = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for answer in (0, 1):
+        chance = float((answers == answer).mean()) if len(answers) else 0.0
+        if not 0 < chance < 1:
+            continue
+        sign = 1 if answer else -1
+        best = np.argsort(-sign * of_pool, kind="stable")[: max(1, round(n * chance))]
+        top = np.argsort(-sign * tested, kind="stable")[: max(1, -(-len(tested) * len(best) // len(of_pool)))]
+        right = (float((answers[top] == answer).sum()) + chance) / (len(top) + 1)
+        if (better := (right - chance) / (1 - chance)) > 0:
+            places.append(best)
+            labels.append(np.full(len(best), answer))
+            weights.append(np.full(len(best), better))
+    return np.concatenate(places), np.concatenate(labels), np.concatenate(weights)
+
+
 def co_trained(text: Features, meta: Features, y: np.ndarray, held: np.ndarray) -> Judge:
-    """y: answers, with -1 for the pool. held: labelled rows that only calibrate."""
+    """y: answers, with -1 for the pool. held: labelled rows that tell how good the views are, and calibrate them."""
     labelled, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
-    given = [np.empty((2, 0), np.int64), np.empty((2, 0), np.int64)]  # rows and answers that each view got from the other
-    features = (text, meta)
+    unseen = np.flatnonzero((y >= 0) & held)
+    given = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * 2  # rows, answers and weights that each view got from the other
+    features, gave = (text, meta), []
     views: list[View] = []
     for turn in range(ROUNDS + 1):
-        views = [view(x, np.concatenate([labelled, g[0]]), np.concatenate([y[labelled], g[1]]).astype(np.float32)) for x, g in zip(features, given, strict=True)]
+        views = [view(x, np.concatenate([labelled, rows]), np.concatenate([y[labelled], labels]).astype(np.float32), np.concatenate([np.ones(len(labelled)), weights])) for x, (rows, labels, weights) in zip(features, given, strict=True)]
         if turn == ROUNDS or not len(pool):
             break
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-views[k].logit(features[k].take(pool))))
-            sure = np.maximum(p, 1 - p)
-            best = np.argsort(-sure, kind="stable")[: PER_ROUND * (turn + 1)]
-            best = best[sure[best] >= SURE]
-            given[1 - k] = np.stack([pool[best], (p[best] > 0.5).astype(np.int64)])
+        told = [surest(v.logit(x.take(pool)), v.logit(x.take(unseen)), y[unseen], PER_ROUND * (turn + 1)) for v, x in zip(views, features, strict=True)]
+        gave.append(tuple(len(rows) for rows, _, _ in told))
+        given = [(pool[rows], labels, weights) for rows, labels, weights in reversed(told)]
     test = held & (y >= 0)
     if not test.any():
         test = y >= 0
@@ -265,7 +294,7 @@ def co_trained(text: Features, meta: Features, y: np.ndarray, held: np.ndarray)
     tested = [v.logit(x.take(np.flatnonzero(test))) for v, x in zip(views, features, strict=True)]
     calibrate = [fitted(plain(z), answers) for z in tested]
     own = [np.clip(c.logit(plain(z)), -15, 15) for c, z in zip(calibrate, tested, strict=True)]
-    return Judge(*views, calibrate, fitted(plain(*own), answers))
+    return Judge(*views, calibrate, fitted(plain(*own), answers), gave)
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
