@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespan.llm.common import WHITE, Words, columns, documents, ids_of, mix, table
+from notespan.llm.common import WHITE, Words, columns, documents, ids_of, mix, names, table, written
 
 WIDTH, SIMILAR = 5, 0.8
 BITS, RADIUS = 128, 35
@@ -233,7 +233,11 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return own.mapInArrow(run, FOUND)
 
-    parts = [search(items) for items in passes(benchmark)]
+    parts: list[DataFrame] = []
+    for items in passes(benchmark):
+        if parts:  # one index at a time is on the driver: what the one before found is written first
+            parts[-1] = written(parts[-1])
+        parts.append(search(items))
     if not parts:
         return docs.sparkSession.createDataFrame([], FOUND)
     best = F.max_by(F.struct("similarity", "first_word", "n_words"), F.struct("similarity", -F.col("first_word"))).alias("b")
@@ -242,7 +246,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that contain an item."""
-    return docs.join(contained(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contained(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*names(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
