@@ -14,11 +14,12 @@ Null texts are empty, and empty texts have no spans. Places are code points, the
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespan.llm.common import documents, table
+from notespan.llm.common import documents, named, names, table
 
 # The forms of secrets, in the order in which spans of one start are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,18 +43,39 @@ DISCOUNT = 4
 LEAST_MEAN, LEAST_TOTAL = 0.5, 12.0
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each of an array's numbers (long), that number and all before it put together: their sums, or what add makes of two.
+
+    An array grows by copying, so this is done within stretches as long as the number of stretches, and then for the stretches.
+    """
+    empty = lambda: F.array().cast("array<bigint>")
+    put = lambda last, x: F.coalesce(add(last, x), x)
+
+    def each(values: Column) -> Column:
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), empty().alias("out"))
+        return F.aggregate(values, start, lambda s, x: bound(put(s["last"], x), lambda y: F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out"))))["out"]
+
+    def whole(values: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(values))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / size).cast("int") - 1), lambda i: F.slice(values, i * size + 1, size))
+        return bound(F.transform(parts, each), lambda ps: bound(each(F.transform(ps, lambda p: F.element_at(p, -1))), lambda ends: F.flatten(F.transform(ps, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: put(F.get(ends, i - 1), x)))))))
+
+    return bound(numbers, lambda values: F.when(F.size(values) > 64, whole(values)).otherwise(each(values)))
+
+
 def matches(text: Column, pattern: str, group: int) -> Column:
     """start, end and value (the group) of every match, leftmost first, none inside another."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lens = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(whole, F.length), lambda a, b: F.struct(a.cast("long").alias("before"), F.coalesce(b, F.lit(0)).cast("long").alias("own")))
-    starts = F.aggregate(
-        lens, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["before"])).alias("out")),
-    )["out"]
     values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    ends = F.zip_with(starts, F.transform(whole, F.length), lambda a, n: F.struct(a.alias("start"), (a + n).alias("end")))
-    # starts has one more: where the last piece ends
-    return F.zip_with(F.slice(ends, F.lit(1), F.size(whole)), values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
+    lens = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), whole, lambda a, b: F.when(b.isNotNull(), a.cast("long") + F.length(b)))
+    ends = running(F.filter(lens, lambda x: x.isNotNull()))
+    places = F.zip_with(ends, whole, lambda e, w: F.struct((e - F.length(w)).alias("start"), e.alias("end")))
+    return F.zip_with(places, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
 
 
 NO_MATCH = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -105,13 +127,35 @@ def likely(token: Column, cells: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+#: Code points of the stretches that a text is cut into, so that a place in it is found without counting from its beginning.
+STRETCH = 4096
+
+
+def between(stretches: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end (exclusive) of a text that was cut into stretches."""
+    first, last = F.floor(start / STRETCH).cast("int"), F.floor((end - 1) / STRETCH).cast("int")
+    own = lambda i, a, n: F.substring(F.get(stretches, i), a.cast("int"), n.cast("int"))
+    head = own(first, start - first * STRETCH + 1, F.least(end - start, F.lit(STRETCH)))
+    middle = F.array_join(F.slice(stretches, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(end <= start, "").when(first == last, head).otherwise(F.concat(head, middle, own(last, F.lit(1), end - last * STRETCH)))
+
+
+def replaced(text: Column, spans: str, mask: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with a mask in place of each stretch that spans (sorted by start) cover. mask gets a span's start, its end and where the spans before it end."""
+
+    def done(stretches: Column) -> Column:
+        reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+        pairs = bound(reach, lambda r: F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(r, i - 1)).alias("at"))))
+        piece = lambda x: F.when(x["end"] > x["at"], F.concat(between(stretches, x["at"], x["start"]), mask(x["start"], x["end"], x["at"]))).otherwise("")
+        tail = between(stretches, F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(pairs, piece), ""), tail)
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), done)
+
+
 def blanked(text: Column, spans: str) -> Column:
     """The text with blanks, as many as there were characters, in place of the spans (sorted)."""
-    return F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x["end"] > s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int")), F.repeat(F.lit(" "), (x["end"] - F.greatest(x["start"], s["at"])).cast("int"))).alias("out"))).otherwise(s),
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
+    return replaced(text, spans, lambda start, end, at: F.repeat(F.lit(" "), (end - F.greatest(start, at)).cast("int")))
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -138,17 +182,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span of its texts replaced by the mask; overlapping spans become one. Other columns stay; n_chars, if there, is counted anew."""
-    cut = F.aggregate(
-        "spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x["end"] > s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int")), F.when(x["start"] >= s["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"))).otherwise(s),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
-    )
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_row"))
+    cut = replaced(F.col("text"), "spans", lambda start, end, at: F.when(start >= at, F.lit(mask)).otherwise(""))
+    rows = docs.select(named("doc_id").alias("doc_id"), named("text").cast("string").alias("text"), F.struct(*names(docs)).alias("_row"))
     out = scan(rows).select("_row", F.size("spans").alias("n"), F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return out.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*(new.get(c, named(c, "_row.")).alias(c) for c in docs.columns))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
