@@ -1,7 +1,9 @@
 """Shared helpers: word splitting and fingerprints over Arrow text columns, table sizes, the shared work folder.
 
-Words are compared by 64-bit fingerprints: each byte of a word adds a random number that
-depends on the byte and its place. Two different words meet with a probability of 2^-64.
+Words are compared by 64-bit fingerprints. Each byte of a stretch of 64 adds a random number that
+depends on the byte and its place; the sums of the later stretches of a longer word are mixed with
+the stretch's number before they are added, so no order or repetition of stretches cancels out. Two
+different words meet with a probability of about 2^-64.
 """
 
 from __future__ import annotations
@@ -46,6 +48,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def fingerprints(own: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A fingerprint for each word, from the words' bytes end to end and their lengths (1 at least)."""
+    if not len(lens):
+        return np.empty(0, np.uint64)
+    at = np.cumsum(lens) - lens
+    place = np.arange(len(own), dtype=np.int64) - np.repeat(at, lens)
+    values = byte_numbers()[((place & (PLACES - 1)) << 8) | own]
+    if lens.max() > PLACES:
+        begin = np.flatnonzero((place & (PLACES - 1)) == 0)
+        number = (place[begin] // PLACES).astype(np.uint64)
+        sums = np.add.reduceat(values, begin)
+        later = number > 0
+        sums[later] = mix(mix(sums[later]) + mix(number[later]))
+        total = np.add.reduceat(sums, np.searchsorted(begin, at))
+    else:
+        total = np.add.reduceat(values, at)
+    return mix(total + lens.astype(np.uint64))
+
+
 class Words:
     """The words of some texts, end to end.
 
@@ -75,16 +96,7 @@ class Words:
 
     @functools.cached_property
     def hash(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, np.uint64)
-        own = self.data[self._inside]
-        lens = self.end - self.start
-        at = np.cumsum(lens) - lens
-        place = np.arange(len(own), dtype=np.int64) - np.repeat(at, lens)
-        values = byte_numbers()[((place & (PLACES - 1)) << 8) | own]
-        if lens.max() > PLACES:
-            values = values * (2 * (place // PLACES) + 1).astype(np.uint64)
-        return mix(np.add.reduceat(values, at) + lens.astype(np.uint64))
+        return fingerprints(self.data[self._inside], self.end - self.start)
 
     @functools.cached_property
     def text_of(self) -> np.ndarray:
@@ -182,5 +194,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def names(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names hold."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str, of: str = "") -> Column:
+    """A column, or a field of the struct of, by its exact name."""
+    return F.col(of + "`" + name.replace("`", "``") + "`")
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return named(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -77,6 +77,8 @@ class Licences:
     def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], rules: Rules):
         self.rules = rules
         hashes = [words_of(t).hash for t, _ in phrases] + [words_of(t).hash for _, t in templates]
+        #: Words of the shortest run that is streamed: a phrase may be shorter than a match that counts.
+        self.least = max(1, min([rules.least, *(len(h) for h in hashes[: len(phrases)] if len(h))]))
         self.known = np.unique(np.concatenate(hashes))
         strings = [np.searchsorted(self.known, h).tolist() for h in hashes]
         n = len(self.known)
@@ -90,21 +92,21 @@ class Licences:
         for p, s in enumerate(strings[: len(phrases)]):
             state = functools.reduce(lambda at, w: self.auto.next[at][w], s, 0)
             self.spoken.setdefault(state, []).append(p)
-        # Of each state: the templates that have its run of words, and where that first ends in each.
-        self.ends: list[dict[int, int]] = [{} for _ in self.auto.link]
+        # Of each state: the templates that have its run of words, and all places where it ends in each.
+        self.ends: list[dict[int, list[int]]] = [{} for _ in self.auto.link]
         for k, s in enumerate(strings[len(phrases) :]):
             state = 0
             for end, w in enumerate(s, 1):
                 state = self.auto.next[state][w]
                 up = state
-                while up > 0 and k not in self.ends[up]:
-                    self.ends[up][k] = end
+                while up > 0:
+                    self.ends[up].setdefault(k, []).append(end)
                     up = self.auto.link[up]
 
     def runs(self, words: Words) -> Iterator[tuple[int, int, list[int]]]:
-        """Text, place and numbers of the words, where least or more words stand together that templates have in pairs."""
+        """Text, place and numbers of the words, where enough words stand together that templates have in pairs."""
         h = words.hash
-        if len(h) < self.rules.least:
+        if len(h) < self.least:
             return
         at = np.searchsorted(self.known, h)
         at[at == len(self.known)] = 0
@@ -113,11 +115,15 @@ class Licences:
         pair = at[:-1] * n + at[1:]
         near = np.flatnonzero(fits[:-1] & fits[1:] & (words.text_of[:-1] == words.text_of[1:]))
         near = near[np.isin(pair[near], self.pairs)]
+        if self.least == 1:  # single words may be phrases
+            alone = np.setdiff1d(np.flatnonzero(fits), np.concatenate([near, near + 1]))
+            for k in alone.tolist():
+                yield int(words.text_of[k]), int(k - words.first[words.text_of[k]]), at[k : k + 1].tolist()
         if not len(near):
             return
         cut = np.flatnonzero(np.diff(near) > 1) + 1
         for run in np.split(near, cut):
-            if len(run) + 1 >= self.rules.least:
+            if len(run) + 1 >= self.least:
                 text = int(words.text_of[run[0]])
                 yield text, int(run[0] - words.first[text]), at[run[0] : run[-1] + 2].tolist()
 
@@ -140,23 +146,25 @@ class Licences:
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[dict]:
         """The spans: label, first word, word after the last, share of the template covered."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
+        by: dict[int, list[tuple[int, int, list[int]]]] = {}
         for start, n, state in matches:
-            for k, end in self.ends[state].items():
-                by.setdefault(k, []).append((start, n, end - n))
+            for k, ends in self.ends[state].items():
+                by.setdefault(k, []).append((start, n, [end - n for end in ends]))
         spans, skip = [], len(self.phrases)
         for k, found in by.items():
             size, chain = self.sizes[skip + k], []
             for m in [*found, None]:
                 if m and chain:
                     text_end, place_end = chain[-1][0] + chain[-1][1], chain[-1][2] + chain[-1][1]
-                    over = max(0, text_end - m[0], place_end - m[2])
-                    if m[0] - text_end <= self.rules.gap and over < m[1] and m[2] + m[1] > place_end:
-                        chain.append((m[0] + over, m[1] - over, m[2] + over))
+                    # Of the template's places that go on from the chain, the one that overlaps it least, and then the nearest.
+                    over = [(max(0, text_end - m[0], place_end - p), p) for p in m[2] if p + m[1] > place_end]
+                    if over and m[0] - text_end <= self.rules.gap and min(over)[0] < m[1]:
+                        skipped, place = min(over)
+                        chain.append((m[0] + skipped, m[1] - skipped, place + skipped))
                         continue
                 if chain and (share := sum(c[1] for c in chain) / size) > 0:
                     spans.append({"label": self.labels[k], "start": chain[0][0], "end": chain[-1][0] + chain[-1][1], "share": share})
-                chain = [m] if m else []
+                chain = [(m[0], m[1], m[2][0])] if m else []
         return spans
 
 

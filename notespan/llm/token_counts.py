@@ -2,10 +2,11 @@
 
 A batch of changes holds inserts, deletes and revised counts of documents. It is reduced to signed
 deltas of two additive totals, documents and tokens, for each source, language and tokenizer
-version, and committed under its name: the deltas are written to a folder of that name, then a
-marker makes them count. A batch whose marker is there is not applied again; one that broke off
-before its marker is written anew. Totals are the sums of committed deltas; groups without
-documents are left out.
+version, and committed under its name: each attempt writes its deltas to a folder of its own, then a
+marker with the batch's name, which only one attempt can make, says which folder counts. A batch
+whose marker is there is not applied again; one that broke off before its marker is written anew.
+compact() sums up the batches so far, so that totals read one table and the batches after it.
+Totals are the sums of committed deltas; a group goes when it has neither documents nor tokens.
 
 Deltas are pre-aggregated where the changes are, so a source with a third of all rows costs no more
 than another. Null sources, languages and versions are groups of their own; null counts are 0.
@@ -14,6 +15,9 @@ Changes of an unknown kind are an error. No batches: no totals.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,27 +47,65 @@ class Rollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _markers(self) -> dict[str, str]:
+        """The batches that count, and the folder of each."""
+        fs, at = self._path("commits")
+        if not fs.exists(at):
+            return {}
+        return dict(r["value"].split("\t") for r in self.spark.read.text(f"{self.folder}/commits").collect())
+
     def committed(self) -> list[str]:
         """The names of the batches that count."""
-        fs, at = self._path("commits")
-        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+        return sorted(self._markers())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch, unless it has been; whether it did. changes has KEYS, change, before and after."""
         fs, marker = self._path("commits", batch)
         if fs.exists(marker):
             return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
-        fs.create(marker, False).close()
-        return True
+        attempt = f"{batch}-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(f"{self.folder}/deltas/{attempt}")
+        return self._mark(batch, attempt)
+
+    def _mark(self, batch: str, attempt: str) -> bool:
+        """Makes an attempt count, unless another of its batch does: the marker is written aside and then renamed, which fails where there is one."""
+        fs, marker = self._path("commits", batch)
+        _, aside = self._path("attempts", attempt)
+        out = fs.create(aside, False)
+        out.write(bytearray(f"{batch}\t{attempt}".encode()))
+        out.close()
+        fs.mkdirs(marker.getParent())
+        return not fs.exists(marker) and fs.rename(aside, marker)
+
+    def compact(self) -> None:
+        """Sums up the batches so far. A run that breaks off leaves the totals as they are."""
+        names = self.committed()
+        if names:
+            kept = f"{self.folder}/compacted/{uuid.uuid4().hex}"
+            self._sums(self._markers()).withColumn("batches", F.array(*map(F.lit, names))).write.parquet(kept)
+            fs, at = self._path("latest")
+            out = fs.create(at, True)
+            out.write(bytearray(kept.encode()))
+            out.close()
+
+    def _sums(self, markers: dict[str, str]) -> DataFrame:
+        fs, latest = self._path("latest")
+        parts, done = [], set()
+        if fs.exists(latest):
+            kept = self.spark.read.parquet(self.spark.read.text(f"{self.folder}/latest", wholetext=True).first()[0])
+            done = set((kept.select("batches").first() or [[]])[0])
+            parts.append(kept.select(*KEYS, "documents", "tokens"))
+        if rest := [folder for name, folder in markers.items() if name not in done]:
+            parts.append(self.spark.read.schema(DELTAS).parquet(*(f"{self.folder}/deltas/{x}" for x in rest)))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_documents, n_tokens."""
-        batches = self.committed()
-        if not batches:
+        markers = self._markers()
+        if not markers:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_documents long, n_tokens long")
-        rows = self.spark.read.schema(DELTAS).parquet(*(f"{self.folder}/deltas/{b}" for b in batches))
-        return rows.groupBy(*KEYS).agg(F.sum("documents").alias("n_documents"), F.sum("tokens").alias("n_tokens")).where("n_documents != 0 or n_tokens != 0")
+        return self._sums(markers).select(*KEYS, F.col("documents").alias("n_documents"), F.col("tokens").alias("n_tokens")).where("n_documents != 0 or n_tokens != 0")
 
 
 # What the tokenizer versions count. The first was revised to leave out marks without letters or digits.
