@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notespan.llm import jaccard, lm, neighbours, quality, registry, substrings, token_counts
+from notespan.llm import common, jaccard, lm, neighbours, quality, registry, substrings, token_counts
 from notespan.llm.common import work_folder
 from notespan.llm.components import components
 from tests.compare import by_spark, by_sql
@@ -46,6 +46,35 @@ def test_substrings(spark):
     assert substrings.kept(X.empty(spark)).count() == 0
 
 
+def long_words():
+    """Documents that differ in words of over 64 bytes alone: other orders, repetitions and lengths of the same stretches."""
+    a, b, c = ("abc"[k] * 64 for k in range(3))
+    words = [a + b + b + a, b + a + a + b, a + b, b + a, a + a, a, a + "a", a + b + c, c + b + a, a + c + b, a * 15, a * 14 + b, b + a * 14, (a + b) * 7, (b + a) * 7, "a" * 1000, "a" * 999 + "b"]
+    return [(9000 + i, " ".join(f"{w}{k}" if k == 3 else f"v{k}" for k in range(25)).replace("3", "")) for i, w in enumerate(words)]
+
+
+def test_words_of_the_same_stretches_are_told_apart(spark):
+    docs = long_words()
+    assert len({t for _, t in docs}) == len(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.kept(df, texts=False).collect()} == removed(docs)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_copies(df).collect()} == linked(docs)
+    c = collections.Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    assert {r["doc_id"]: r["n_known"] for r in lm.scores(df).collect()} == {i: sum(c[w] > 0 for w in t.split()) + 1 for i, t in docs}
+
+
+def test_fingerprints_differ_as_words_do():
+    r, words = random.Random(7), set()
+    for _ in range(4000):
+        n = r.choice([1, 5, 63, 64, 65, 128, 129, 192, 300, 1000])
+        words.add(b"".join(bytes([r.choice(b"ab")]) * min(64, n - k) for k in range(0, n, 64)))
+    words = sorted(words)
+    h = common.fingerprints(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+    assert len(set(h.tolist())) == len(words)
+    short = [w for w in words if len(w) <= 64]
+    assert common.fingerprints(np.frombuffer(b"".join(short), np.uint8), np.array([len(w) for w in short])).tolist() == [x for x, w in zip(h.tolist(), words, strict=True) if len(w) <= 64]
+
+
 def test_substrings_with_long_prefixes_and_seen_windows(spark, monkeypatch):
     monkeypatch.setattr(substrings, "FREQUENT", 1)
     monkeypatch.setattr(substrings, "VERY_FREQUENT", 3)
@@ -86,7 +115,10 @@ def test_near_copies(spark, monkeypatch, frequent):
     assert jaccard.near_copies(X.empty(spark)).count() == 0
 
 
-def test_a_large_family(spark):
+@pytest.mark.parametrize(("frequent", "block"), [(12, 1024), (4, 16)])
+def test_a_large_family(spark, monkeypatch, frequent, block):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(8)
     base, docs = [f"w{k}" for k in range(120)], []
     for i in range(150):
@@ -98,6 +130,27 @@ def test_a_large_family(spark):
     assert got == linked(docs)
 
 
+def test_blocks_leave_out_no_pair_and_stay_small(spark, monkeypatch):
+    """A family just below the threshold with some links, and one large component."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 60 - k % 9, replace=False), r.integers(0, 2**63, k % 9, dtype=np.uint64)])) for k in range(300)]
+    roots = [5 if k % 3 == 0 else k for k in range(300)]
+    signatures = [[100 + j for j in range(6) if (k >> j) & 1 or k % 5 == j] for k in range(300)]
+    size = np.array([len(x) for x in sets])
+    sketch = jaccard.sketches(np.repeat(np.arange(300), size), np.concatenate(sets), size)
+    nodes = spark.createDataFrame([(k, int(size[k]), bytearray(sketch[k])) for k in range(300)], "node long, n_shingles long, sketch binary")
+    shared = spark.createDataFrame([(s, 0, k, roots[k]) for k in range(300) for s in signatures[k]], "signature long, centre long, node long, root long")
+    members = jaccard.blocked(shared, nodes)
+    sizes = {x["block"]: (x["n"], x["roots"]) for x in members.groupBy("block").agg(F.count("*").alias("n"), F.collect_set("root").alias("roots")).collect()}
+    assert max(n for n, _ in sizes.values()) <= 80 and all(x == [5] or 5 not in x for _, x in sizes.values()) and len(sizes) > 7
+    got = {(x["a"], x["b"]) for x in jaccard.unconnected(members, False).collect()}
+    must = {(a, b) for a in range(300) for b in range(a + 1, 300) if roots[a] != roots[b] and set(signatures[a]) & set(signatures[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert must <= got and len(must) > 100
+    assert {(x["a"], x["b"]) for x in jaccard.unconnected(members, True).collect()} <= got
+
+
 @pytest.mark.parametrize(("common", "one", "other"), [(4, 0, 1), (8, 0, 2), (9, 1, 1), (12, 1, 2), (13, 0, 3), (16, 0, 4), (20, 1, 4)])
 def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_there(common, one, other):
     r, n, edges = np.random.default_rng(0), 20_000, np.array(jaccard.bands())
@@ -178,7 +231,9 @@ def test_probabilities_sum_to_one_and_windows_carry_the_state():
 
 
 def test_the_network_trains_on_every_learned_document_once(spark):
-    given = [r["doc_id"] for share in lm.shares(X.frame(spark).where("doc_id is not null")) for r in share.select("doc_id").collect()]
+    dealt = [share.select("doc_id", "trainer").collect() for share in lm.shares(X.frame(spark).where("doc_id is not null"), 3)]
+    given = [r["doc_id"] for rows in dealt for r in rows]
+    assert len(dealt) == lm.ROUNDS and all({r["trainer"] for r in rows} == {0, 1, 2} for rows in dealt)
     assert sorted(given) == sorted(i for i, _ in X.known() if zlib.crc32(str(i).encode()) % 7 != 2)
 
 
@@ -190,6 +245,15 @@ def test_learned_scores_beat_counts_on_held_out(spark):
     assert got[0] > got[1]
 
 
+def test_scores_do_not_depend_on_how_the_input_is_split_and_beat_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    runs = [{r["doc_id"]: r for r in lm.scores(docs.repartition(n)).collect()} for n in (4, 64)]
+    held = [i for i, r in runs[0].items() if r["held_out"]]
+    assert sum(runs[0][i]["score"] for i in held) > 0.96 * sum(runs[0][i]["base_score"] for i in held)
+    assert all(runs[1][i]["score"] == pytest.approx(r["score"], rel=1e-4) for i, r in runs[0].items())
+
+
 def vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(1500, 16)).astype(np.float32)
@@ -235,6 +299,11 @@ def test_rollup_commits_once(spark):
     with pytest.raises(Exception, match="unknown change"):
         rollup.commit("3", change(("a", "en", "v1", "what", 1, 1)))
     assert rollup.committed() == ["1", "2"]
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 4)]
+    assert rollup.commit("4", change(("a", "en", "v1", "insert", None, 3))) and not rollup.commit("4", one)
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 7)]
 
 
 def test_quality_on_held_out_labels(spark):
@@ -246,6 +315,36 @@ def test_quality_on_held_out_labels(spark):
     assert (~got["keep"][got["toxic"] == 1]).mean() > 0.85
 
 
+def test_both_views_give_labels_that_help_the_other(spark):
+    """Half of the words and half of the sources tell; labelled are too few for the text view alone to know all words."""
+    r = random.Random(3)
+    docs, labels, truth = [], [], {}
+    for i in range(6000):
+        bad = i % 4 == 0
+        sure = r.random() < 0.7
+        source = f"s{r.randint(0, 9) + (10 if bad else 0)}" if sure else f"s{r.randint(20, 29)}"
+        words = [f"{'b' if bad else 'g'}{r.randint(0, 12)}" for _ in range(2)] if r.random() < 0.8 else []
+        docs.append((i, " ".join(words + [f"n{r.randint(0, 300)}" for _ in range(20)]), "en", source))
+        truth[i] = bad
+        if i < 1500:
+            labels.append((i, 0 if bad else 1, 0))
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    judge = quality.trained(df, marks)[2][0]
+    assert len(judge.gave) == quality.ROUNDS and all(a > 0 and b > 0 for a, b in judge.gave)
+    assert all((judge.combine.weights > 0).tolist())
+    got = {x["doc_id"]: x for x in quality.scored(df, marks).collect()}
+    right = lambda c: sum((got[i][c] >= 0.5) == truth[i] for i in range(1500, 6000)) / 4500
+    assert right("low") > max(right("low_by_text"), right("low_by_meta")) and right("low") > 0.93
+
+
+def test_labels_of_a_view_that_knows_nothing_are_not_given():
+    r = np.random.default_rng(0)
+    answers = np.arange(400) % 2
+    assert len(quality.surest(r.normal(size=1000), np.where(answers == 1, -1.0, 1.0), answers, 100)[0]) == 0
+    rows, labels, weights = quality.surest(np.arange(1000.0), np.where(answers == 1, 1.0, -1.0), answers, 100)
+    assert sorted(rows.tolist()) == [*range(50), *range(950, 1000)] and (labels == (rows >= 500)).all() and (weights > 0.9).all()
+
+
 def test_quality_keeps_rare_telling_words(spark):
     rare = 600
     marked = [f"q{k:03d}" for k in range(rare)] * 12

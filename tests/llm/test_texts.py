@@ -1,11 +1,16 @@
 """Operators on single texts against brute force."""
 
+import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from notespan.llm import bpe, decontamination, licences, secrets
@@ -30,18 +35,56 @@ def test_licences(spark):
     assert licences.labelled(X.empty(spark)).count() == 0
 
 
+def test_licence_phrases_of_any_length(spark):
+    df = spark.createDataFrame([(1, "the mit license and isc, mit isc"), (2, "bsd")], "doc_id long, text string")
+    got = {r["doc_id"]: [(p["label"], p["start"]) for p in r["places"]] for r in licences.scan(df, phrases={"mit license": "mit", "isc": "isc"}).collect()}
+    assert sorted(got[1], key=lambda x: x[1]) == [("mit", 1), ("isc", 4), ("isc", 6)] and got[2] == []
+
+
+def test_matching_statistics_and_chains(spark):
+    """Matches against all runs of template words; a chain over a template that repeats a run."""
+    r = random.Random(3)
+    templates = [("a", "p q r s p q r t u v p q r w"), ("b", "x y z p q r x y z s t u")]
+    own = licences.Licences(tuple(templates), (), licences.Rules())
+    runs = {tuple(t.split()[i:j]) for _, t in templates for i in range(20) for j in range(i + 1, 20)}
+    for _ in range(300):
+        w = [r.choice("p q r s t u v w x y z k".split()) for _ in range(r.randint(0, 30))]
+        want = set()
+        longest = [max((n for n in range(i + 1) if tuple(w[i - n : i]) in runs), default=0) for i in range(len(w) + 1)]
+        for i in range(1, len(w) + 1):
+            if longest[i] >= 3 and (i == len(w) or longest[i + 1] <= longest[i]):
+                want.add((i - longest[i], longest[i]))
+        words = licences.words_of(" ".join(w))
+        assert {(a, n) for _, start, numbers in own.runs(words) for a, n, _ in own.stream(start, numbers)[1]} == want
+    df = spark.createDataFrame([(1, templates[0][1]), (2, "p q r s p q r gap t u v p q r w"), (3, "u v p q r w")], "doc_id long, text string")
+    spans = {x["doc_id"]: {s["label"]: (s["start"], s["end"], round(s["share"], 3)) for s in x["spans"]} for x in licences.scan(df, templates=templates, phrases={}).collect()}
+    assert spans[1]["a"] == (0, 14, 1.0) and spans[2]["a"] == (0, 15, 1.0) and spans[3]["a"][2] == round(6 / 14, 3)
+
+
 def test_bpe_equals_the_library():
     mine, other = bpe.tokenizer(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
     r = random.Random(2)
     letters = "abcdehrstABC019 \n\t\r\x0b'\"“é日本\x1c\x85\xa0　 !?..--__<>|😀́²½"
     odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(4000)]
     odd += [t or "" for t in X.texts()] + ["x <|endoftext|> y<|endoftext|>", "a" * 3000, "I'll can't 'S we've", "\n\n a"]
-    for t in odd:
+    odd += ["  <|endoftext|> <|endoftext|>\n", "<|endof", "text|> a", "don't 'tis ''s x'RE 1's", "a1b2 c3. d.e\nf\n\ng \nh", "y" * 60 + " " + "z7" * 40]
+    raw = [t.encode() for t in odd]
+    flat, counts = mine.encode_all(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(odd):
         ids = mine.encode(t)
+        assert flat[ends[k] : ends[k + 1]].tobytes() == ids
         assert np.frombuffer(ids, "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
         assert mine.decode_bytes(ids).decode() == t
 
 
+def test_bpe_takes_no_part_for_another(monkeypatch):
+    monkeypatch.setattr(bpe, "fingerprints", lambda data, lens: (lens % 3).astype(np.uint64))
+    mine, other = bpe.Tokenizer(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    text = "one two six ten " * 3 + "seven"
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_rows(spark):
     got = {r["doc_id"]: r for r in bpe.encoded(X.frame(spark), bpe.vocabulary()).collect()}
     assert len(got) == len(X.known())
@@ -77,6 +120,38 @@ def test_secrets(spark):
     assert secrets.digests(X.empty(spark)).count() == 0
 
 
+def test_running_sums_of_any_length(spark):
+    sizes = [0, 1, 2, 63, 64, 65, 66, 100, 1000, 5001]
+    r = random.Random(1)
+    given = [(k, [r.randint(0, 99) for _ in range(n)]) for k, n in enumerate(sizes)]
+    rows = spark.createDataFrame(given, "k long, v array<long>").select("k", secrets.running(F.col("v")).alias("sums"), secrets.running(F.col("v"), F.greatest).alias("most")).collect()
+    for row in rows:
+        v = given[row["k"]][1]
+        assert row["sums"] == list(itertools.accumulate(v)) and row["most"] == list(itertools.accumulate(v, max))
+
+
+def test_secrets_of_long_texts_with_very_many_matches(spark):
+    r = random.Random(5)
+    code = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    docs = [(1, " ".join(f"é😀 {code()}" for _ in range(20_000))), (2, "x " * 9000 + code() + "é" * 9000), (3, code() + " y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    began = time.time()
+    got = {x["doc_id"]: x for x in secrets.digests(df).collect()}
+    out = {x["doc_id"]: x["text"] for x in secrets.redacted(df).collect()}
+    assert time.time() - began < 60
+    for i, t in docs:
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t)).encode()).hexdigest()
+        assert out[i] == re.sub("[0-9a-f]{32,}", "[secret]", t)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "key 0123456789abcdef0123456789abcdef", 5, 6)], "doc_id long, text string, `a.b` int, `c``d` int")
+    out = secrets.redacted(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "key [secret]", 5, 6)
+    marks = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert tuple(decontamination.clean(df, marks).first()) == tuple(df.first())
+
+
 def test_markov_finds_random_strings(spark):
     r = random.Random(1)
     key = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
@@ -153,6 +228,46 @@ def test_decontamination_is_the_same_in_any_number_of_passes(spark, monkeypatch)
     assert sorted(map(tuple, decontamination.contained(docs, marks).collect())) == one and len(one) > 15
 
 
+def weighted_similar(doc, items):
+    """Item, first word and similarity of every window as long as an item that is similar to it."""
+    shingled = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    spread = collections.Counter(s for _, t in items for s in set(shingled(t.lower().split())))
+    weigh = lambda s: max(1, round(16 / math.sqrt(max(spread[s], 1))))
+    total = lambda bag: sum(n * weigh(s) for s, n in bag.items())
+    w, out = doc.lower().split(), []
+    for item, t in items:
+        other = t.lower().split()
+        bag = collections.Counter(shingled(other))
+        for i in range(len(w) - len(other) + 1):
+            own = collections.Counter(shingled(w[i : i + len(other)]))
+            both = total(own & bag)
+            if both / (total(own) + total(bag) - both) >= 0.8 - 1e-12:
+                out.append((item, i, both / (total(own) + total(bag) - both)))
+    return out
+
+
+@pytest.mark.parametrize("pass_bytes", [4 << 20, 1000])
+def test_contained_equals_brute_force(spark, monkeypatch, pass_bytes):
+    monkeypatch.setattr(decontamination, "PASS_BYTES", pass_bytes)
+    r = random.Random(12)
+    shared = [[f"s{k}_{j}" for j in range(10)] for k in range(3)]
+    items = [(i, " ".join([f"i{i}_{j}" for j in range(r.randint(20, 60))] + r.choice(shared) * r.choice([0, 1, 1]))) for i in range(25)]
+    docs = []
+    for i in range(200):
+        w = r.choice(items)[1].split()
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            w[r.randrange(len(w))] = "new"
+        docs.append((i, " ".join([f"d{k}" for k in range(r.randint(0, 9))] + w + ["end"] * r.randint(0, 4))))
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["first_word"]) for x in decontamination.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in docs:
+        for item, at, s in weighted_similar(t, items):
+            want[d, item] = max(want.get((d, item), (0, 0)), (s, -at))
+    want = {k: (s, -at) for k, (s, at) in want.items()}
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.01 * len(want) and len(want) > 60
+    assert all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in got)
+
+
 @pytest.mark.parametrize("bits", [0, 10, 25, 35])
 def test_blocks_guarantee_the_radius(bits):
     r = np.random.default_rng(bits)
