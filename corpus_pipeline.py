@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notespan.llm import bpe, decontamination, jaccard, quality, secrets
-from notespan.llm.common import table, work_folder, written
+from notespan.llm.common import names, table, work_folder, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scores = quality.scored(docs, table(spark, sf_dir, "labels")).where(~F.col("keep")).select("doc_id")
-    return docs.join(scores, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(scores, "doc_id", "left_anti").select(*names(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     others = jaccard.near_copies(docs).where("component_id != doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*names(docs))
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
