@@ -49,10 +49,6 @@ def held_out(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(int(i)).encode()) % 7 == 2 for i in ids], bool)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """Parameters in one flat vector; arrays are views of it."""
 
@@ -79,92 +75,117 @@ class Network:
         net.bi[:] = np.log(share / share.sum(axis=1, keepdims=True))
         return net
 
-    def forward(self, inputs: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each input, steps x lanes; reset: where a document begins."""
-        states, kept, n = np.empty((*inputs.shape, HIDDEN), np.float32), [], 2 * HIDDEN
-        into = self.x[inputs] + self.b
+    def forward(self, inputs: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """States after each input, steps x lanes; reset: where a document begins. With keep, also the states before, gates, candidates and what the reset gate weighs."""
+        n, size = 2 * HIDDEN, len(inputs) if keep else 1
+        states = np.empty((*inputs.shape, HIDDEN), np.float32)
+        before, new, inner = (np.empty((size, inputs.shape[1], HIDDEN), np.float32) for _ in range(3))
+        gates = np.empty((size, inputs.shape[1], n), np.float32)
+        into, begins = self.x[inputs], reset.any(axis=1).tolist()
+        into += self.b
         for t in range(len(inputs)):
-            if reset[t].any():
+            if begins[t]:
                 h = np.where(reset[t][:, None], np.float32(0), h)
-            a, g = h @ self.u, into[t]
-            gates = sigmoid(g[:, :n] + a[:, :n])
-            r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            new = np.tanh(g[:, n:] + r * a[:, n:])
-            kept.append((h, r, z, new, a[:, n:]))
-            h = new + z * (h - new)
-            states[t] = h
-        return states, kept
+            k = t if keep else 0
+            a, g, gate, candidate = h @ self.u, into[t], gates[k], new[k]
+            np.add(a[:, :n], g[:, :n], out=gate)
+            gate *= np.float32(0.5)  # the logistic function of a number from the tanh of its half
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= np.float32(0.5)
+            np.multiply(a[:, n:], gate[:, :HIDDEN], out=candidate)
+            candidate += g[:, n:]
+            np.tanh(candidate, out=candidate)
+            if keep:
+                before[k], inner[k] = h, a[:, n:]
+            out = states[t]
+            np.subtract(h, candidate, out=out)
+            out *= gate[:, HIDDEN:]
+            out += candidate
+            h = out
+        return states, (before, gates, new, inner)
+
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of targets by class, and where each class begins in it (one more at the end)."""
+        cls = targets // MEMBERS
+        order = np.argsort(cls, kind="stable")
+        return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+
+    def members(self, states: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """What each state, in the order of the target's class, gives the members of that class."""
+        out = np.empty((len(states), MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[c], cuts[c + 1])
+            np.matmul(states[own], self.wi[c], out=out[own])
+            out[own] += self.bi[c]
+        return out
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's probability."""
-        cls, member = targets // MEMBERS, targets % MEMBERS
-        out = log_softmax_at(states @ self.wc + self.bc, cls)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                out[own] += log_softmax_at(states[own] @ self.wi[c] + self.bi[c], member[own])
+        out = log_softmax_at(states @ self.wc + self.bc, targets // MEMBERS)
+        order, cuts = self.by_class(targets)
+        out[order] += log_softmax_at(self.members(states[order], cuts), (targets % MEMBERS)[order])
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, reset: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss of a window (sum over used places), its gradient, and the last state; backpropagation ends where the window begins."""
         grad = Network(np.zeros(self.size(), np.float32))
-        states, kept = self.forward(inputs, reset, h)
-        flat, y, use = states.reshape(-1, HIDDEN), targets.ravel(), used.ravel()
-        cls, member = y // MEMBERS, y % MEMBERS
-        p = softmax(flat @ self.wc + self.bc)
-        loss = -np.log(p[np.arange(len(y)), cls] + 1e-30)[use].sum()
-        p[np.arange(len(y)), cls] -= 1
-        p *= use[:, None]
+        states, (before, gates, new, inner) = self.forward(inputs, reset, h, keep=True)
+        order, cuts = self.by_class(targets.ravel())
+        y, use, flat = targets.ravel()[order], used.ravel()[order], states.reshape(-1, HIDDEN)[order]
+        rows, cls = np.arange(len(y)), y // MEMBERS
+        p, q = softmax(flat @ self.wc + self.bc), softmax(self.members(flat, cuts))
+        loss = -np.log(p[rows, cls] * q[rows, y % MEMBERS] + 1e-30)[use].sum()
+        p[rows, cls] -= 1
+        q[rows, y % MEMBERS] -= 1
+        if not use.all():
+            p[~use] = q[~use] = 0
         grad.wc[:], grad.bc[:] = flat.T @ p, p.sum(axis=0)
         back = p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            own = own[use[own]]
-            if len(own):
-                q = softmax(flat[own] @ self.wi[c] + self.bi[c])
-                loss -= np.log(q[np.arange(len(own)), member[own]] + 1e-30).sum()
-                q[np.arange(len(own)), member[own]] -= 1
-                grad.wi[c], grad.bi[c] = flat[own].T @ q, q.sum(axis=0)
-                back[own] += q @ self.wi[c].T
-        back = back.reshape(states.shape)
-        into = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(h)
-        befores, d_as = np.empty_like(states), np.empty_like(into)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[c], cuts[c + 1])
+            grad.wi[c], grad.bi[c] = flat[own].T @ q[own], q[own].sum(axis=0)
+            back[own] += q[own] @ self.wi[c].T
+        behind = np.empty_like(back)
+        behind[order] = back
+        behind = behind.reshape(states.shape)
+        # Each step's slopes are the state's slope times factors that don't depend on it.
+        r, z = gates[..., :HIDDEN], gates[..., HIDDEN:]
+        to_new = (1 - z) * (1 - new * new)
+        factors = np.stack([to_new * inner * r * (1 - r), (before - new) * z * (1 - z), to_new * r], axis=2)
+        d_a, d_h, up = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(self.u.T)
+        dh, begins = np.zeros_like(states[0]), reset.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
-            before, r, z, new, a_new = kept[t]
-            dh += back[t]
-            d, d_a = into[t], d_as[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d[:, HIDDEN : 2 * HIDDEN] = dh * (before - new) * z * (1 - z)
-            d[:, :HIDDEN] = d_new * a_new * r * (1 - r)
-            d[:, 2 * HIDDEN :] = d_new
-            d_a[:, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
-            d_a[:, 2 * HIDDEN :] = d_new * r
-            befores[t] = before
-            dh = dh * z + d_a @ self.u.T
-            if reset[t].any():
+            dh += behind[t]
+            d_h[t] = dh
+            np.multiply(factors[t], dh[:, None], out=d_a[t])
+            dh = dh * z[t] + d_a[t].reshape(len(dh), -1) @ up
+            if begins[t]:
                 dh[reset[t]] = 0
-        grad.u[:] = befores.reshape(-1, HIDDEN).T @ d_as.reshape(-1, 3 * HIDDEN)
-        grad.b[:] = into.sum(axis=(0, 1))
+        into = d_a.reshape(-1, 3 * HIDDEN)
+        grad.u[:] = before.reshape(-1, HIDDEN).T @ into
+        into[:, 2 * HIDDEN :] = (to_new * d_h).reshape(-1, HIDDEN)
+        grad.b[:] = into.sum(axis=0)
         order = np.argsort(inputs, axis=None, kind="stable")
         own = inputs.ravel()[order]
         begin = np.flatnonzero(np.diff(own, prepend=-1))
-        grad.x[own[begin]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], begin)
+        grad.x[own[begin]] = np.add.reduceat(into[order], begin)
         return float(loss), grad.flat, states[-1]
 
 
+#: What a symbol or class gets at most before its exponential, so that sums stay finite.
+MOST = np.float32(60)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(np.minimum(x, MOST))
+    e /= e.sum(axis=1, keepdims=True) + np.float32(1e-30)
+    return e
 
 
 def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return (x[np.arange(len(x)), at] - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))).astype(np.float64)
+    x = np.minimum(x, MOST)
+    return x[np.arange(len(x)), at].astype(np.float64) - np.log(np.exp(x).sum(axis=1) + np.float32(1e-30))
 
 
 def lanes(lens: np.ndarray, n: int) -> list[list[int]]:
