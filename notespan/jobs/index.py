@@ -11,7 +11,9 @@ from notespan.operators import chunks, models, outline
 from notespan.sources import graph as G
 
 #: Another version of the rows: an index of another one is built anew.
-VERSION = 1
+VERSION = 2
+#: Versions of an index that stay: the current one and one that a reader may still have open.
+KEPT = 2
 
 
 def chunk_table(pages: DataFrame) -> DataFrame:
@@ -19,7 +21,8 @@ def chunk_table(pages: DataFrame) -> DataFrame:
     parsed = outline.parsed(pages)
     rows = chunks.page_chunks(parsed).union(chunks.block_chunks(outline.contexts(parsed)))
     rows = chunks.last_wins(rows, ["chunk_id"], ["chunk_seq"])
-    return rows.join(pages.select("page", F.col("mtime").cast("double").alias("mtime")), "page").withColumn("schema_version", F.lit(VERSION))
+    front = parsed.select("page", F.array_join(outline.trimmed(F.col("frontmatter")), "\n").alias("frontmatter"))
+    return rows.join(front, "page").join(pages.select("page", F.col("mtime").cast("double").alias("mtime")), "page").withColumn("schema_version", F.lit(VERSION))
 
 
 def build(spark: SparkSession, graph: str, index: str) -> DataFrame:
@@ -38,11 +41,7 @@ def build(spark: SparkSession, graph: str, index: str) -> DataFrame:
         plan = pages.select("page", F.lit("new").alias("state"))
         rows = models.encoded(chunk_table(pages))
     number = versions(spark, index)[-1] + 1 if versions(spark, index) else 0
-    plan.write.mode("overwrite").parquet(f"{index}/changes/{number}")
-    rows.write.mode("overwrite").parquet(f"{index}/rows/{number}")
-    fs, at = _path(spark, f"{index}/versions/{number}")
-    fs.create(at, True).close()
-    return spark.read.schema("page string, state string").parquet(f"{index}/changes/{number}")
+    return published(spark, index, number, plan, rows)
 
 
 def _path(spark: SparkSession, path: str):
@@ -65,31 +64,68 @@ QUERY_BYTES = 8 << 20
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, page, block_id, score of the best rows for each query (query_id, text).
+    """query_id, rank, page, block_id, document, score of the best rows for each query (query_id, text).
 
-    Three times as many rows as wanted are fetched by cosine; those that link to the page of another
-    fetched row are raised; the best k stay. Queries are a stated set: blocks of them of a checked
-    size meet all rows.
+    Three times as many rows as wanted are fetched by cosine; those of pages that the query's text links to
+    are raised; the best k stay. Queries are a stated set: blocks of them of a checked size meet all rows.
     """
-    asked = models.encoded(queries.select("query_id", F.col("text").alias("document"))).select("query_id", F.col("embedding").alias("q"))
+    named = queries.select("query_id", F.col("text").alias("document"), C.page_links(F.coalesce("text", F.lit(""))).alias("links"))
+    asked = models.encoded(named).select("query_id", "links", F.col("embedding").alias("q"))
     n = queries.count()
     parts = max(1, -(-n * models.DIMENSIONS * 4 // QUERY_BYTES))
     out = None
     for part in range(parts):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        near = rows.crossJoin(F.broadcast(block)).select("query_id", "page", "block_id", "document", dot(F.col("q"), F.col("embedding")).alias("similarity"))
+        near = rows.crossJoin(F.broadcast(block)).select("query_id", "links", "page", "block_id", "document", dot(F.col("q"), F.col("embedding")).alias("similarity"))
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "page", "block_id")
         near = near.withColumn("fetched", F.row_number().over(w)).where(F.col("fetched") <= k * OVERFETCH)
         out = near if out is None else out.union(near)
-    links = out.select("query_id", F.explode(C.page_links(F.col("document"))).alias("_link")).distinct()
-    linked = out.join(links, (out["query_id"] == links["query_id"]) & ((out["page"] == links["_link"]) | (F.replace(out["page"], F.lit("/"), F.lit("___")) == links["_link"])), "left_semi").select("query_id", "page").distinct().withColumn("linked", F.lit(True))
-    scored = out.join(linked, ["query_id", "page"], "left").withColumn("score", F.col("similarity") * F.when(F.col("linked"), C.LINK_BOOST).otherwise(1.0))
+    linked = F.array_contains("links", F.col("page")) | F.array_contains("links", F.replace("page", F.lit("/"), F.lit("___")))
+    scored = out.withColumn("score", F.col("similarity") * F.when(linked, C.LINK_BOOST).otherwise(1.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fetched")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "page", "block_id", "score")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "page", "block_id", "document", "score")
+
+
+def find_candidates(rows: DataFrame, edited: DataFrame, contexts: DataFrame, k: int = 20) -> DataFrame:
+    """search() for every edited block: by its original context (block_id, context), or its original text where there is none. An empty index gives no candidates."""
+    asked = edited.join(contexts, "block_id", "left").select(F.col("block_id").alias("query_id"), F.coalesce("context", "original_content").alias("text"))
+    return search(rows, asked, k)
+
+
+def page_frontmatter(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """page and frontmatter of the pages that results have, each once."""
+    known = rows.groupBy("page").agg(F.first("frontmatter", ignorenulls=True).alias("frontmatter"))
+    return known.join(results.select("page").distinct(), "page", "left_semi")
+
+
+def has_rows(spark: SparkSession, index: str) -> bool:
+    """Whether there is an index with rows."""
+    rows = current(spark, index)
+    return rows is not None and not rows.isEmpty()
+
+
+def rebuilt(spark: SparkSession, graph: str, index: str) -> DataFrame:
+    """Builds the index anew, whatever is there, with its version; returns pages and their state."""
+    number = versions(spark, index)[-1] + 1 if versions(spark, index) else 0
+    pages = G.pages(spark, graph).select("page", "text", F.col("mtime").cast("double").alias("mtime"))
+    return published(spark, index, number, pages.select("page", F.lit("new").alias("state")), models.encoded(chunk_table(pages)))
+
+
+def published(spark: SparkSession, index: str, number: int, plan: DataFrame, rows: DataFrame) -> DataFrame:
+    """Writes a version's folders and then its name; versions before the last KEPT go."""
+    plan.write.mode("overwrite").parquet(f"{index}/changes/{number}")
+    rows.write.mode("overwrite").parquet(f"{index}/rows/{number}")
+    fs, at = _path(spark, f"{index}/versions/{number}")
+    fs.create(at, True).close()
+    for old in versions(spark, index)[:-KEPT]:
+        for kind in ("versions", "rows", "changes"):
+            fs, at = _path(spark, f"{index}/{kind}/{old}")
+            fs.delete(at, True)
+    return spark.read.schema("page string, state string").parquet(f"{index}/changes/{number}")
 
 
 def encoder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries over all documents as rows of an index."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
     rows = models.encoded(d.select(F.col("source").alias("page"), F.col("doc_id").cast("string").alias("block_id"), F.col("text").alias("document")))
-    return search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text"), 5)
+    return search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text"), 5).drop("document")

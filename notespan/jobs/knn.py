@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from notespan.functions.columns import relevance
 
 #: Rows fetched for each row wanted, and what a link to the query's page multiplies a similarity by.
 OVERFETCH, LINK_BOOST = 3, 1.5
-#: The queries of the registered searches: the vectors with the smallest ids.
-N_QUERIES = 3
+#: The queries of the registered searches: the vectors whose id this divides.
+EVERY = 20
+#: Bytes of query vectors that are sent to every task at once; more queries go in blocks.
+QUERY_BYTES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,9 +27,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarities(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query against every row but itself. The queries are a stated small set (N_QUERIES rows), so they are broadcast."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"), F.col("label").alias("q_label")))
-    return rows.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("q_norm") * F.col("norm")), 6).alias("similarity"))
+    """Every query against every row but itself. The queries are a stated set; blocks of them of a checked size meet all rows."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"), F.col("label").alias("q_label"))
+    size = q.agg(F.coalesce(F.sum(F.size("q") * 4 + 32), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // QUERY_BYTES))
+    blocks = [F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)) for part in range(parts)]
+    similar = F.round(dot(F.col("q"), F.col("embedding")) / (F.col("q_norm") * F.col("norm")), 6).alias("similarity")
+    return reduce(DataFrame.union, [rows.join(b, F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", similar) for b in blocks])
 
 
 def top(scored: DataFrame, score: str, k: int) -> DataFrame:
@@ -33,18 +41,18 @@ def top(scored: DataFrame, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def first_vectors(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("vec_id").limit(N_QUERIES)
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("vec_id") % EVERY == 0)
 
 
 def knn_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return top(similarities(first_vectors(rows), rows), "similarity", k).select("query_id", F.col("rank").cast("long"), "vec_id", "similarity")
+    return top(similarities(asked(rows), rows), "similarity", k).select("query_id", F.col("rank").cast("long"), "vec_id", "similarity")
 
 
 SCORED = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings),
-q AS (SELECT * FROM v ORDER BY vec_id LIMIT {N_QUERIES}),
+q AS (SELECT * FROM v WHERE vec_id % {EVERY} = 0),
 s AS (SELECT q.vec_id AS query_id, q.label AS q_label, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM q JOIN v ON q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 """
@@ -54,7 +62,7 @@ KNN_TOPK = SCORED + "SELECT query_id, rank, vec_id, similarity FROM r WHERE rank
 def boosted(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Three times as many rows as wanted; those with the query's label count as linked; then the best k by the raised score."""
     rows = vectors(spark, sf_dir)
-    near = top(similarities(first_vectors(rows), rows), "similarity", k * OVERFETCH)
+    near = top(similarities(asked(rows), rows), "similarity", k * OVERFETCH)
     micro = F.round(F.col("similarity") * 1e6).cast("long")  # whole numbers, so that raised scores and their sums are exact
     boost = F.when(F.col("label") == F.col("q_label"), F.lit(int(LINK_BOOST * 10))).otherwise(F.lit(10))
     return near.withColumnRenamed("rank", "fetched").withColumn("score", micro * boost)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
-from notespan.operators import chunks, merge, outline
+from notespan.operators import chunks, editing, merge, outline
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +48,19 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNK_ROWS = LINES + """
-SELECT page || '::' || hybrid_id AS chunk_id, page, hybrid_id AS block_id, CAST(max(seq) AS INT) AS chunk_seq, md5(any_value(context)) AS document_md5 FROM h GROUP BY ALL
+SELECT page || '::' || hybrid_id AS chunk_id, page, hybrid_id AS block_id, CAST(max(seq) AS INT) AS chunk_seq, md5(any_value('- ' || lines[1] || CASE WHEN seq > 0 THEN chr(10) || '  - ' || line ELSE '' END)) AS document_md5 FROM h GROUP BY ALL
 UNION ALL SELECT page || '::__page__', page, '__page__', -1, md5('Page: ' || page || chr(10) || 'lang:: ' || lang) FROM l
 """
 
 
 def render_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose outline, parsed and rendered, is the text it came from."""
+    """Pages whose outline, parsed and rendered, is the text it came from: all without empty bullets, which lose the space after them."""
     d = documents(spark, sf_dir)
     out = outline.rendered(outline.parsed(d)).select(F.col("page").alias("_page"), F.col("text").alias("rendered"))
     return d.join(out, F.col("page") == F.col("_page")).select("page", (F.col("text") == F.col("rendered")).alias("same"))
 
 
-RENDER_ROUNDTRIP = LINES + "SELECT page, true AS same FROM l"
+RENDER_ROUNDTRIP = LINES + "SELECT page, NOT list_contains(lines, '') AS same FROM l"
 
 
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +157,16 @@ def decisions(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     return d.join(root, "page").select(F.concat(F.lit("k"), "doc_id").alias("knowledge_block_id"), F.col("doc_id").alias("seq"), F.col("page").alias("target_page"), action.alias("action"), target.alias("target_block_id"), F.concat(F.lit("noted "), "doc_id").alias("refined_text"))
 
 
+def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The outlines and their blocks, parsed once for all uses."""
+    outlines = outline.parsed(documents(spark, sf_dir)).persist()
+    return outlines, merge.tree(outlines)
+
+
 def apply_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir)
-    last = rows.groupBy("page").agg(F.max("seq").alias("_last"))
-    tree = rows.join(last, "page").select("page", "seq", "depth", "content", "block_id", "hybrid_id", F.when(F.col("seq") == 0, F.col("_last")).otherwise(F.col("seq")).alias("last"))
-    found = merge.resolved(decisions(spark, sf_dir, rows), tree)
-    return merge.merged(tree, found).select("page", "seq", "depth", F.array_join("content", "\n").alias("content"), "block_id")
+    _, tree = trees(spark, sf_dir)
+    found = merge.resolved(decisions(spark, sf_dir, tree), tree)
+    return merge.merged(tree, found).select("page", "seq", F.col("level").alias("depth"), F.array_join("content", "\n").alias("content"), "block_id")
 
 
 UUID = """
@@ -177,18 +181,63 @@ d AS (
 ), n AS (SELECT *, {NAMED % "'k' || doc_id || ':' || page || ':' || action || ':' || target"} AS s FROM d),
 u AS (SELECT *, {UUID} AS new_id, CASE WHEN target <> 'nowhere' THEN action WHEN action = 'add_under' THEN 'add_section' ELSE 'invalid' END AS done_as FROM n)
 """
-APPLY_MERGE = DECISIONS + """
+MERGED = DECISIONS + """
+, m AS (
 SELECT page, CAST(seq AS INT) AS seq, CASE WHEN seq > 0 THEN 1 ELSE 0 END AS depth,
-  CASE WHEN seq = 0 AND done_as = 'replace' THEN 'noted ' || h.doc_id ELSE line END AS content, CASE WHEN seq = 0 AND done_as = 'replace' THEN new_id END AS block_id
+  CASE WHEN seq = 0 AND done_as = 'replace' THEN 'noted ' || h.doc_id || chr(10) || 'id:: ' || new_id ELSE line END AS content, CASE WHEN seq = 0 AND done_as = 'replace' THEN new_id END AS block_id
 FROM h LEFT JOIN u USING (page)
 UNION ALL
-SELECT page, CAST(len(lines) AS INT), CASE WHEN done_as = 'add_under' THEN 1 ELSE 0 END, 'noted ' || u.doc_id, new_id FROM u JOIN l USING (page) WHERE done_as IN ('add_under', 'add_section')
+SELECT page, CAST(len(lines) AS INT), CASE WHEN done_as = 'add_under' THEN 1 ELSE 0 END, 'noted ' || u.doc_id || chr(10) || 'id:: ' || new_id, new_id FROM u JOIN l USING (page) WHERE done_as IN ('add_under', 'add_section')
+)
+"""
+APPLY_MERGE = MERGED + "SELECT * FROM m"
+
+
+def merged_pages(outlines: DataFrame, tree: DataFrame, todo: DataFrame) -> DataFrame:
+    """page, text and whether it changed, of all pages after the decisions."""
+    new = outline.rendered(merge.regrouped(outlines, merge.merged(tree, merge.resolved(todo, tree))))
+    old = outline.rendered(outlines).select("page", F.col("text").alias("_old"))
+    return new.join(old, "page").select("page", "text", (~F.col("text").eqNullSafe(F.col("_old"))).alias("changed"))
+
+
+def merge_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the pages that a merge changes."""
+    outlines, tree = trees(spark, sf_dir)
+    return merged_pages(outlines, tree, decisions(spark, sf_dir, tree)).where("changed").select("page", F.md5("text").alias("text_md5"))
+
+
+MERGE_RENDER = MERGED + """
+, t AS (
+  SELECT page, string_agg(repeat('  ', depth) || CASE WHEN split_part(content, chr(10), 1) = '' THEN '-' ELSE '- ' || split_part(content, chr(10), 1) END
+    || CASE WHEN contains(content, chr(10)) THEN chr(10) || repeat('  ', depth) || '  ' || split_part(content, chr(10), 2) ELSE '' END, chr(10) ORDER BY seq) AS body FROM m GROUP BY page)
+SELECT page, md5('lang:: ' || lang || chr(10) || body) AS text_md5 FROM t JOIN l USING (page) WHERE page IN (SELECT page FROM u WHERE done_as <> 'invalid')
+"""
+
+
+def provenance_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as journals: the roots of labelled ones get links to what they became, the later of two twice, which adds nothing."""
+    outlines = outline.parsed(documents(spark, sf_dir)).persist()
+    roots = merge.tree(outlines, hash_pages=False).where("seq = 0").select("page", F.col("hybrid_id").alias("knowledge_block_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(documents(spark, sf_dir).select("doc_id", "page"), "doc_id").join(roots, "page")
+    done = labels.select("knowledge_block_id", F.concat(F.lit("topic___"), "quality").alias("target_page"), F.concat(F.lit("n"), "quality").alias("new_id"), F.col("quality").alias("seq")).distinct()
+    done = done.union(done.select("knowledge_block_id", "target_page", "new_id", F.col("seq") + 9))
+    return outline.rendered(merge.with_provenance(outlines, done)).select("page", F.md5("text").alias("text_md5"))
+
+
+PROVENANCE_APPEND = LINES + """
+, k AS (SELECT page, md5(context) AS id FROM h WHERE seq = 0),
+p AS (SELECT id, string_agg('[topic/' || quality || '](((n' || quality || ')))', ', ' ORDER BY quality) AS links FROM (SELECT DISTINCT id, quality FROM labels JOIN l USING (doc_id) JOIN k USING (page)) GROUP BY id),
+t AS (
+  SELECT h.page, any_value(lang) AS lang, string_agg(CASE WHEN seq > 0 THEN '  ' ELSE '' END || CASE WHEN line = '' THEN '-' ELSE '- ' || line END
+    || CASE WHEN seq = 0 AND links IS NOT NULL THEN chr(10) || '  extracted-to:: ' || links ELSE '' END, chr(10) ORDER BY seq) AS body
+  FROM h JOIN k ON k.page = h.page LEFT JOIN p ON p.id = k.id GROUP BY h.page)
+SELECT page, md5('lang:: ' || lang || chr(10) || body) AS text_md5 FROM t
 """
 
 
 def fallback_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks(spark, sf_dir)
-    found = merge.resolved(decisions(spark, sf_dir, rows), rows.select("page", "seq", "hybrid_id"))
+    found = merge.resolved(decisions(spark, sf_dir, rows), rows)
     link = C.provenance(F.when(F.col("action") == "replace", F.lit("[p](((x)))")), F.col("target_page"), F.col("new_id"))
     return found.select("knowledge_block_id", "done_as", "new_id", link.alias("extracted_to"), F.size(C.provenance_links(link)).cast("long").alias("n_links"))
 
@@ -200,15 +249,16 @@ SELECT 'k' || doc_id AS knowledge_block_id, done_as, new_id, CASE WHEN action =
 
 
 def idempotent_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applying the same decisions to the result again leaves this many to do in each page: none."""
-    rows = blocks(spark, sf_dir)
-    found = merge.resolved(decisions(spark, sf_dir, rows), rows.select("page", "seq", "hybrid_id"))
-    done = found.where("done_as != 'invalid'").select(F.col("target_page").alias("page"), F.col("new_id").alias("block_id"))
-    left = merge.not_yet(found, done)
-    return left.select("target_page", "knowledge_block_id", "done_as")
+    """What a second run of the same decisions finds, in the pages that the first run wrote, and whether it changes a page."""
+    outlines, tree = trees(spark, sf_dir)
+    todo = decisions(spark, sf_dir, tree)
+    again = outline.parsed(merged_pages(outlines, tree, todo)).persist()
+    rows = merge.tree(again)
+    second = merged_pages(again, rows, todo).select(F.col("page").alias("target_page"), "changed")
+    return merge.resolved(todo, rows).join(second, "target_page").select("target_page", "knowledge_block_id", "done_as", "changed")
 
 
-IDEMPOTENT_PROBE = DECISIONS + "SELECT page AS target_page, 'k' || doc_id AS knowledge_block_id, done_as FROM u WHERE done_as = 'invalid'"
+IDEMPOTENT_PROBE = DECISIONS + "SELECT page AS target_page, 'k' || doc_id AS knowledge_block_id, CASE WHEN done_as = 'invalid' THEN done_as ELSE 'done' END AS done_as, false AS changed FROM u"
 
 
 def selected_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,3 +305,75 @@ CANDIDATE_XML = LINES + f"""
 SELECT request, md5('<page name="' || page || '">' || string_agg('<block id="' || page || ':' || seq || '">' || {ESCAPE % "line"} || '</block>', '' ORDER BY seq) || '</page>') AS xml_md5
 FROM (SELECT item_id AS request FROM benchmark) JOIN h ON h.doc_id = request GROUP BY request, page
 """
+
+
+def outline_parse_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of documents' metadata with a fence that a bullet opens, a blank line inside a block, a jump of levels, a misaligned bullet, an empty one and a line end at the end."""
+    d = documents(spark, sf_dir)
+    lines = [F.concat(F.lit("- ```"), "lang"), F.concat(F.lit("  - in "), "doc_id"), F.lit("  ```"), F.concat(F.lit("- b "), F.coalesce("source", F.lit(""))), *map(F.lit, ["  more", "", "  end", "    - deep", "   - odd", "-", "- last", ""])]
+    parsed = outline.parsed(d.select("page", F.concat_ws("\n", *lines).alias("text")))
+    rows = parsed.select("page", F.explode("blocks").alias("b")).select("page", "b.seq", "b.parent", "b.level", F.array_join("b.content", "|").alias("content"))
+    return rows.join(outline.rendered(parsed).select("page", F.md5("text").alias("text_md5")), "page")
+
+
+OUTLINE_PARSE_QUIRKS = LINES + """
+, q AS (SELECT page, doc_id, lang, coalesce(source, '') AS source, md5(array_to_string(['- ```' || lang, '  - in ' || doc_id, '  ```', '- b ' || coalesce(source, ''), '  more', '  ', '  end', '    - deep', '      - odd', '-', '- last'], chr(10))) AS text_md5 FROM l)
+SELECT page, seq, CAST(NULL AS INT) AS parent, level, content, text_md5 FROM (
+  SELECT page, text_md5, 0 AS seq, 0 AS level, '```' || lang || '|- in ' || doc_id || '|```' AS content FROM q
+  UNION ALL SELECT page, text_md5, 1, 0, 'b ' || source || '|more||end' FROM q
+  UNION ALL SELECT page, text_md5, 2, 2, 'deep|- odd' FROM q
+  UNION ALL SELECT page, text_md5, 3, 0, '' FROM q
+  UNION ALL SELECT page, text_md5, 4, 0, 'last|' FROM q)
+"""
+
+
+def property_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with one property changed in place, its indent kept, and one added; what is a user's content; lines as bullets."""
+    d = documents(spark, sf_dir)
+    own = F.array(F.concat(F.lit("note "), "doc_id"), F.concat(F.lit("  lang:: "), "lang"), F.concat(F.lit("id:: "), "doc_id"), F.lit("tail"))
+    new = editing.with_property(editing.with_property(own, "lang", F.concat(F.lit("x-"), "lang")), "seen", F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("one\n\n  two\n- "), "lang")
+    line = editing.property_line(F.concat(F.lit("  page-id:: "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", F.array_join(new, "|").alias("edited"), editing.user_content(own).alias("content"), editing.as_bullets(text).alias("bullets"), F.concat_ws("|", line["indent"], line["key"], line["value"]).alias("property"))
+
+
+PROPERTY_EDIT = LINES + """
+SELECT doc_id, 'note ' || doc_id || '|  lang:: x-' || lang || '|id:: ' || doc_id || '|tail|seen:: ' || doc_id AS edited, 'note ' || doc_id || chr(10) || '  lang:: ' || lang || chr(10) || 'tail' AS content,
+  '- one' || chr(10) || chr(10) || '  - two' || chr(10) || '- ' || lang AS bullets, '  |page-id|' || doc_id AS property FROM l
+"""
+
+
+def heading_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first block of each page whose first line has "TH", whatever its case, and what stands above it."""
+    outlines = outline.parsed(documents(spark, sf_dir))
+    rows = outlines.select("page", F.explode("blocks").alias("b")).select("page", "b.seq", "b.content")
+    shown = editing.lineage(outlines).select("page", "seq", F.size("shown").cast("long").alias("n_shown"), F.md5(F.array_join("shown", "\n")).alias("shown_md5"))
+    return editing.heading(rows, "TH").join(shown, ["page", "seq"])
+
+
+HEADING_FIND = LINES + """
+, f AS (SELECT page, min(seq) AS seq FROM h WHERE contains(lower(line), 'th') GROUP BY page)
+SELECT page, CAST(seq AS INT) AS seq, CASE WHEN seq > 0 THEN 2 ELSE 1 END::BIGINT AS n_shown, md5(CASE WHEN seq > 0 THEN lines[1] || chr(10) || line ELSE line END) AS shown_md5 FROM f JOIN h USING (page, seq)
+"""
+
+
+def augmented_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block with an id line: the hash, without the page's name, of its context before any was added."""
+    rows = editing.with_ids(outline.parsed(documents(spark, sf_dir)))
+    return rows.select("page", F.explode("blocks").alias("b")).select("page", "b.seq", F.element_at("b.content", -1).alias("id_line"))
+
+
+AUGMENTED_IDS = LINES + "SELECT page, CAST(seq AS INT) AS seq, 'id:: ' || md5(context) AS id_line FROM h"
+
+
+def merge_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of each page stay, are new and are shown beside what replaces them."""
+    _, tree = trees(spark, sf_dir)
+    rows = editing.preview(tree, merge.resolved(decisions(spark, sf_dir, tree), tree))
+    return rows.groupBy("page").agg(*(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("kept", "new", "old")))
+
+
+MERGE_PREVIEW = DECISIONS + """
+SELECT page, len(lines) - CASE WHEN done_as = 'replace' THEN 1 ELSE 0 END AS n_kept, CASE WHEN coalesce(done_as, 'invalid') <> 'invalid' THEN 1 ELSE 0 END::BIGINT AS n_new, CASE WHEN done_as = 'replace' THEN 1 ELSE 0 END::BIGINT AS n_old
+FROM l LEFT JOIN u USING (page)
+"""

@@ -236,3 +236,104 @@ def combined_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMBINED_JOURNAL = "SELECT conv_id, md5(string_agg('# ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, '# ' || role || chr(10) || text)) AS text_md5 FROM conversations GROUP BY conv_id"
+
+
+def previous_match_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In each conversation, from every turn the user's turn before it, around the beginning."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return c.select("conv_id", "turn", D.previous_match(F.col("role") == "user", ["turn"], ["conv_id"])["turn"].alias("previous_turn"))
+
+
+PREVIOUS_MATCH_WRAP = """
+SELECT conv_id, turn, coalesce((SELECT max(o.turn) FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'user' AND o.turn < c.turn),
+  (SELECT max(o.turn) FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'user')) AS previous_turn FROM conversations c
+"""
+
+
+def decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's decisions in order, as text."""
+    rows = D.listed_by_block(decided(spark, sf_dir))
+    one = F.transform("decisions", lambda x: F.concat_ws(":", x["seq"], x["target_page"], x["action"], x["target_block_id"]))
+    return rows.select("knowledge_block_id", F.md5(F.array_join(one, ",")).alias("decisions_md5"), "all_skipped")
+
+
+DECISION_LISTS = DECIDED + "SELECT knowledge_block_id, md5(string_agg(concat_ws(':', seq, target_page, action, target_block_id), ',' ORDER BY seq)) AS decisions_md5, bool_and(action = 'skip_exists') AS all_skipped FROM d GROUP BY 1"
+
+
+def recorded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.recorded_already(decided(spark, sf_dir))
+
+
+RECORDED_BLOCKS = DECIDED + "SELECT count(*) FILTER (s) AS n_recorded FROM (SELECT bool_and(action = 'skip_exists') AS s FROM d GROUP BY knowledge_block_id)"
+
+
+def change_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one role in each conversation: what is flushed together."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    runs = D.in_runs(c, "role", "turn", ["conv_id"])
+    return runs.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
+
+
+CHANGE_RUNS = """
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN row_number() OVER w = 1 OR role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS changed FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM c)
+SELECT conv_id, run, role, min(turn) AS first_turn, count(*) AS n FROM r GROUP BY conv_id, run, role
+"""
+
+
+def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending decisions after a try to write them, which fails for those about purchases."""
+    d = decided(spark, sf_dir)
+    tried = d.where("seq % 3 != 0").select("seq", F.when(F.col("target_page") == "purchase", F.lit("locked")).alias("error"))
+    return D.with_outcome(d, tried).select("seq", "write_status", "error")
+
+
+WRITE_OUTCOMES = DECIDED + """
+SELECT seq, CASE WHEN write_status = 'pending' AND seq % 3 <> 0 THEN CASE WHEN target_page = 'purchase' THEN 'failed' ELSE 'completed' END ELSE write_status END AS write_status,
+  CASE WHEN seq % 3 <> 0 AND target_page = 'purchase' THEN 'locked' END AS error FROM d
+"""
+
+
+def edit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' first turns as edited blocks: reworded ones accepted, some edited by hand twice, some reverted; decisions bind the text late."""
+    c = read(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("block_id"), F.col("text").alias("original_content"), F.col("conv_id"))
+    e = c.withColumns({"reworded_content": F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("re "), "block_id")), "rewording_complete": F.col("conv_id") % 3 != 0, "current_content": F.col("original_content")})
+    e = D.accepted_rewording(e)
+    typed = c.where("conv_id % 5 = 0").select("block_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn("text", F.concat(F.lit("typed "), F.col("seq").cast("string")))
+    e = D.with_manual_edits(e, typed)
+    e = D.reverted(e.where("conv_id % 10 = 0")).unionByName(e.where("conv_id % 10 != 0"))
+    asked = c.where("conv_id % 2 = 0").select(F.col("block_id").alias("knowledge_block_id"))
+    return D.late_bound(asked, e).select("knowledge_block_id", F.md5("refined_text").alias("text_md5"))
+
+
+EDIT_STATES = """
+SELECT CAST(conv_id AS VARCHAR) AS knowledge_block_id, md5(CASE WHEN conv_id % 10 = 0 THEN text WHEN conv_id % 5 = 0 THEN 'typed 2' WHEN conv_id % 4 <> 0 AND conv_id % 3 <> 0 THEN 're ' || conv_id ELSE text END) AS text_md5
+FROM conversations WHERE turn = 0 AND conv_id % 2 = 0
+"""
+
+
+def journal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of each decision's block: of several journals the last; unknown ones get the earliest day of all."""
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("b"), "o_custkey").alias("hybrid_id"), F.to_date("o_orderdate").alias("day"))
+    return D.dated(decided(spark, sf_dir), D.journal_dates(o)).select("seq", F.col("day").cast("string").alias("day"))
+
+
+JOURNAL_FALLBACK = DECIDED + """
+, o AS (SELECT 'b' || o_custkey AS id, max(CAST(o_orderdate AS DATE)) AS day FROM orders GROUP BY 1)
+SELECT seq, CAST(coalesce(o.day, (SELECT min(day) FROM o)) AS VARCHAR) AS day FROM d LEFT JOIN o ON o.id = d.knowledge_block_id
+"""
+
+
+def target_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each decision's target, from the last candidate with its id; only decisions of blocks that have candidates."""
+    c = read(spark, sf_dir, "conversations").select(F.concat(F.lit("t"), F.col("conv_id") % 5).alias("block_id"), F.concat(F.lit("- "), "text").alias("document"), F.struct("conv_id", "turn").alias("seq"))
+    d = decided(spark, sf_dir)
+    asked = D.with_candidates(d.withColumn("block_id", F.col("target_block_id")), c)
+    return D.with_titles(asked, c).select(d["seq"], F.md5("target_block_title").alias("title_md5"))
+
+
+TARGET_TITLES = DECIDED + r"""
+, c AS (SELECT 't' || (conv_id % 5) AS id, arg_max(text, {'c': conv_id, 't': turn}) AS text FROM conversations GROUP BY 1),
+f AS (SELECT id, regexp_replace('- ' || string_split(text, chr(10))[1], '^- ', '') AS f FROM c)
+SELECT seq, md5(CASE WHEN length(trim(f)) > 50 THEN substr(trim(f), 1, 47) || '...' ELSE trim(f) END) AS title_md5 FROM d JOIN f ON f.id = d.target_block_id
+"""

@@ -27,8 +27,8 @@ def page_chunks(outlines: DataFrame) -> DataFrame:
 
 
 def block_chunks(blocks: DataFrame) -> DataFrame:
-    """The same of each block of contexts(); the document leaves out id lines."""
-    return blocks.select(F.concat_ws("::", "page", "hybrid_id").alias("chunk_id"), "page", F.col("hybrid_id").alias("block_id"), F.col("seq").alias("chunk_seq"), C.without_id_lines(F.col("context")).alias("document"))
+    """The same of each block of contexts(); the document leaves out id lines and the frontmatter, which a page has once."""
+    return blocks.select(F.concat_ws("::", "page", "hybrid_id").alias("chunk_id"), "page", F.col("hybrid_id").alias("block_id"), F.col("seq").alias("chunk_seq"), F.col("clean").alias("document"))
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -74,12 +74,18 @@ def label(threshold: float = THRESHOLD, processed: Column | None = None) -> Colu
     return F.when(selected, "selected").when(F.lit(False) if processed is None else processed, "processed").when(suggested(threshold), "suggested").otherwise("none")
 
 
-def next_match(match: Column, order: list, within: list) -> Column:
+def next_match(match: Column, order: list[str], within: list[str]) -> Column:
     """The position of the next row that matches, around the end; null if none does."""
-    after = Window.partitionBy(*within).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = Window.partitionBy(*within).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(match, F.struct(*order))
-    return F.coalesce(F.first(at, ignorenulls=True).over(after), F.first(at, ignorenulls=True).over(whole))
+    return F.coalesce(F.last(at, ignorenulls=True).over(after), F.min(at).over(Window.partitionBy(*within)))
+
+
+def previous_match(match: Column, order: list[str], within: list[str]) -> Column:
+    """The position of the row before that matches, around the beginning; null if none does."""
+    before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(match, F.struct(*order))
+    return F.coalesce(F.last(at, ignorenulls=True).over(before), F.max(at).over(Window.partitionBy(*within)))
 
 
 def best_for_each_page(decisions: DataFrame, most: int = 2) -> DataFrame:
@@ -96,3 +102,94 @@ def by_block(decisions: DataFrame) -> DataFrame:
 def summary(decisions: DataFrame) -> DataFrame:
     """One row: totals by write status."""
     return decisions.agg(F.count("*").alias("n_decisions"), *(F.count_if(F.col("write_status") == s).alias(f"n_{s}") for s in ("pending", "completed", "failed")))
+
+
+def listed_by_block(decisions: DataFrame) -> DataFrame:
+    """Each block's decisions (page, action, target) in order, and whether all say that it is there already."""
+    one = F.struct("seq", "target_page", "action", "target_block_id")
+    return decisions.groupBy("knowledge_block_id").agg(F.array_sort(F.collect_list(one)).alias("decisions"), F.bool_and(F.col("action") == "skip_exists").alias("all_skipped"))
+
+
+def recorded_already(decisions: DataFrame) -> DataFrame:
+    """One row: in how many blocks all decisions say that it is there already."""
+    return by_block(decisions).agg(F.count_if("all_skipped").alias("n_recorded"))
+
+
+def in_runs(rows: DataFrame, key: str, order: str, within: list[str]) -> DataFrame:
+    """rows with run: a number that goes up whenever the key changes, in order: what is flushed together."""
+    w = Window.partitionBy(*within).orderBy(order)
+    changed = F.coalesce((~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("long"), F.lit(1).cast("long"))
+    rows = rows.withColumn("_changed", F.when(F.row_number().over(w) == 1, F.lit(1).cast("long")).otherwise(changed))
+    return rows.withColumn("run", F.sum("_changed").over(w)).drop("_changed")
+
+
+def with_outcome(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Pending decisions take the outcome of their write (seq, error): completed without an error, else failed with its message."""
+    tried = outcomes.select("seq", "error", F.lit(True).alias("_tried"))
+    rows = decisions.join(tried, "seq", "left")
+    now = F.when((F.col("write_status") == "pending") & F.col("_tried"), F.when(F.col("error").isNull(), "completed").otherwise("failed")).otherwise(F.col("write_status"))
+    return rows.withColumn("write_status", now).drop("_tried")
+
+
+def accepted_rewording(edited: DataFrame) -> DataFrame:
+    """Complete rewordings that aren't blank become the current text."""
+    take = F.coalesce(F.col("rewording_complete"), F.lit(False)) & (F.coalesce("reworded_content", F.lit("")) != "")
+    return edited.withColumn("current_content", F.when(take, F.col("reworded_content")).otherwise(F.col("current_content")))
+
+
+def reverted(edited: DataFrame) -> DataFrame:
+    return edited.withColumn("current_content", F.col("original_content"))
+
+
+def with_manual_edits(edited: DataFrame, edits: DataFrame) -> DataFrame:
+    """The last text that was typed for each block (block_id, seq, text) becomes the current one."""
+    last = edits.groupBy("block_id").agg(F.max_by("text", "seq").alias("_text"))
+    return edited.join(last, "block_id", "left").withColumn("current_content", F.coalesce("_text", "current_content")).drop("_text")
+
+
+def late_bound(decisions: DataFrame, edited: DataFrame) -> DataFrame:
+    """Decisions of known blocks with refined_text: the block's text as it is now, when it is written."""
+    return decisions.join(edited.select(F.col("block_id").alias("knowledge_block_id"), F.col("current_content").alias("refined_text")), "knowledge_block_id")
+
+
+def with_titles(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Decisions with the title of their target, from the candidates' contexts (block_id, document, seq); the last candidate wins, null without one."""
+    from notespan.functions import columns as C
+
+    last = candidates.groupBy(F.col("block_id").alias("target_block_id")).agg(F.max_by("document", "seq").alias("_document"))
+    return decisions.join(last, "target_block_id", "left").withColumn("target_block_title", C.block_title(F.col("_document"))).drop("_document")
+
+
+def journal_dates(blocks: DataFrame) -> DataFrame:
+    """hybrid_id and day of each block: of several journals the last."""
+    return blocks.groupBy("hybrid_id").agg(F.max("day").alias("day"))
+
+
+def dated(decisions: DataFrame, days: DataFrame) -> DataFrame:
+    """Decisions with the day of their block's journal; the earliest of all days where that isn't known."""
+    first = days.agg(F.min("day").alias("_first"))
+    found = decisions.join(days.withColumnRenamed("hybrid_id", "knowledge_block_id"), "knowledge_block_id", "left")
+    return found.join(F.broadcast(first)).withColumn("day", F.coalesce("day", "_first")).drop("_first")
+
+
+def selected_blocks(states: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The selected states with their block of the first journal that has it (day, then seq)."""
+    first = blocks.groupBy(F.col("hybrid_id").alias("block_id")).agg(F.min_by(F.struct("day", "seq", "context"), F.struct("day", "seq")).alias("b"))
+    return states.where("classification = 'knowledge'").join(first.select("block_id", "b.*"), "block_id")
+
+
+def restored_ids(replies: DataFrame, short_ids: DataFrame, strict: bool = False) -> DataFrame:
+    """replies (request, short) with the item that each number stands for; null for an unknown one, or with strict an error."""
+    found = replies.join(short_ids, ["request", "short"], "left")
+    if not strict:
+        return found
+    return found.withColumn("item", F.coalesce("item", F.raise_error(F.concat(F.lit("unknown id "), F.col("short").cast("string"))).cast("string")))
+
+
+def distinct_pages(candidates: DataFrame) -> DataFrame:
+    return candidates.select("page").distinct().orderBy("page")
+
+
+def with_candidates(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The blocks for which a plan is asked: those that have candidates."""
+    return blocks.join(candidates.select("block_id"), "block_id", "left_semi")

@@ -1,47 +1,101 @@
-"""Decisions merged into pages: blocks added, put under others or replaced, with ids that make a repeat find its own work."""
+"""Decisions merged into pages: blocks added, put under others, replaced or made linkable, with ids that make a repeat find its own work."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
 
+#: The target that stands for the page itself.
+PAGE = "__PAGE__"
+
 
 def resolved(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """decisions with new_id, the first target block found (target_seq) and the action that is possible.
+    """decisions with new_id, the first target block found (target_seq) and what is to be done (done_as).
 
     decisions: knowledge_block_id, seq, target_page, action, target_block_id, refined_text. blocks: page,
-    seq, hybrid_id. Without its target, add_under becomes add_section; replace and skip_exists become invalid.
-    The id is of the action as decided, so a repeat finds it whatever the action became.
+    seq, hybrid_id and, of pages that were merged before, block_id. A decision whose id a block has is done.
+    Without its target, add_under becomes add_section; replace and skip_exists become invalid. The id is of
+    the action as decided, so a repeat finds it whatever the action became.
     """
     at = blocks.groupBy(F.col("page").alias("_page"), F.col("hybrid_id").alias("_id")).agg(F.min("seq").alias("target_seq"))
-    found = decisions.join(at, (F.col("target_page") == F.col("_page")) & (F.col("target_block_id") == F.col("_id")), "left").drop("_page", "_id")
-    act = F.when((F.col("action") == "add_under") & F.col("target_seq").isNull(), "add_section").when(F.col("action").isin("replace", "skip_exists") & F.col("target_seq").isNull(), "invalid").otherwise(F.col("action"))
-    return found.withColumn("new_id", C.integration_id(F.col("knowledge_block_id"), F.col("target_page"), F.col("action"), F.col("target_block_id"))).withColumn("done_as", act)
+    named = decisions.withColumn("new_id", C.integration_id(F.col("knowledge_block_id"), F.col("target_page"), F.col("action"), F.col("target_block_id")))
+    found = named.join(at, (F.col("target_page") == F.col("_page")) & (F.col("target_block_id") == F.col("_id")), "left").drop("_page", "_id")
+    if "block_id" in blocks.columns:
+        own = blocks.where("block_id is not null").select(F.col("page").alias("target_page"), F.col("block_id").alias("new_id"), F.lit(True).alias("_done")).distinct()
+        found = found.join(own, ["target_page", "new_id"], "left")
+    else:
+        found = found.withColumn("_done", F.lit(None).cast("boolean"))
+    missing = F.col("target_seq").isNull()
+    act = F.when(F.col("_done"), "done").when((F.col("action") == "add_under") & missing, "add_section").when(F.col("action").isin("replace", "skip_exists") & missing, "invalid").otherwise(F.col("action"))
+    return found.withColumn("done_as", act).drop("_done")
+
+
+def why_invalid(found: DataFrame) -> DataFrame:
+    """The decisions of resolved() that can't be done, with a reason."""
+    reason = F.when(F.col("target_block_id").isNull(), F.concat("action", F.lit(" needs a target"))).otherwise(F.concat(F.lit("no block "), "target_block_id", F.lit(" in "), "target_page"))
+    return found.where("done_as = 'invalid'").withColumn("reason", reason)
 
 
-def not_yet(found: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Those of resolved() whose block isn't there from an earlier run."""
-    return found.join(blocks.where("block_id is not null").select(F.col("page").alias("target_page"), F.col("block_id").alias("new_id")), ["target_page", "new_id"], "left_anti")
+def id_line(block: Column) -> Column:
+    return F.concat(F.lit("id:: "), block)
+
+
+def edited(content: Column, block_id: Column, new: Column) -> Column:
+    """A block's lines after a decision: new text and its own properties, or its own lines; either with an id."""
+    is_property = lambda x: x.rlike(r"^\s*[A-Za-z0-9_-]+::")
+    lines = F.when(new["lines"].isNotNull(), F.concat(new["lines"], F.filter(content, is_property))).otherwise(content)
+    return F.when(block_id.isNull(), F.concat(lines, F.array(id_line(new["new_id"])))).otherwise(lines)
 
 
 def merged(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """page, seq (from 0), depth, content, block_id of the pages after the decisions of resolved().
+    """page, seq (from 0), level, content, block_id, was (the seq before, null for new blocks) of the pages after the decisions of resolved().
 
-    blocks: page, seq, depth, content (array), block_id and last (the seq of the last block below each).
-    Of several replacements of a block the last wins; additions stand in the order of their seq.
+    blocks: page, seq, level, content (array), block_id and last (the seq of the last block below each). Ids
+    stand in the content as id:: lines, so they are found again after rendering and parsing. Of several
+    changes of one block the last wins, and a replacement before one that only gives an id; additions stand
+    in the order of their seq.
     """
-    todo = not_yet(found, blocks)
     text = F.split("refined_text", "\n")
-    swap = todo.where("done_as = 'replace'").groupBy(F.col("target_page").alias("page"), F.col("target_seq").alias("seq")).agg(F.max_by(F.struct(text.alias("lines"), "new_id"), "seq").alias("new"))
-    is_property = lambda x: x.rlike(r"^\s*[A-Za-z0-9_-]+::")
+    lines = F.when(F.col("done_as") == "replace", text)
+    change = found.where("done_as in ('replace', 'skip_exists')")
+    swap = change.groupBy(F.col("target_page").alias("page"), F.col("target_seq").alias("seq")).agg(F.max_by(F.struct(lines.alias("lines"), "new_id"), F.struct(F.col("done_as") == "replace", "seq")).alias("new"))
     old = blocks.join(swap, ["page", "seq"], "left")
-    kept = F.when(F.col("new").isNotNull(), F.concat("new.lines", F.filter("content", is_property))).otherwise(F.col("content"))
-    old = old.select("page", F.col("seq").cast("double").alias("place"), F.lit(0).alias("turn"), "depth", kept.alias("content"), F.coalesce("block_id", "new.new_id").alias("block_id"))
-    ends = blocks.select(F.col("page").alias("target_page"), F.col("seq").alias("target_seq"), F.col("last"), F.col("depth").alias("_depth"))
-    under = todo.where("done_as = 'add_under'").join(ends, ["target_page", "target_seq"]).select(F.col("target_page").alias("page"), (F.col("last") + 0.5).alias("place"), "seq", (F.col("_depth") + 1).alias("depth"), text.alias("content"), F.col("new_id").alias("block_id"))
-    section = todo.where("done_as = 'add_section'").select(F.col("target_page").alias("page"), F.lit(float("inf")).alias("place"), "seq", F.lit(0).alias("depth"), text.alias("content"), F.col("new_id").alias("block_id"))
-    added = under.union(section).withColumnRenamed("seq", "turn")
+    kept = F.when(F.col("new").isNotNull(), edited(F.col("content"), F.col("block_id"), F.col("new"))).otherwise(F.col("content"))
+    old = old.select("page", F.col("seq").cast("double").alias("place"), F.lit(0).cast("long").alias("turn"), "level", kept.alias("content"), F.coalesce("block_id", "new.new_id").alias("block_id"), F.col("seq").alias("was"))
+    new = F.concat(text, F.array(id_line(F.col("new_id"))))
+    ends = blocks.select(F.col("page").alias("target_page"), F.col("seq").alias("target_seq"), F.col("last"), F.col("level").alias("_level"))
+    under = found.where("done_as = 'add_under'").join(ends, ["target_page", "target_seq"]).select(F.col("target_page").alias("page"), (F.col("last") + 0.5).alias("place"), F.col("seq").cast("long").alias("turn"), (F.col("_level") + 1).alias("level"), new.alias("content"), F.col("new_id").alias("block_id"), F.lit(None).cast("int").alias("was"))
+    section = found.where("done_as = 'add_section'").select(F.col("target_page").alias("page"), F.lit(float("inf")).alias("place"), F.col("seq").cast("long").alias("turn"), F.lit(0).alias("level"), new.alias("content"), F.col("new_id").alias("block_id"), F.lit(None).cast("int").alias("was"))
     order = Window.partitionBy("page").orderBy("place", "turn", "block_id")
-    return old.union(added).select("page", (F.row_number().over(order) - 1).cast("int").alias("seq"), "depth", "content", "block_id")
+    return old.union(under).union(section).select("page", (F.row_number().over(order) - 1).cast("int").alias("seq"), "level", "content", "block_id", "was")
+
+
+def tree(outlines: DataFrame, hash_pages: bool = True) -> DataFrame:
+    """The blocks of outlines as merged() and resolved() take them."""
+    from notespan.operators.outline import contexts
+
+    return contexts(outlines, hash_pages).select("page", "seq", "depth", "level", "content", "block_id", "hybrid_id", "last")
+
+
+def regrouped(outlines: DataFrame, rows: DataFrame) -> DataFrame:
+    """The outlines with the rows of merged() as their blocks, to be rendered."""
+    new = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "content"))).alias("_blocks"))
+    return outlines.join(new, "page", "left").select("page", "indent", "frontmatter", F.coalesce("_blocks", F.array().cast("array<struct<seq:int,level:int,content:array<string>>>")).alias("blocks"))
+
+
+def with_provenance(outlines: DataFrame, written: DataFrame) -> DataFrame:
+    """Journals with links to what their blocks became: written has knowledge_block_id, target_page, new_id and seq. A link that is there isn't added again.
+
+    Blocks are found by explicit id or by the hash without a page's name; of several the first is taken.
+    """
+    from notespan.operators.editing import with_property
+
+    links = written.groupBy("knowledge_block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "target_page", "new_id"))), lambda x: F.struct(x["target_page"].alias("page"), x["new_id"].alias("id"))).alias("links"))
+    rows = tree(outlines, hash_pages=False)
+    first = rows.groupBy("page", "hybrid_id").agg(F.min("seq").alias("seq")).join(links, F.col("hybrid_id") == F.col("knowledge_block_id")).select("page", "seq", "links")
+    old = C.property_value(F.col("content"), "extracted-to")
+    value = F.aggregate("links", F.coalesce(old, F.lit("")), lambda v, x: C.provenance(v, C.display_name(x["page"]), x["id"]))
+    done = rows.join(first, ["page", "seq"], "left").withColumn("content", F.when(F.col("links").isNotNull(), with_property(F.col("content"), "extracted-to", value)).otherwise(F.col("content")))
+    return regrouped(outlines, done)

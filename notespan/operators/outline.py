@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from notespan.functions import columns as C
 
 FENCE = "```"
-BLOCK = pa.struct([("seq", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("level", pa.int32()), ("content", pa.list_(pa.string())), ("block_id", pa.string()), ("above", pa.list_(pa.int32()))])
-SCHEMA = "page string, indent string, frontmatter array<string>, blocks array<struct<seq: int, parent: int, depth: int, level: int, content: array<string>, block_id: string, above: array<int>>>"
+BLOCK = pa.struct([("seq", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("level", pa.int32()), ("content", pa.list_(pa.string())), ("block_id", pa.string()), ("above", pa.list_(pa.int32())), ("last", pa.int32())])
+SCHEMA = "page string, indent string, frontmatter array<string>, blocks array<struct<seq: int, parent: int, depth: int, level: int, content: array<string>, block_id: string, above: array<int>, last: int>>"
 
 
 def is_bullet(line: str) -> bool:
@@ -31,12 +31,20 @@ def indent_unit(lines: list[str]) -> str:
     return min((x for x in found if x), key=len, default="  ")
 
 
-def parse(text: str | None) -> dict:
-    """indent, frontmatter and blocks of one text. Null and blank texts have none."""
+#: Marks a line that stands further left than its bullet's text, with how far, when indents are kept.
+MARK = "\0"
+
+
+def parse(text: str | None, strict: bool = False) -> dict:
+    """indent, frontmatter and blocks of one text. Null and blank texts have none.
+
+    A fence lasts within the lines before the first bullet, or within one bullet, whose own text may open
+    it. strict keeps how far lines stand left of their bullet's text, behind MARK; else they lose their indent.
+    """
     if not text or not text.strip():
         return {"indent": "  ", "frontmatter": [], "blocks": []}
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    unit, fenced = indent_unit(lines), False
+    unit, fenced, base = indent_unit(lines), False, ""
     front: list[str] = []
     blocks: list[dict] = []
     stack: list[dict] = []  # the blocks above the next one
@@ -45,42 +53,48 @@ def parse(text: str | None) -> dict:
         space = line[: len(line) - len(own)]
         if own.startswith(FENCE):
             fenced = not fenced
-            bullet = False
-        else:
-            bullet = not fenced and is_bullet(line)
         level = space.count(unit)
+        bullet = not fenced and is_bullet(line)
         if bullet and blocks and space != unit * level and level <= blocks[-1]["level"]:
             bullet = False  # misaligned: more text of the block before
         if not bullet:
             if not blocks:
                 front.append(line)
+            elif line.startswith(base):
+                blocks[-1]["content"].append(line[len(base) :])
             else:
-                base = unit * blocks[-1]["level"] + "  "
-                blocks[-1]["content"].append(line[len(base) :] if line.startswith(base) else own)
+                blocks[-1]["content"].append(f"{MARK}{len(base) - len(space)}{MARK}{own}" if strict else own)
             continue
-        while stack and stack[-1]["level"] >= level:
-            stack.pop()
+        del stack[level:]
         if level == 0 or not stack or stack[-1]["level"] != level - 1:
             stack = []
-        block = {"seq": len(blocks), "parent": stack[-1]["seq"] if stack else None, "depth": len(stack), "level": level, "content": [own[2:] if own != "-" else ""], "above": [b["seq"] for b in stack]}
+        for b in stack:
+            b["last"] = len(blocks)
+        block = {"seq": len(blocks), "last": len(blocks), "parent": stack[-1]["seq"] if stack else None, "depth": len(stack), "level": level, "content": [own[2:] if own != "-" else ""], "above": [b["seq"] for b in stack]}
         blocks.append(block)
         stack.append(block)
+        base, fenced = space + "  ", block["content"][0].startswith(FENCE)
     for b in blocks:
         b["block_id"] = next((value.strip() for key, sep, value in (x.partition("::") for x in b["content"]) if sep and key.strip() == "id"), None)
     return {"indent": unit, "frontmatter": front, "blocks": blocks}
 
 
-def parsed(pages: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+def parsed(pages: DataFrame, page: str = "page", text: str = "text", strict: bool = False) -> DataFrame:
     """page, indent, frontmatter, blocks: one row for each row of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [parse(t) for t in batch.column("text").to_pylist()]
+            out = [parse(t, strict) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array([o["indent"] for o in out], pa.string()), pa.array([o["frontmatter"] for o in out], pa.list_(pa.string())), pa.array([o["blocks"] for o in out], pa.list_(BLOCK))], names=["page", "indent", "frontmatter", "blocks"])
 
     return pages.select(F.col(page).cast("string").alias("page"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def unmarked(line: Column) -> Column:
+    """A line without the mark of its indent: what is hashed and shown."""
+    return F.regexp_replace(line, "^\\x00-?[0-9]+\\x00", "")
+
+
 def trimmed(frontmatter: Column) -> Column:
     """Without blank lines at both ends."""
     at = F.filter(F.transform(frontmatter, lambda x, i: F.when(C.strip(x) != "", i)), lambda i: i.isNotNull())
@@ -99,19 +113,28 @@ def contexts(outlines: DataFrame, hash_pages: bool = True) -> DataFrame:
     The context is the frontmatter, a blank line, then each block above and the block itself as
     bullets at their depth. Journals hash without their name (hash_pages false).
     """
-    shown = lambda b, d: bullet(b["content"], F.lit("  "), d)
+    shown = lambda b, d: bullet(F.transform(b["content"], unmarked), F.lit("  "), d)
     front = trimmed(F.col("frontmatter"))
     head = F.when(F.size(front) > 0, F.concat(F.array_join(front, "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
     path = F.transform(F.concat(F.col("b.above"), F.array("b.seq")), lambda s, i: shown(F.get("blocks", s), i))
-    rows = outlines.select("page", "blocks", head.alias("head"), F.explode("blocks").alias("b")).withColumn("context", F.concat("head", F.array_join(path, "\n")))
-    return rows.select("page", "b.seq", "b.parent", "b.depth", "b.level", "b.content", "b.block_id", "context", C.hybrid_id(F.col("b.block_id"), F.col("context"), F.col("page") if hash_pages else None).alias("hybrid_id"))
+    rows = outlines.select("page", "blocks", "frontmatter", head.alias("head"), F.explode("blocks").alias("b")).withColumn("context", F.concat("head", F.array_join(path, "\n")))
+    own_id = C.hybrid_id(F.col("b.block_id"), F.col("context"), F.col("page") if hash_pages else None)
+    return rows.select("page", "b.seq", "b.parent", "b.depth", "b.level", "b.content", "b.block_id", "b.last", "context", own_id.alias("hybrid_id"), for_model(F.col("context"), F.col("frontmatter")).alias("clean"))
 
 
 def rendered(outlines: DataFrame) -> DataFrame:
-    """page, text: the frontmatter and all blocks at their textual level; blank lines between blocks are dropped."""
-    kept = lambda b: F.filter(b["content"], lambda x, i: (i == 0) | (C.strip(x) != ""))
-    body = F.transform("blocks", lambda b: bullet(kept(b), F.col("indent"), b["level"]))
-    return outlines.select("page", F.array_join(F.concat("frontmatter", body), "\n").alias("text"))
+    """page, text: the frontmatter and all blocks at their textual level; empty lines at the end of a block are dropped."""
+
+    def lines(b: Column) -> Column:
+        space = F.repeat(F.col("indent"), b["level"])
+        first = F.get(b["content"], F.lit(0))
+        size = F.coalesce(F.array_max(F.transform(b["content"], lambda x, i: F.when((i == 0) | (x != ""), i + 1))), F.lit(1))
+        less = lambda x: F.greatest(F.regexp_extract(x, "^\\x00(-?[0-9]+)\\x00", 1).cast("int"), F.lit(0))
+        under = F.concat(space, F.lit("  "))
+        more = F.transform(F.slice(b["content"], F.lit(2), size - 1), lambda x: F.when(x.startswith(MARK), F.concat(F.substring(under, F.lit(1), F.length(under) - less(x)), unmarked(x))).otherwise(F.concat(under, x)))
+        return F.concat(F.array(F.concat(space, F.when(first == "", "-").otherwise(F.concat(F.lit("- "), first)))), more)
+
+    return outlines.select("page", F.array_join(F.concat("frontmatter", F.flatten(F.transform("blocks", lines))), "\n").alias("text"))
 
 
 def without_covered(blocks: DataFrame, selected: DataFrame) -> DataFrame:
@@ -125,8 +148,9 @@ def without_covered(blocks: DataFrame, selected: DataFrame) -> DataFrame:
 def for_model(context: Column, frontmatter: Column) -> Column:
     """A context without id lines and, before its first bullet, without blank lines and frontmatter, which a model gets once for the page."""
     lines = F.filter(F.split(context, "\n"), lambda x: ~x.rlike(r"^\s*id::\s+\S"))
-    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*- "), i)), lambda i: i.isNotNull())), F.size(lines))
-    return F.array_join(F.filter(lines, lambda x, i: (i >= first) | ((C.strip(x) != "") & ~F.array_contains(frontmatter, x))), "\n")
+    known = F.transform(frontmatter, C.strip)
+    first = lambda xs: F.coalesce(F.array_min(F.transform(xs, lambda x, i: F.when(C.strip(x).startswith("- "), i))), F.size(xs))
+    return F.array_join(F.filter(lines, lambda x, i: (i >= first(lines)) | ((C.strip(x) != "") & ~F.array_contains(known, C.strip(x)))), "\n")
 
 
 def as_xml(chunks: DataFrame) -> DataFrame:
