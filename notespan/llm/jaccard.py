@@ -8,7 +8,9 @@ neighbouring ones. For each band of the larger set, hashes split the universe in
 sets differ in at most H elements, so with H + 1 segments some segment has no difference. Segments
 get an allowance: 0 (its subset must be equal: one signature), or 1 (it may differ by one element:
 the subset and all subsets with one element less are signatures, and the segment counts twice and
-is twice as wide). The allocation spends as few signatures as give some spare allowance. What is
+is twice as wide). How many segments get 1 is a choice of each band by its cost: one in 64 of the
+signatures that each choice would give are counted over all different sets, what is sent and what
+would meet. The choice never changes a result. The allocation has some spare allowance. What is
 spare pays for signatures that are left out (allowance -1): empty subsets, and subsets that many
 different sets share. A set with too many empty subsets keeps them as signatures, and nothing is
 spare. Sets that meet in a signature are compared exactly.
@@ -48,6 +50,10 @@ CENTRES = 8
 #: Sets of a frequent group in a block, and parts that the rows of a large group are dealt to in joins.
 BLOCK, SALTS = 1024, 64
 TOP_SIZE = 1 << 40
+#: The least number of a band's segments with allowance 1, and one in how many of its allowance, for each choice; STANDARD is taken where nothing was counted.
+CHOICES, STANDARD = ((0, TOP_SIZE), (1, 48), (2, 16)), 1
+#: What a pair that meets costs, in signatures sent; one in 2^SHARE_BITS signatures is counted.
+PAIR_COST, SHARE_BITS = 20, 6
 
 
 @cache
@@ -65,15 +71,16 @@ def differences(total: np.ndarray | int) -> np.ndarray | int:
 
 
 @cache
-def plan() -> tuple[np.ndarray, np.ndarray]:
+def plan(choice: int = STANDARD) -> tuple[np.ndarray, np.ndarray]:
     """For each band of the larger set: the number of segments with allowance 1 and that with allowance 0."""
     loose, exact = [], []
+    least, one_in = CHOICES[choice]
     for first, after in zip(bands(), bands()[1:], strict=False):
         most = max(int(differences(t)) for t in range(max(2, 2 * (after - 1) - 18), 2 * (after - 1) + 1))
         need = most + 1 + 2 + most * 4 // 100
-        one = max(1, need // 48) if most else 0
+        one = min(max(least, need // one_in), (need - 1) // 2) if most else 0
         loose.append(one)
-        exact.append(max(1, need - 2 * one) if most else 1)
+        exact.append(need - 2 * one if most else 1)
     return np.array(loose), np.array(exact)
 
 
@@ -103,6 +110,12 @@ def nodes_of(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, mix(total + size.astype(np.uint64)).view(np.int64)
 
 
+def only(keep: np.ndarray, text: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets that are kept, numbered anew."""
+    own = keep[text]
+    return (np.cumsum(keep) - 1)[text[own]], hashes[own], size[keep]
+
+
 def sketches(text: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
     """For each set: how many elements fall in each of 2^k equal parts of the universe, about two in one, counted up to 255."""
     parts = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(size, 1) / 2))).astype(np.int64)
@@ -121,24 +134,75 @@ def differ_by(x: bytes, y: bytes) -> int:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles) and sketch."""
+    """doc_id, n_shingles, node (null without shingles), sketch, and tried: some signatures under each choice, as trials() has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in columns(batch, lower=True):
                 text, hashes = sets(Words(data, bounds, WHITE))
                 size, node = nodes_of(text, hashes, len(bounds) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, len(size)), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sketches(text, hashes, size), pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+                new = np.zeros(len(size), bool)
+                new[np.unique(node, return_index=True)[1]] = True
+                new &= size > 0
+                owner, key = trials(*only(new, text, hashes, size))
+                n = np.zeros(len(size), np.int64)
+                n[new] = np.bincount(owner, minlength=int(new.sum()))
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                tried = pa.ListArray.from_arrays(ends, pa.array(key))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(rows.start, len(size)), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sketches(text, hashes, size), pa.binary()), tried],
+                    names=["doc_id", "n_shingles", "node", "sketch", "tried"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, tried array<long>")
+
+
+Plan = tuple[np.ndarray, np.ndarray]
+#: Bits of a trial's key that are its choice, and that are its band and choice.
+CHOICE_BITS, LABEL_BITS = 4, 16
+
+
+def trials(text: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and key of one in 2^SHARE_BITS signatures under each choice, by set. A key's low bits are the band and the choice."""
+    band = np.searchsorted(bands(), np.maximum(size, 1), "right") - 1
+    owners, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for choice in range(len(CHOICES)):
+        for k in (0, 1):
+            owner, entry, _, _ = signatures(text, hashes, size, k, plan(choice))
+            own = np.flatnonzero(entry >> np.uint64(64 - SHARE_BITS) == 0)
+            label = ((band[owner[own]] + k) << CHOICE_BITS | choice).astype(np.uint64)
+            owners.append(owner[own])
+            keys.append(((entry[own] >> np.uint64(LABEL_BITS) << np.uint64(LABEL_BITS)) | label).view(np.int64))
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], key[order]
+
+
+def allocated(sizes: DataFrame) -> Plan:
+    """The plan whose choice for each band costs least: signatures sent, and pairs that meet in those that aren't frequent. sizes: node and tried of sized().
+
+    The driver gets a row for each band and choice.
+    """
+    n = F.col("n")
+    alike = sizes.select("node", F.explode("tried").alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    meet = F.when(n <= FREQUENT, n * (n - 1) / 2).otherwise(n)
+    label = F.col("key").bitwiseAND(F.lit((1 << LABEL_BITS) - 1)).alias("label")
+    cost = {r["label"]: r["cost"] for r in alike.groupBy(label).agg(F.sum(n + PAIR_COST * meet).alias("cost")).collect()}
+    loose, exact = (x.copy() for x in plan())
+    for band in range(len(loose)):
+        found = [cost.get(band << CHOICE_BITS | choice) for choice in range(len(CHOICES))]
+        if None not in found:
+            best = plan(int(np.argmin(found)))
+            loose[band], exact[band] = best[0][band], best[1][band]
+    return loose, exact
 
 
 ONE_LESS, TWICE, NEXT_BAND = 1, 2, 4
 
 
-def signatures(text: np.ndarray, hashes: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(text: np.ndarray, hashes: np.ndarray, size: np.ndarray, k: int, allocation: Plan | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For sets as the smaller of a pair whose larger one is in the k-th band above: text, signature and flags of each entry; and each text's spare allowance."""
-    loose, exact = plan()
+    loose, exact = allocation or plan()
     edges = np.array(bands())
     band = np.searchsorted(edges, np.maximum(size, 1), "right") - 1 + k
     ones, parts = loose[band], loose[band] + exact[band]
@@ -176,7 +240,7 @@ MET = "kind int, x long, y long, z long"
 PAIR, STAR, LOST, SPARE, SHARED = range(5)
 
 
-def met(docs: DataFrame) -> DataFrame:
+def met(docs: DataFrame, allocation: Plan) -> DataFrame:
     """What meets in signatures, as kind, x, y, z.
 
     PAIR and STAR: nodes x and y, the latter from a frequent signature. LOST: node x, band y, allowance z
@@ -197,14 +261,12 @@ def met(docs: DataFrame) -> DataFrame:
                     if (x := int(node[i])) not in seen:
                         seen.add(x)
                         new[i] = True
-                keep = new[text]
-                text, hashes = text[keep], hashes[keep]
-                if not len(text):
+                if not new.any():
                     continue
-                short = np.cumsum(new) - 1
-                text, size, node = short[text], size[new], node[new]
+                text, hashes, size = only(new, text, hashes, size)
+                node = node[new]
                 for k in (0, 1):
-                    owner, entry, flags, spare = signatures(text, hashes, size, k)
+                    owner, entry, flags, spare = signatures(text, hashes, size, k, allocation)
                     group = ((entry >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
                     order = np.argsort(group, kind="stable")
                     owner, entry, flags, group = owner[order], entry[order], flags[order], group[order]
@@ -318,9 +380,9 @@ def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     return pairs.join(small, "b").join(large, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, allocation: Plan) -> DataFrame:
     """a, b: links between nodes, enough to connect all that any links connect. nodes: node, doc_id, n_shingles, sketch."""
-    found = written(met(docs))
+    found = written(met(docs, allocation))
     shared = found.where(F.col("kind") == SHARED).select(F.col("x").alias("signature"), F.col("y").alias("node"), F.col("z").alias("band"))
     lost = found.where(F.col("kind").isin(LOST, SPARE)).groupBy("x", "y").agg(F.coalesce(F.sum(F.when(F.col("kind") == LOST, F.col("z"))), F.lit(0)).alias("lost"), F.min(F.when(F.col("kind") == SPARE, F.col("z"))).alias("spare"))
     over = lost.where("lost > spare").select(F.col("x").alias("node"), F.col("y").alias("band"))
@@ -428,7 +490,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     own = documents(docs)
     sizes = written(sized(own))
     nodes = written(sizes.where("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("first")).select("node", "first.*"))
-    roots = components(links(own, nodes))
+    roots = components(links(own, nodes, allocated(sizes)))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = named.join(smallest, "root").select("node", "component_id")

@@ -152,7 +152,8 @@ def test_blocks_leave_out_no_pair_and_stay_small(spark, monkeypatch):
 
 
 @pytest.mark.parametrize(("common", "one", "other"), [(4, 0, 1), (8, 0, 2), (9, 1, 1), (12, 1, 2), (13, 0, 3), (16, 0, 4), (20, 1, 4)])
-def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_there(common, one, other):
+@pytest.mark.parametrize("choice", range(len(jaccard.CHOICES)))
+def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_there(common, one, other, choice):
     r, n, edges = np.random.default_rng(0), 20_000, np.array(jaccard.bands())
     assert 100 * common >= 80 * (common + one + other)
     equal = r.integers(0, 2**63, (n, common), dtype=np.uint64)
@@ -160,7 +161,7 @@ def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_the
     entries, spare = [], []
     for more, step in ((one, k), (other, 0)):
         s = np.concatenate([equal, r.integers(0, 2**63, (n, more), dtype=np.uint64)], axis=1)
-        text, entry, flags, left = jaccard.signatures(np.repeat(np.arange(n), s.shape[1]), s.ravel(), np.full(n, s.shape[1]), step)
+        text, entry, flags, left = jaccard.signatures(np.repeat(np.arange(n), s.shape[1]), s.ravel(), np.full(n, s.shape[1]), step, jaccard.plan(choice))
         spare.append(left)
         entries.append({(t, e): 1 + bool(f & jaccard.TWICE) for t, e, f in zip(text.tolist(), entry.tolist(), flags.tolist(), strict=True)})
     both = entries[0].keys() & entries[1].keys()
@@ -171,6 +172,38 @@ def test_linked_sets_that_meet_in_frequent_signatures_only_are_both_compared_the
         assert (lost > left).all()
 
 
+@pytest.mark.parametrize("choice", range(len(jaccard.CHOICES)))
+def test_near_copies_under_each_choice(spark, monkeypatch, choice):
+    monkeypatch.setattr(jaccard, "allocated", lambda sizes: jaccard.plan(choice))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_copies(X.frame(spark)).collect()}
+    assert got == linked(X.known())
+
+
+def test_each_band_takes_the_cheapest_choice(spark):
+    """Band 3: choice 0 has pairs that meet, choice 2 sends least, though a copy's keys come twice. Band 5 has no figures for a choice. Band 7: a frequent signature costs more than some sent."""
+    key = lambda band, choice, number: number << jaccard.LABEL_BITS | band << jaccard.CHOICE_BITS | choice
+    rows = [(n, [key(3, 0, 1), *(key(3, 1, 10 * n + j) for j in range(3)), *(key(3, 2, 10 * n + j) for j in range(2))]) for n in range(9)]
+    rows += [rows[0], (50, [key(5, 0, 1), key(5, 2, 2)])]
+    rows += [(n, [key(7, 0, 1), *(key(7, 1, 100 * n + j) for j in range(4)), *(key(7, 2, 100 * n + j) for j in range(9))]) for n in range(100, 100 + 2 * jaccard.FREQUENT)]
+    got = jaccard.allocated(spark.createDataFrame(rows, "node long, tried array<long>"))
+    want = [jaccard.STANDARD] * len(got[0])
+    want[3], want[7] = 2, 1
+    for k in (0, 1):
+        assert got[k].tolist() == [int(jaccard.plan(c)[k][band]) for band, c in enumerate(want)]
+    none = jaccard.allocated(spark.createDataFrame([], "node long, tried array<long>"))
+    assert all((a == b).all() for a, b in zip(none, jaccard.plan(), strict=True))
+
+
+def test_trials_are_the_signatures_of_each_choice():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 7, 40, 300, 300)]
+    sets[4] = sets[3]
+    size = np.array([len(x) for x in sets])
+    owner, key = jaccard.trials(np.repeat(np.arange(5), size), np.concatenate(sets), size)
+    assert (np.diff(owner) >= 0).all() and sorted(key[owner == 3]) == sorted(key[owner == 4]) and (owner == 3).any()
+    assert set((key & (1 << jaccard.CHOICE_BITS) - 1).tolist()) == set(range(len(jaccard.CHOICES)))
+
+
 def test_sketches_never_rule_out_a_link():
     r = np.random.default_rng(0)
     for n in (1, 5, 40, 300, 900):
