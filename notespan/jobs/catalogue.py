@@ -16,7 +16,7 @@ NAMES = {
     reviews: [
         "decision_dedupe", "decisions_by_block", "decision_summary", "best_two_per_page", "batch_accept", "record_validate", "stream_deltas", "id_shorten", "invalid_id_drop",
         "state_labels", "accept_all", "toggle_reset", "confidence_range", "next_match_wrap", "page_urls", "link_extract", "journal_lookup", "combined_journal",
-        "previous_match_wrap", "decision_lists", "recorded_blocks", "change_runs", "write_outcomes", "edit_states", "journal_fallback", "target_titles",
+        "previous_match_wrap", "decision_lists", "recorded_blocks", "change_runs", "write_outcomes", "edit_states", "journal_fallback", "target_titles", "page_contents",
     ],
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notespan.functions import columns as C
 from notespan.operators import chunks
 from notespan.operators import decisions as D
+from notespan.sources import graph as G
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -337,3 +338,16 @@ TARGET_TITLES = DECIDED + r"""
 f AS (SELECT id, regexp_replace('- ' || string_split(text, chr(10))[1], '^- ', '') AS f FROM c)
 SELECT seq, md5(CASE WHEN length(trim(f)) > 50 THEN substr(trim(f), 1, 47) || '...' ELSE trim(f) END) AS title_md5 FROM d JOIN f ON f.id = d.target_block_id
 """
+
+
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document names a page; the pages' texts, and which are missing."""
+    candidates = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
+    found = G.with_contents(candidates, read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("text")))
+    return found.select("page", F.md5("text").alias("digest"), "missing")
+
+
+PAGE_CONTENTS = """
+SELECT l.doc_id AS page, md5(p.html) AS digest, p.html IS NULL AS missing
+FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL) l LEFT JOIN pages p ON p.page_id = l.doc_id
+"""

@@ -52,3 +52,14 @@ def entries(journals_: DataFrame, wanted: DataFrame) -> DataFrame:
     """The journals of the wanted days (column day); a day without one is an error when its row is read."""
     found = wanted.join(journals_, wanted["day"] == journals_["journal_date"], "left")
     return found.withColumn("text", F.when(F.col("path").isNull(), F.raise_error(F.concat(F.lit("no journal for "), F.col("day").cast("string"))).cast("string")).otherwise(F.col("text")))
+
+
+def with_contents(candidates: DataFrame, pages_: DataFrame) -> DataFrame:
+    """page, text and missing of every page that candidates name, each once; a page without a file, or whose text can't be read, is missing."""
+    wanted = candidates.select("page").where("page is not null").distinct()
+    return wanted.join(pages_.select("page", "text"), "page", "left").withColumn("missing", F.col("text").isNull())
+
+
+def existing(candidates: DataFrame, pages_: DataFrame) -> DataFrame:
+    """The candidates whose page has a file."""
+    return candidates.join(pages_.select("page"), "page", "left_semi")

@@ -61,3 +61,11 @@ def test_stream_takes_new_files_once(spark, notes):
     (notes / "g/pages/D.md").write_text("- later")
     ingest(spark, f"{notes}/g/pages", f"{notes}/blocks", f"{notes}/checkpoint").awaitTermination()
     assert spark.read.parquet(f"{notes}/blocks").count() == 4
+
+
+def test_contents_of_candidate_pages(spark):
+    pages = spark.createDataFrame([("a", "x"), ("b", None)], "page string, text string")
+    asked = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "page string, n int")
+    got = {r["page"]: (r["text"], r["missing"]) for r in graph.with_contents(asked, pages).collect()}
+    assert got == {"a": ("x", False), "b": (None, True), "c": (None, True)}
+    assert sorted(r["n"] for r in graph.existing(asked, pages).collect()) == [1, 2, 3]
