@@ -13,8 +13,10 @@ anchor are one stretch of text. The job:
 2. Suffixes with other prefixes are dealt out in memory-sized groups. Of a frequent prefix, each
    part of the input first drops windows that it has already seen, and a very frequent prefix is
    made longer, up to the whole window, so that its suffixes spread over all groups.
-3. Each group's suffixes are sorted, with the longest common prefixes of neighbours: the suffix tree
-   cut at depth 20. A node that deep is a repeat; its earliest leaf stays, the others' words go.
+3. Each group's suffixes are sorted by their words, with the longest common prefixes of neighbours,
+   word by word: the leaves and the internal nodes of the group's subtrees, cut at depth 20. A node
+   that deep is a repeat; its earliest leaf stays, the others' words go. Windows of a stretch whose
+   nodes are that deep join to one repeat, so repeats are as long as they can be.
 
 Exact copies of a whole text are all repeats of the first: they take no part in this, and lose all
 words if there are 20 or more. Null texts have no words; texts of under 20 words lose none.
@@ -213,6 +215,28 @@ def intervals(ids: np.ndarray, start: np.ndarray) -> tuple[list, list, list]:
     return ids[first].tolist(), start[first].tolist(), (start[last] + WINDOW).tolist()
 
 
+def leaves(number: np.ndarray, at: np.ndarray, ties: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a subtree's leaves, and how many words, up to a window, each has in common with the leaf before.
+
+    number: the words' numbers, end to end; at: where each suffix starts; ties: what orders equal ones, the last key
+    first. So an internal node of depth d is a run of leaves, all but its first with d words or more in common.
+    """
+    bits = max(1, int(number.max(initial=0)).bit_length())
+    packed, keys = 64 // bits, []
+    for k in range(0, WINDOW, packed):  # so many words in a key as fit
+        key = np.zeros(len(at), np.uint64)
+        for j in range(k, min(k + packed, WINDOW)):
+            key = (key << np.uint64(bits)) | number[at + j].astype(np.uint64)
+        keys.append(key)
+    order = np.lexsort((*ties, *keys[::-1]))
+    depth, same = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+    for j in range(WINDOW):
+        word = number[at[order] + j]
+        same &= word[1:] == word[:-1]
+        depth[1:] += same
+    return order, depth
+
+
 def tree(group: pa.Table) -> pa.Table:
     """The words that go, as doc_id, first word, word after the last: below nodes as deep as a window, all leaves but the earliest."""
     meta = np.frombuffer(joined(group, "part0"), np.int64).reshape(-1, 4)
@@ -230,19 +254,7 @@ def tree(group: pa.Table) -> pa.Table:
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(first, count) + step
     ids, start = np.repeat(meta[:, 0], count), np.repeat(meta[:, 1], count) + step
-    # Each edge of the tree is five words; a suffix is a path of four edges.
-    odd = odd_numbers(PREFIX)
-    edge = h[: max(0, len(h) - PREFIX + 1)] * odd[0]
-    for j in range(1, PREFIX):
-        edge = edge + h[j : j + len(edge)] * odd[j]
-    edges = [edge[at + k] for k in range(0, WINDOW, PREFIX)]
-    order = np.lexsort((start, ids, *edges[::-1]))
-    depth = np.zeros(len(order), np.int64)  # words in common with the suffix before
-    same = np.ones(max(0, len(order) - 1), bool)
-    for e in edges:
-        e = e[order]
-        same &= e[1:] == e[:-1]
-        depth[1:] += PREFIX * same
+    order, depth = leaves(np.unique(h, return_inverse=True)[1].ravel(), at, (start, ids))
     later = order[depth >= WINDOW]
     found = intervals(ids[later], start[later])
     cols = [np.concatenate([np.array(x, np.int64), known[:, k]]) for k, x in enumerate(found)]

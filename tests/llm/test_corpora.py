@@ -75,6 +75,22 @@ def test_fingerprints_differ_as_words_do():
     assert common.fingerprints(np.frombuffer(b"".join(short), np.uint8), np.array([len(w) for w in short])).tolist() == [x for x, w in zip(h.tolist(), words, strict=True) if len(w) <= 64]
 
 
+def test_leaves_of_a_subtree():
+    rng = np.random.default_rng(3)
+    for many in (2, 3, 40_000):
+        number = rng.integers(0, many, 600)
+        number[300:340] = number[100:140]
+        at, ties = np.arange(len(number) - substrings.WINDOW + 1), np.zeros(len(number) - substrings.WINDOW + 1, np.int64)
+        order, depth = substrings.leaves(number, at, (at, ties))
+        words = [number[i : i + substrings.WINDOW].tolist() for i in range(len(at))]
+        wanted = sorted(range(len(at)), key=lambda i: (words[i], i))
+        assert order.tolist() == wanted
+        common = [next((k for k, (x, y) in enumerate(zip(words[a], words[b], strict=True)) if x != y), substrings.WINDOW) for a, b in zip(wanted, wanted[1:], strict=False)]
+        assert depth.tolist() == [0, *common]
+    order, depth = substrings.leaves(np.empty(0, np.int64), np.empty(0, np.int64), (np.empty(0, np.int64),))
+    assert not len(order) and not len(depth)
+
+
 def test_substrings_with_long_prefixes_and_seen_windows(spark, monkeypatch):
     monkeypatch.setattr(substrings, "FREQUENT", 1)
     monkeypatch.setattr(substrings, "VERY_FREQUENT", 3)
