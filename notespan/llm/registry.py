@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespan.llm import bpe, decontamination, jaccard, licences, lm, neighbours, quality, secrets, substrings, token_counts
+from notespan.llm import bpe, decontamination, filter_audit, jaccard, licences, lm, neighbours, quality, secrets, substrings, token_counts, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_secrets": secrets.op10_secrets,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_substrings": substrings.OP2_SQL,
         "op3_jaccard": jaccard.OP3_SQL,
         "op9_token_counts": token_counts.OP9_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
