@@ -6,7 +6,8 @@ character Markov models are trained from labelled samples of a bounded number of
 that the known forms found are the random strings, other words the ordinary ones. A token is a
 secret when the log-likelihood ratio of its character pairs is high enough, for each pair and in
 all. Where a known form covers a part of a run, what is left on either side are tokens of their own. The table of ratios has 128 x 128 cells at any size of the input. Nothing else is shuffled:
-each document is a row of its own.
+each document is a row of its own. Spans come out of a generator (behind), so a filter on them, or on a
+text that was masked, doesn't copy the expressions below it.
 
 Null texts are empty, and empty texts have no spans. Places are code points, the end exclusive.
 """
@@ -48,6 +49,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def behind(rows: DataFrame, **new: Column) -> DataFrame:
+    """rows with new columns that come out of a generator of one row: each is worked out once, and no filter or projection above copies its expression."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in new.items())))))
+
+
 def running(numbers: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
     """For each of an array's numbers (long), that number and all before it put together: their sums, or what add makes of two.
 
@@ -164,9 +170,10 @@ def scan(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     tokens = F.filter(found(F.col("_bare"), TOKEN), lambda m: likely(m["value"], cells) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * (F.length(m["value"]) - 1)))
     as_spans = lambda ms, kind: F.transform(ms, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
-    base = known_forms(docs).withColumn("base_spans", F.array_sort(F.concat(as_spans(F.col("assign"), 0), as_spans(F.col("access"), 1), as_spans(F.col("hex"), 2))))
-    base = base.withColumn("_bare", F.when(F.size("base_spans") > 0, blanked(text, "base_spans")).otherwise(text)).withColumn("_tokens", tokens)
-    return base.withColumn("spans", F.array_sort(F.concat("base_spans", as_spans(F.col("_tokens"), 3)))).drop("assign", "access", "hex", "_bare", "_tokens")
+    base = known_forms(docs)
+    base = behind(base, base_spans=F.array_sort(F.concat(as_spans(base["assign"], 0), as_spans(base["access"], 1), as_spans(base["hex"], 2)))).drop("assign", "access", "hex")
+    base = behind(base, _bare=F.when(F.size("base_spans") > 0, blanked(text, "base_spans")).otherwise(text))
+    return behind(base, spans=F.array_sort(F.concat("base_spans", as_spans(tokens, 3)))).drop("_bare")
 
 
 def joined(spans: str) -> Column:
@@ -184,7 +191,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span of its texts replaced by the mask; overlapping spans become one. Other columns stay; n_chars, if there, is counted anew."""
     cut = replaced(F.col("text"), "spans", lambda start, end, at: F.when(start >= at, F.lit(mask)).otherwise(""))
     rows = docs.select(named("doc_id").alias("doc_id"), named("text").cast("string").alias("text"), F.struct(*names(docs)).alias("_row"))
-    out = scan(rows).select("_row", F.size("spans").alias("n"), F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text"))
+    out = behind(scan(rows), _cut=F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select("_row", F.size("spans").alias("n"), F.col("_cut").alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
