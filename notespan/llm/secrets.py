@@ -190,12 +190,13 @@ def digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span of its texts replaced by the mask; overlapping spans become one. Other columns stay; n_chars, if there, is counted anew."""
     cut = replaced(F.col("text"), "spans", lambda start, end, at: F.when(start >= at, F.lit(mask)).otherwise(""))
-    rows = docs.select(named("doc_id").alias("doc_id"), named("text").cast("string").alias("text"), F.struct(*names(docs)).alias("_row"))
-    out = behind(scan(rows), _cut=F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select("_row", F.size("spans").alias("n"), F.col("_cut").alias("text"))
-    new = {"text": F.col("text")}
+    own = {c: f"_row{i}" for i, c in enumerate(docs.columns)}  # plain columns: fields of a struct aren't found again behind several generators
+    rows = docs.select(named("doc_id").alias("doc_id"), named("text").cast("string").alias("text"), *(named(c).alias(n) for c, n in own.items()))
+    out = behind(scan(rows), _cut=F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return out.select(*(new.get(c, named(c, "_row.")).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return out.select(*(new.get(c, F.col(own[c])).alias(c) for c in docs.columns))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
