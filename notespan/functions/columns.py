@@ -71,10 +71,10 @@ def relevance(rank: Column, n: Column) -> Column:
 
 
 def block_title(context: Column) -> Column:
-    """The first line that is not blank, without its bullet, at most 50 characters."""
-    first = F.get(F.filter(F.split(context, "\n"), lambda x: strip(x) != ""), F.lit(0))
-    own = F.regexp_replace(strip(F.coalesce(first, F.lit(""))), r"^- ", "")
-    return F.when(F.length(own) > 50, F.concat(F.substring(own, 1, 47), F.lit("..."))).otherwise(own)
+    """The first line that is not blank, without dashes and white space before its text, at most 50 characters; without such a line, that the block is unknown."""
+    first = strip(F.get(F.filter(F.split(context, "\n"), lambda x: strip(x) != ""), F.lit(0)))
+    own = F.regexp_replace(first, r"^[- \t]+", "")
+    return F.when(context.isNull(), F.lit(None).cast("string")).when(first.isNull(), "Unknown block").when(F.length(own) > 50, F.concat(F.substring(own, 1, 47), F.lit("..."))).otherwise(own)
 
 
 def without_id_lines(context: Column) -> Column:
@@ -120,4 +120,5 @@ def provenance_links(value: Column) -> Column:
 
 
 def estimated_seconds(last_seconds: Column, last_pages: Column, pages: Column) -> Column:
+    """How long a build of some pages takes, by the last one; null without one."""
     return F.when(last_pages > 0, last_seconds * pages / last_pages)

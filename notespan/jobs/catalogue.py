@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notespan.jobs import extraction, index, knn, notes, reviews
+from notespan.streaming import answers
 
 NAMES = {
     knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
-    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe", "selected_subtrees", "previous_sibling", "clean_context", "candidate_xml", "merge_render", "provenance_append", "outline_parse_quirks", "property_edit", "heading_find", "augmented_ids", "merge_preview"],
+    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe", "selected_subtrees", "previous_sibling", "clean_context", "candidate_xml", "merge_render", "provenance_append", "outline_parse_quirks", "property_edit", "heading_find", "augmented_ids", "merge_preview", "merge_properties"],
     index: ["encoder_search"],
     extraction: ["classify_turns"],
+    answers: ["stream_records"],
     reviews: [
         "decision_dedupe", "decisions_by_block", "decision_summary", "best_two_per_page", "batch_accept", "record_validate", "stream_deltas", "id_shorten", "invalid_id_drop",
         "state_labels", "accept_all", "toggle_reset", "confidence_range", "next_match_wrap", "page_urls", "link_extract", "journal_lookup", "combined_journal",

@@ -9,9 +9,7 @@ from notespan.functions import columns as C
 from notespan.operators import chunks, models, outline
 from notespan.operators import decisions as D
 from notespan.operators.merge import PAGE
-
-#: A flat JSON object, on one line or several, in an array or between other text.
-OBJECT = r'\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}'
+from notespan.streaming import answers
 
 
 def blocks_xml(blocks: DataFrame) -> DataFrame:
@@ -22,17 +20,14 @@ def blocks_xml(blocks: DataFrame) -> DataFrame:
 
 
 def answer_texts(lines: DataFrame) -> DataFrame:
-    """request and text of the lines (request, seq, line) that a model streamed: pieces of either kind of server put together, other lines one below the other."""
-    record = D.stream_record(F.col("line"))
-    piece = F.coalesce(D.delta(record), F.concat(F.coalesce(record, F.lit("")), F.lit("\n")))
-    own = lines.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", piece.alias("p")))).alias("ps"))
-    return own.select("request", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("text"))
+    """request and text of the lines (request, seq, line) that a model streamed, whole. One request's answer is one row: what a model says at once."""
+    own = answers.pieces(lines).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("ps"))
+    return own.select("request", F.array_join(F.transform("ps", lambda x: x["piece"]), "").alias("text"))
 
 
 def records(texts: DataFrame, schema: str) -> DataFrame:
-    """request, place and the fields of schema of every JSON object in a text; others are null fields."""
-    rows = texts.select("request", F.posexplode(F.regexp_extract_all("text", F.lit(OBJECT), F.lit(0))).alias("place", "_json"))
-    return rows.withColumn("_r", F.from_json("_json", schema, {"mode": "PERMISSIVE"})).select("request", "place", "_r.*")
+    """request, place and the fields of schema of every outermost JSON object in a text, whatever is nested in it."""
+    return answers.objects(texts).withColumn("_r", F.from_json("json", schema, {"mode": "PERMISSIVE"})).select("request", "place", "_r.*")
 
 
 def asked(requests: DataFrame, model, schema: str) -> DataFrame:

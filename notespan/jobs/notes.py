@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
 from notespan.operators import chunks, editing, merge, outline
+from notespan.sources.work import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +159,9 @@ def decisions(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The outlines and their blocks, parsed once for all uses."""
-    outlines = outline.parsed(documents(spark, sf_dir)).persist()
-    return outlines, merge.tree(outlines)
+    """The outlines and their blocks, parsed once for all uses: written to the shared folder."""
+    outlines = written(outline.parsed(documents(spark, sf_dir)))
+    return outlines, written(merge.tree(outlines))
 
 
 def apply_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +217,7 @@ SELECT page, md5('lang:: ' || lang || chr(10) || body) AS text_md5 FROM t JOIN l
 
 def provenance_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as journals: the roots of labelled ones get links to what they became, the later of two twice, which adds nothing."""
-    outlines = outline.parsed(documents(spark, sf_dir)).persist()
+    outlines = written(outline.parsed(documents(spark, sf_dir)))
     roots = merge.tree(outlines, hash_pages=False).where("seq = 0").select("page", F.col("hybrid_id").alias("knowledge_block_id"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(documents(spark, sf_dir).select("doc_id", "page"), "doc_id").join(roots, "page")
     done = labels.select("knowledge_block_id", F.concat(F.lit("topic___"), "quality").alias("target_page"), F.concat(F.lit("n"), "quality").alias("new_id"), F.col("quality").alias("seq")).distinct()
@@ -252,8 +253,8 @@ def idempotent_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second run of the same decisions finds, in the pages that the first run wrote, and whether it changes a page."""
     outlines, tree = trees(spark, sf_dir)
     todo = decisions(spark, sf_dir, tree)
-    again = outline.parsed(merged_pages(outlines, tree, todo)).persist()
-    rows = merge.tree(again)
+    again = written(outline.parsed(merged_pages(outlines, tree, todo)))
+    rows = written(merge.tree(again))
     second = merged_pages(again, rows, todo).select(F.col("page").alias("target_page"), "changed")
     return merge.resolved(todo, rows).join(second, "target_page").select("target_page", "knowledge_block_id", "done_as", "changed")
 
@@ -377,3 +378,30 @@ MERGE_PREVIEW = DECISIONS + """
 SELECT page, len(lines) - CASE WHEN done_as = 'replace' THEN 1 ELSE 0 END AS n_kept, CASE WHEN coalesce(done_as, 'invalid') <> 'invalid' THEN 1 ELSE 0 END::BIGINT AS n_new, CASE WHEN done_as = 'replace' THEN 1 ELSE 0 END::BIGINT AS n_old
 FROM l LEFT JOIN u USING (page)
 """
+
+
+def replacements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outlines of two blocks with properties of all kinds, the second with an id, their blocks, and four replacements of each page: two of the first block, two of the second."""
+    d = documents(spark, sf_dir).select("doc_id", "page", "lang")
+    lines = [F.concat(F.lit("- about "), "doc_id"), F.concat(F.lit("  ключ:: "), "lang"), F.lit("  my key:: v v"), F.concat(F.lit("  see http::x/"), "doc_id"), F.lit("  plain"), F.concat(F.lit("- kept "), "lang"), F.concat(F.lit("  id:: own-"), "doc_id"), F.lit("  -- no:: property"), F.lit("  k::")]
+    outlines = written(outline.parsed(d.select("page", F.concat_ws("\n", *lines).alias("text"))))
+    tree = written(merge.tree(outlines))
+    first = tree.where("seq = 0").select("page", F.col("hybrid_id").alias("first_id"))
+    todo = d.join(first, "page").select("doc_id", "page", F.posexplode(F.array("first_id", "first_id", F.concat(F.lit("own-"), "doc_id"), F.concat(F.lit("own-"), "doc_id"))).alias("n", "target_block_id"))
+    return outlines, tree, todo.select(F.concat(F.lit("k"), "n").alias("knowledge_block_id"), (F.col("doc_id") * 4 + F.col("n")).alias("seq"), F.col("page").alias("target_page"), F.lit("replace").alias("action"), "target_block_id", F.concat(F.lit("text "), "n").alias("refined_text"))
+
+
+def merge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replacements leave of a page's properties, and what becomes of the second replacement of a block."""
+    outlines, tree, todo = replacements(spark, sf_dir)
+    found = merge.resolved(todo, tree)
+    text = outline.rendered(merge.regrouped(outlines, merge.merged(tree, found))).select(F.col("page").alias("target_page"), F.md5("text").alias("text_md5"))
+    return found.join(text, "target_page").select("seq", "done_as", "beaten", "text_md5")
+
+
+MERGE_PROPERTIES = LINES + f"""
+, n AS (SELECT doc_id, page, lang, md5(page || '::' || array_to_string(['- about ' || doc_id, '  ключ:: ' || lang, '  my key:: v v', '  see http::x/' || doc_id, '  plain'], chr(10))) AS target FROM l),
+s AS (SELECT *, {NAMED % "'k0:' || page || ':replace:' || target"} AS s FROM n),
+t AS (SELECT doc_id, md5(array_to_string(['- text 0', '  ключ:: ' || lang, '  my key:: v v', '  see http::x/' || doc_id, '  id:: ' || {UUID.strip()}, '- text 3', '  id:: own-' || doc_id, '  k::'], chr(10))) AS text_md5 FROM s)
+SELECT doc_id * 4 + n AS seq, CASE WHEN n = 1 THEN 'invalid' ELSE 'replace' END AS done_as, n = 1 AS beaten, text_md5 FROM t, range(4) AS r(n)
+"""

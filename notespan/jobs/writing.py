@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from notespan.operators import merge, outline
 from notespan.sources import graph as G
+from notespan.sources.work import written
 
 
 def with_digest(files: DataFrame) -> DataFrame:
@@ -70,23 +71,26 @@ def changed(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def integrate(spark: SparkSession, graph: str, decisions: DataFrame, work: str) -> DataFrame:
-    """seq and error of every decision, after it was written. work: a folder on shared storage for outcomes.
+    """seq and error of every decision, after it was written. work: a folder on shared storage for what was read and what was done.
 
-    A page that wasn't written, or a decision without its target, leaves its journal as it was. Decisions
-    that an earlier run wrote give their links again, which adds none.
+    A page that wasn't written, or a decision without its target, leaves its journal as it was, as does a
+    replacement that an earlier one of the same block beat. Decisions that an earlier run wrote give their
+    links again, which adds none. The files are read once, into work, and so is what becomes of each decision:
+    what is computed again after an executor was lost sees neither the pages that this run has changed
+    nor other ids.
     """
-    pages = with_digest(G.pages(spark, graph)).persist()
-    outlines = outline.parsed(pages, strict=True).persist()
+    pages = written(with_digest(G.pages(spark, graph)), f"{work}/read")
+    outlines = outline.parsed(pages, strict=True)
     tree = merge.tree(outlines)
-    found = merge.resolved(decisions, tree).persist()
+    found = written(merge.resolved(decisions, tree), f"{work}/resolved")
     texts = outline.rendered(merge.regrouped(outlines, merge.merged(tree, found)))
     failed = written_files(changed(pages, texts), f"{work}/pages").where("error is not null").join(pages.select("path", F.col("page").alias("target_page")), "path").select("target_page", F.col("error").alias("page_error"))
     ids = tree.select(F.col("page").alias("target_page"), F.col("seq").alias("target_seq"), F.col("block_id").alias("own_id"))
     known = found.join(pages.select(F.col("page").alias("target_page"), F.lit(True).alias("there")), "target_page", "left").join(failed, "target_page", "left").join(ids, ["target_page", "target_seq"], "left")
-    reason = F.when(F.col("there").isNull(), F.concat(F.lit("no page "), "target_page")).when(F.col("done_as") == "invalid", F.lit("no such target")).otherwise(F.col("page_error"))
+    reason = F.when(F.col("there").isNull(), F.concat(F.lit("no page "), "target_page")).when(F.col("beaten"), F.concat(F.lit("an earlier decision changed "), "target_block_id")).when(F.col("done_as") == "invalid", F.lit("no such target")).otherwise(F.col("page_error"))
     kept_id = F.when(F.col("done_as").isin("replace", "skip_exists"), F.coalesce("own_id", "new_id")).otherwise(F.col("new_id"))
-    done = known.select("seq", "knowledge_block_id", "target_page", kept_id.alias("new_id"), reason.alias("error")).persist()
-    journals = with_digest(G.journals(spark, graph).withColumn("page", F.col("stem"))).persist()
+    done = written(known.select("seq", "knowledge_block_id", "target_page", kept_id.alias("new_id"), reason.alias("error")), f"{work}/done")
+    journals = written(with_digest(G.journals(spark, graph).withColumn("page", F.col("stem"))), f"{work}/read_journals")
     linked = outline.rendered(merge.with_provenance(outline.parsed(journals, strict=True), done.where("error is null")))
     lost = written_files(changed(journals, linked), f"{work}/journals").where("error is not null").join(journals.select("path", F.col("page").alias("journal")), "path").select("journal", F.col("error").alias("journal_error"))
     of = merge.tree(outline.parsed(journals, strict=True), hash_pages=False).select(F.col("hybrid_id").alias("knowledge_block_id"), F.col("page").alias("journal")).join(lost, "journal").groupBy("knowledge_block_id").agg(F.first("journal_error").alias("journal_error"))

@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
+from notespan.operators.outline import unmarked
 
 #: The target that stands for the page itself.
 PAGE = "__PAGE__"
 
 
 def resolved(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """decisions with new_id, the first target block found (target_seq) and what is to be done (done_as).
+    """decisions with new_id, the first target block found (target_seq), what is to be done (done_as) and whether an earlier decision stands in the way (beaten).
 
     decisions: knowledge_block_id, seq, target_page, action, target_block_id, refined_text. blocks: page,
-    seq, hybrid_id and, of pages that were merged before, block_id. A decision whose id a block has is done.
-    Without its target, add_under becomes add_section; replace and skip_exists become invalid. The id is of
-    the action as decided, so a repeat finds it whatever the action became.
+    seq, hybrid_id and, of pages that were merged before, block_id. A decision whose id a block has is done,
+    as is one that repeats an earlier one. Without its target, add_under becomes add_section; replace and
+    skip_exists become invalid. The first change of a block without an id of its own gives it one, so the
+    block isn't found any more by what the later ones call it: they are invalid, and beaten. The id is of the
+    action as decided, so a repeat finds it whatever the action became.
     """
-    at = blocks.groupBy(F.col("page").alias("_page"), F.col("hybrid_id").alias("_id")).agg(F.min("seq").alias("target_seq"))
+    known = F.col("block_id") if "block_id" in blocks.columns else F.lit(None).cast("string")
+    at = blocks.groupBy(F.col("page").alias("_page"), F.col("hybrid_id").alias("_id")).agg(F.min(F.struct(F.col("seq").alias("seq"), known.alias("id"))).alias("_at"))
     named = decisions.withColumn("new_id", C.integration_id(F.col("knowledge_block_id"), F.col("target_page"), F.col("action"), F.col("target_block_id")))
-    found = named.join(at, (F.col("target_page") == F.col("_page")) & (F.col("target_block_id") == F.col("_id")), "left").drop("_page", "_id")
+    found = named.join(at, (F.col("target_page") == F.col("_page")) & (F.col("target_block_id") == F.col("_id")), "left").withColumns({"target_seq": F.col("_at.seq"), "_own": F.col("_at.id")}).drop("_page", "_id", "_at")
     if "block_id" in blocks.columns:
         own = blocks.where("block_id is not null").select(F.col("page").alias("target_page"), F.col("block_id").alias("new_id"), F.lit(True).alias("_done")).distinct()
         found = found.join(own, ["target_page", "new_id"], "left")
@@ -29,12 +33,21 @@ def resolved(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
         found = found.withColumn("_done", F.lit(None).cast("boolean"))
     missing = F.col("target_seq").isNull()
     act = F.when(F.col("_done"), "done").when((F.col("action") == "add_under") & missing, "add_section").when(F.col("action").isin("replace", "skip_exists") & missing, "invalid").otherwise(F.col("action"))
-    return found.withColumn("done_as", act).drop("_done")
+    found = found.withColumn("done_as", act)
+    gives = F.col("done_as").isin("add_under", "add_section") | (F.col("done_as").isin("replace", "skip_exists") & F.col("_own").isNull())
+    repeats = found.where(gives).groupBy("target_page", "new_id").agg(F.min("seq").alias("_earliest"))
+    changed = found.where(gives & F.col("done_as").isin("replace", "skip_exists")).groupBy("target_page", "target_seq").agg(F.min_by("new_id", F.struct("seq", "new_id")).alias("_winner"))
+    found = found.join(repeats, ["target_page", "new_id"], "left").join(changed, ["target_page", "target_seq"], "left")
+    beaten = gives & F.col("done_as").isin("replace", "skip_exists") & (F.col("_winner") != F.col("new_id"))
+    done_as = F.when(beaten, "invalid").when(gives & (F.col("seq") > F.col("_earliest")), "done").otherwise(F.col("done_as"))
+    return found.withColumn("beaten", F.coalesce(beaten, F.lit(False))).withColumn("done_as", done_as).drop("_done", "_own", "_earliest", "_winner")
 
 
 def why_invalid(found: DataFrame) -> DataFrame:
     """The decisions of resolved() that can't be done, with a reason."""
-    reason = F.when(F.col("target_block_id").isNull(), F.concat("action", F.lit(" needs a target"))).otherwise(F.concat(F.lit("no block "), "target_block_id", F.lit(" in "), "target_page"))
+    missing = F.concat(F.lit("no block "), "target_block_id", F.lit(" in "), "target_page")
+    beaten = F.concat(F.lit("an earlier decision changed "), "target_block_id", F.lit(" in "), "target_page")
+    reason = F.when(F.col("target_block_id").isNull(), F.concat("action", F.lit(" needs a target"))).when(F.col("beaten"), beaten).otherwise(missing)
     return found.where("done_as = 'invalid'").withColumn("reason", reason)
 
 
@@ -42,10 +55,15 @@ def id_line(block: Column) -> Column:
     return F.concat(F.lit("id:: "), block)
 
 
+def is_property(line: Column) -> Column:
+    """Whether a replacement keeps a line: any that has two colons and is no bullet."""
+    return F.contains(line, F.lit("::")) & ~C.strip(line).startswith("-")
+
+
 def edited(content: Column, block_id: Column, new: Column) -> Column:
     """A block's lines after a decision: new text and its own properties, or its own lines; either with an id."""
-    is_property = lambda x: x.rlike(r"^\s*[A-Za-z0-9_-]+::")
-    lines = F.when(new["lines"].isNotNull(), F.concat(new["lines"], F.filter(content, is_property))).otherwise(content)
+    own = F.filter(content, lambda x: is_property(unmarked(x)))
+    lines = F.when(new["lines"].isNotNull(), F.concat(new["lines"], own)).otherwise(content)
     return F.when(block_id.isNull(), F.concat(lines, F.array(id_line(new["new_id"])))).otherwise(lines)
 
 
@@ -53,9 +71,9 @@ def merged(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """page, seq (from 0), level, content, block_id, was (the seq before, null for new blocks) of the pages after the decisions of resolved().
 
     blocks: page, seq, level, content (array), block_id and last (the seq of the last block below each). Ids
-    stand in the content as id:: lines, so they are found again after rendering and parsing. Of several
-    changes of one block the last wins, and a replacement before one that only gives an id; additions stand
-    in the order of their seq.
+    stand in the content as id:: lines, so they are found again after rendering and parsing. A block without
+    an id of its own has one change (see resolved); of several replacements of one with an id the last wins;
+    additions stand in the order of their seq.
     """
     text = F.split("refined_text", "\n")
     lines = F.when(F.col("done_as") == "replace", text)

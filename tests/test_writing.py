@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from notespan.functions import columns as C
 from notespan.jobs import extraction, index, writing
 from notespan.operators import decisions as D
 from notespan.operators import editing, merge, outline
@@ -122,3 +123,55 @@ def test_forced_rebuild_keeps_its_version_and_old_ones_go(spark, notes):
     assert {r["state"] for r in index.build(spark, f"{notes}/g", at).collect()} == {"unchanged"}
     page = index.current(spark, at).where("block_id = 'c1'").first()
     assert page["document"] == "- top\n  note\n  \n  more\n  - child\n    - odd" and page["frontmatter"] == "kind:: x"
+
+
+def test_a_replacement_keeps_every_property(spark):
+    page = "- t\n  see http::x\n  ключ:: v\n  my key:: v v\n  - a:: b\n  plain"
+    outlines = outline.parsed(spark.createDataFrame([("P", page)], "page string, text string"))
+    tree = merge.tree(outlines)
+    first = tree.where("seq = 0").first()["hybrid_id"]
+    found = merge.resolved(todo(spark, ("k", 1, "P", "replace", first, "new\ntext")), tree)
+    new = found.first()["new_id"]
+    text = outline.rendered(merge.regrouped(outlines, merge.merged(tree, found))).first()["text"]
+    assert text == f"- new\n  text\n  see http::x\n  ключ:: v\n  my key:: v v\n  id:: {new}\n  - a:: b\n    plain"
+
+
+def test_of_two_changes_of_a_block_the_first_holds(spark, notes):
+    tree = merge.tree(outline.parsed(graph.pages(spark, f"{notes}/g"), strict=True))
+    end = tree.where("page = 'A/B'").orderBy(F.desc("seq")).first()["hybrid_id"]
+    given = todo(spark, ("k1", 1, "A/B", "replace", end, "one"), ("k2", 2, "A/B", "replace", end, "two"), ("k1", 3, "A/B", "replace", "c1", "three"), ("k2", 4, "A/B", "replace", "c1", "four"), ("k1", 5, "A/B", "add_section", None, "again"), ("k1", 6, "A/B", "add_section", None, "again"))
+    found = {r["seq"]: (r["done_as"], r["beaten"], r["new_id"]) for r in merge.resolved(given, tree).collect()}
+    assert [found[n][:2] for n in range(1, 7)] == [("replace", False), ("invalid", True), ("replace", False), ("replace", False), ("add_section", False), ("done", False)]
+    reasons = {r["seq"]: r["reason"] for r in merge.why_invalid(merge.resolved(given, tree)).collect()}
+    assert reasons == {2: f"an earlier decision changed {end} in A/B"}
+    out = {r["seq"]: r["error"] for r in writing.integrate(spark, f"{notes}/g", given, f"{notes}/w").collect()}
+    assert out == {1: None, 2: f"an earlier decision changed {end}", 3: None, 4: None, 5: None, 6: None}
+    page, journal = (notes / "g/pages/A___B.md").read_text(), (notes / "g/journals/2025_01_15.md").read_text()
+    assert "- one" in page and "two" not in page and "- four\n    id:: c1" in page and page.count("- again") == 1
+    assert found[2][2] not in journal and journal.count("(((c1)))") == 2
+    again = {r["seq"]: r["error"] for r in writing.integrate(spark, f"{notes}/g", given, f"{notes}/w2").collect()}
+    assert again == {1: None, 2: "no such target", 3: None, 4: None, 5: None, 6: None} and (notes / "g/pages/A___B.md").read_text() == page
+
+
+def test_an_executor_lost_between_both_stages_changes_nothing(spark, notes, monkeypatch):
+    tree = merge.tree(outline.parsed(graph.pages(spark, f"{notes}/g"), strict=True))
+    end = tree.where("page = 'A/B'").orderBy(F.desc("seq")).first()["hybrid_id"]
+    given = todo(spark, ("k1", 1, "A/B", "replace", end, "one"), ("k2", 2, "A/B", "add_section", None, "two"))
+    ids = {r["seq"]: r["new_id"] for r in merge.resolved(given, tree).collect()}
+    plain = writing.written_files
+
+    def losing(texts, outcomes):
+        out = plain(texts, outcomes)
+        spark.catalog.clearCache()  # all blocks of all tables are gone; the pages have changed by now
+        return out
+
+    monkeypatch.setattr(writing, "written_files", losing)
+    assert {r["seq"]: r["error"] for r in writing.integrate(spark, f"{notes}/g", given, f"{notes}/w").collect()} == {1: None, 2: None}
+    journal = (notes / "g/journals/2025_01_15.md").read_text()
+    assert all(f"((({ids[n]})))" in journal and f"id:: {ids[n]}" in (notes / "g/pages/A___B.md").read_text() for n in (1, 2))
+
+
+def test_titles_of_odd_contexts(spark):
+    given = ["- - x", "\t- - \t y", "", None, "\n \n- z" + "w" * 60, "---"]
+    rows = spark.createDataFrame(list(enumerate(given)), "n int, t string").select("n", C.block_title(F.col("t")).alias("x")).orderBy("n").collect()
+    assert [r["x"] for r in rows] == ["x", "y", "Unknown block", None, "z" + "w" * 46 + "...", ""]
