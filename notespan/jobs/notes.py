@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
 from notespan.operators import chunks, editing, merge, outline
-from notespan.sources.work import written
+from notespan.operators.store import Store
+from notespan.sources.work import work_folder, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +139,15 @@ INDEX_CHANGES = VERSIONS + "SELECT page, state FROM plan"
 
 
 def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of before as a base, what the files changed as a second version beside it, and both read as one."""
     files, index = versions(spark, sf_dir)
-    return chunks.updated(index, chunks.changes(files, index), files)
+    store = Store(spark, work_folder(spark), "page", "page string, mtime double")
+    base = store.after(None, 1, index, index, {})
+    plan = written(chunks.changes(files, store.read(base)))
+    fresh = files.join(plan.where(F.col("state").isin("new", "modified")), "page", "left_semi")
+    if not store.commit(base) or not store.commit(store.after(base, 1, fresh, plan.where("state != 'unchanged'"), {})):
+        raise RuntimeError("somebody else writes to a new folder")
+    return store.read(store.version())
 
 
 INDEX_UPDATE = VERSIONS + """

@@ -119,7 +119,7 @@ def test_forced_rebuild_keeps_its_version_and_old_ones_go(spark, notes):
     assert not index.has_rows(spark, at)
     for _ in range(3):
         index.rebuilt(spark, f"{notes}/g", at)
-    assert index.has_rows(spark, at) and index.versions(spark, at) == [1, 2] and sorted(os.listdir(f"{at}/rows")) == ["1", "2"]
+    assert index.has_rows(spark, at) and index.versions(spark, at) == [1, 2] and len(os.listdir(f"{at}/rows")) == len(os.listdir(f"{at}/keys")) == 2
     assert {r["state"] for r in index.build(spark, f"{notes}/g", at).collect()} == {"unchanged"}
     page = index.current(spark, at).where("block_id = 'c1'").first()
     assert page["document"] == "- top\n  note\n  \n  more\n  - child\n    - odd" and page["frontmatter"] == "kind:: x"
