@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notespan.jobs import extraction, index, knn, notes, reviews
-from notespan.streaming import answers
+from notespan.streaming import answers, following
 
 NAMES = {
     knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
@@ -15,6 +15,7 @@ NAMES = {
     index: ["encoder_search"],
     extraction: ["classify_turns"],
     answers: ["stream_records"],
+    following: ["stream_decisions"],
     reviews: [
         "decision_dedupe", "decisions_by_block", "decision_summary", "best_two_per_page", "batch_accept", "record_validate", "stream_deltas", "id_shorten", "invalid_id_drop",
         "state_labels", "accept_all", "toggle_reset", "confidence_range", "next_match_wrap", "page_urls", "link_extract", "journal_lookup", "combined_journal",
