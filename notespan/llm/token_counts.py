@@ -68,7 +68,10 @@ class Rollup:
         return self._mark(batch, attempt)
 
     def _mark(self, batch: str, attempt: str) -> bool:
-        """Makes an attempt count, unless another of its batch does: the marker is written aside and then renamed, which fails where there is one."""
+        """Makes an attempt count, unless another of its batch does: the marker is written aside and then renamed, which fails where there is one.
+
+        That is atomic on HDFS; a store whose rename overwrites needs a lock around the commits of one batch.
+        """
         fs, marker = self._path("commits", batch)
         _, aside = self._path("attempts", attempt)
         out = fs.create(aside, False)
@@ -78,11 +81,11 @@ class Rollup:
         return not fs.exists(marker) and fs.rename(aside, marker)
 
     def compact(self) -> None:
-        """Sums up the batches so far. A run that breaks off leaves the totals as they are."""
-        names = self.committed()
-        if names:
+        """Sums up the batches so far: those whose markers are there now, both in the sums and in the list. A run that breaks off leaves the totals as they are."""
+        markers = self._markers()
+        if markers:
             kept = f"{self.folder}/compacted/{uuid.uuid4().hex}"
-            self._sums(self._markers()).withColumn("batches", F.array(*map(F.lit, names))).write.parquet(kept)
+            self._sums(markers).withColumn("batches", F.array(*map(F.lit, sorted(markers)))).write.parquet(kept)
             fs, at = self._path("latest")
             out = fs.create(at, True)
             out.write(bytearray(kept.encode()))
