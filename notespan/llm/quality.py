@@ -12,8 +12,8 @@ models score every document.
 
 The models are fitted on at most LABELLED labelled documents and POOL others, taken by the hash of
 doc_id; those come to the driver as packed features, and are fitted there as lists of the words that
-each has. Telling words are the words whose presence
-tells labels apart best among the labelled ones. Scoring is one pass over all documents, each a row
+each has. Telling words are the words whose presence tells labels apart best among the labelled ones that
+aren't held out. Scoring is one pass over all documents, each a row
 of its own. Null texts are empty, null metadata are values of their own, labels with nulls are left
 out, and several labels of one document count as the worst of them. With no labels, or only one
 kind, that question's chance is 0 and every document is kept.
@@ -41,6 +41,8 @@ WORDS, LEAST_DOCUMENTS, LEAST_Z = 1024, 5, 3.5
 ROUNDS, PER_ROUND = 2, 500
 REJECT = 0.5
 QUESTIONS = ["low", "toxic"]
+#: Of the labelled documents, those whose id this divides are held out: they weigh pseudo-labels and calibrate, and nothing is fitted or counted on them.
+HELD = 5
 
 LINE_END = np.arange(256) == 10
 MARKS = np.isin(np.arange(256), [*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
@@ -323,7 +325,7 @@ def telling_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 cols = [np.bincount(back.ravel(), ids_of(batch, part, q)[doc] if q else None, len(h)).astype(np.int64) for q in (None, *QUESTIONS)]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols)], names=["word", "n", *QUESTIONS])
 
-    known = rows.where("low >= 0")
+    known = rows.where((F.col("low") >= 0) & (F.pmod("doc_id", F.lit(HELD)) != 0))
     counts = known.mapInArrow(count, "word long, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *QUESTIONS))).where(F.col("n") >= LEAST_DOCUMENTS)
     all_ = known.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(q), F.lit(0)).alias(q) for q in QUESTIONS)).first()
     scores, tells = [], []
@@ -360,7 +362,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
         has = np.unpackbits(load("has", np.uint8), axis=1)[:, : len(known)] if len(known) else np.empty((len(packed), 0), np.uint8)
         text = view_of_text(load("stats", np.float32), has, odds)
         meta = view_of_meta(np.unpackbits(load("meta", np.uint8), axis=1)[:, :META])
-    held = np.array([hash(r["doc_id"]) % 5 == 0 for r in packed], bool)
+    held = np.array([r["doc_id"] % HELD == 0 for r in packed], bool)
     return known, odds, [co_trained(text, meta, np.array([r[q] for r in packed], np.int64), held) for q in QUESTIONS]
 
 
