@@ -319,7 +319,8 @@ def met(docs: DataFrame, allocation: Plan) -> DataFrame:
             [np.full(len(lost), LOST), lost[:, 0], lost[:, 1], lost_n], [np.full(len(ids), SHARED), whole, ids, band],
         )
 
-    return docs.mapInArrow(emit, "group int, part0 binary, part1 binary, part2 binary, part3 binary").groupBy("group").applyInArrow(meet, MET)
+    # As many partitions as groups, which aren't put together again: a task sorts and holds about one group.
+    return docs.mapInArrow(emit, "group int, part0 binary, part1 binary, part2 binary, part3 binary").repartition(groups, "group").groupBy("group").applyInArrow(meet, MET)
 
 
 def rows(*parts: list[np.ndarray]) -> pa.Table:

@@ -355,6 +355,32 @@ def test_rollup_commits_once(spark):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 7)]
 
 
+def test_a_batch_committed_while_others_are_summed_up_counts_once(spark, monkeypatch):
+    rollup = token_counts.Rollup(spark, work_folder(spark))
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", None, 5)], "source string, lang string, tokenizer string, change string, before long, after long")
+    assert rollup.commit("1", rows)
+    plain = rollup._markers
+
+    def late():
+        found = plain()
+        monkeypatch.setattr(rollup, "_markers", plain)
+        assert rollup.commit("2", rows)
+        return found
+
+    monkeypatch.setattr(rollup, "_markers", late)
+    rollup.compact()
+    assert rollup.committed() == ["1", "2"] and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 10)]
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 10)]
+
+
+def test_quality_counts_no_word_of_held_out_documents(spark):
+    docs = [(i, "bad word" if i % 2 else "good word", int(i % 2), 0) for i in range(100)] + [(5 * i, "secretly bad", 1, 1) for i in range(100, 160)]
+    known, _ = quality.telling_words(spark.createDataFrame(docs, "doc_id long, text string, low int, toxic int"))
+    without, _ = quality.telling_words(spark.createDataFrame([d for d in docs if d[0] % quality.HELD], "doc_id long, text string, low int, toxic int"))
+    assert known.tolist() == without.tolist() and len(known)
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.scored(docs, labels.where("doc_id % 2 = 0")).withColumnRenamed("toxic", "p").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
