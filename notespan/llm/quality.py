@@ -325,7 +325,7 @@ def telling_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 cols = [np.bincount(back.ravel(), ids_of(batch, part, q)[doc] if q else None, len(h)).astype(np.int64) for q in (None, *QUESTIONS)]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols)], names=["word", "n", *QUESTIONS])
 
-    known = rows.where((F.col("low") >= 0) & (F.pmod("doc_id", F.lit(HELD)) != 0))
+    known = rows.where("low >= 0")
     counts = known.mapInArrow(count, "word long, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *QUESTIONS))).where(F.col("n") >= LEAST_DOCUMENTS)
     all_ = known.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(q), F.lit(0)).alias(q) for q in QUESTIONS)).first()
     scores, tells = [], []
@@ -343,7 +343,7 @@ def telling_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, list[Judge]]:
     """The telling words, their log-odds, and a judge for each question."""
     rows = sample(docs, labels)
-    known, odds = telling_words(rows)
+    known, odds = telling_words(rows.where(F.pmod("doc_id", F.lit(HELD)) != 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
