@@ -31,6 +31,11 @@ def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def random_id() -> Column:
+    """A new id for each row (version 4); write the rows before they are used twice, as each run makes others."""
+    return F.uuid()
+
+
 def integration_id(block: Column, page: Column, action: Column, target: Column) -> Column:
     """The same for the same decision, so that a repeated write finds its own result."""
     return uuid5(F.concat_ws(":", block, page, action, target))

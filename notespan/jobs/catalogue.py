@@ -11,7 +11,7 @@ from notespan.streaming import answers, following
 
 NAMES = {
     knn: ["knn_topk", "knn_overfetch_rerank", "knn_label_score_sum", "rank_relevance", "reverse_numbering"],
-    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe", "selected_subtrees", "previous_sibling", "clean_context", "candidate_xml", "merge_render", "provenance_append", "outline_parse_quirks", "property_edit", "heading_find", "augmented_ids", "merge_preview", "merge_properties"],
+    notes: ["outline_blocks", "chunk_rows", "render_roundtrip", "line_offsets", "block_titles", "properties", "last_wins", "index_changes", "index_update", "apply_merge", "fallback_actions", "idempotent_probe", "selected_subtrees", "previous_sibling", "clean_context", "candidate_xml", "merge_render", "provenance_append", "outline_parse_quirks", "property_edit", "heading_find", "augmented_ids", "merge_preview", "merge_properties", "child_positions", "preview_highlights", "lateral_chunks", "request_xml", "block_total"],
     index: ["encoder_search"],
     extraction: ["classify_turns"],
     answers: ["stream_records"],

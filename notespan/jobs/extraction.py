@@ -19,6 +19,14 @@ def blocks_xml(blocks: DataFrame) -> DataFrame:
     return own.select("request", F.concat(F.lit("<blocks>"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("</blocks>")).alias("prompt"))
 
 
+def contexts_xml(blocks: DataFrame) -> DataFrame:
+    """request and prompt for rewording: each block (short, context, seq) with all that stands above it, without id lines, as XML."""
+    lines = F.filter(F.split("context", "\n"), lambda x: ~C.strip(x).startswith("id::"))
+    one = F.concat(F.lit('  <block id="'), F.col("short").cast("string"), F.lit('">\n'), F.array_join(lines, "\n"), F.lit("\n  </block>\n"))
+    own = blocks.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", one.alias("x")))).alias("xs"))
+    return own.select("request", F.concat(F.lit("<blocks>\n"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("\n</blocks>")).alias("prompt"))
+
+
 def answer_texts(lines: DataFrame) -> DataFrame:
     """request and text of the lines (request, seq, line) that a model streamed, whole. One request's answer is one row: what a model says at once."""
     own = answers.pieces(lines).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("ps"))
@@ -30,28 +38,33 @@ def records(texts: DataFrame, schema: str) -> DataFrame:
     return answers.objects(texts).withColumn("_r", F.from_json("json", schema, {"mode": "PERMISSIVE"})).select("request", "place", "_r.*")
 
 
-def asked(requests: DataFrame, model, schema: str) -> DataFrame:
-    """records() of a model's answers to request and prompt."""
-    return records(answer_texts(models.answered(requests, model, "prompt")), schema)
+def asked(requests: DataFrame, model, schema: str, log: str | None = None) -> DataFrame:
+    """records() of a model's answers to request and prompt. log: a folder that keeps answers, so that no prompt is asked twice."""
+    lines = models.asked_once(requests, model, log) if log else models.answered(requests, model, "prompt")
+    return records(answer_texts(lines), schema)
 
 
-def classified(journals: DataFrame, model) -> DataFrame:
+def classified(journals: DataFrame, model, log: str | None = None) -> DataFrame:
     """block_id, llm_classification, llm_confidence (0.8 if not given), reason and seq of the blocks that a model takes for knowledge.
 
     journals: request, block_id, text, seq; one call for each request. Answers about unknown numbers are dropped.
     """
     short = chunks.numbered(journals, "request", "block_id", "seq")
     own = journals.join(short, ["request", "block_id"])
-    said = asked(blocks_xml(own), model, "block_id string, reasoning string, confidence double")
+    said = asked(blocks_xml(own), model, "block_id string, reasoning string, confidence double", log)
     confidence = F.coalesce("confidence", F.lit(0.8))
     said = said.withColumn("short", F.col("block_id").cast("long")).where(confidence.between(0, 1) & F.col("reasoning").isNotNull()).drop("block_id")
     return said.join(short, ["request", "short"]).select("block_id", F.lit("knowledge").alias("llm_classification"), confidence.alias("llm_confidence"), F.col("reasoning").alias("reason"), F.struct("request", "place").alias("seq"))
 
 
-def reworded(blocks: DataFrame, model) -> DataFrame:
-    """block_id and reworded_content: one call for all selected blocks of a request; of several answers about a block the last."""
+def reworded(blocks: DataFrame, model, log: str | None = None) -> DataFrame:
+    """block_id and reworded_content: one call for all selected blocks of a request; of several answers about a block the last.
+
+    blocks: request, block_id, text, seq and, if it is to be shown what stands above a block, context.
+    """
     short = chunks.numbered(blocks, "request", "block_id", "seq")
-    said = asked(blocks_xml(blocks.join(short, ["request", "block_id"])), model, "block_id string, reworded_content string")
+    own = blocks.join(short, ["request", "block_id"])
+    said = asked(contexts_xml(own) if "context" in blocks.columns else blocks_xml(own), model, "block_id string, reworded_content string", log)
     said = said.withColumn("short", F.col("block_id").cast("long")).where("reworded_content is not null").drop("block_id").join(short, ["request", "short"])
     return chunks.last_wins(said.select("block_id", "place", "reworded_content"), ["block_id"], ["place"]).drop("place")
 
@@ -61,8 +74,8 @@ def request_name(block: Column) -> Column:
     return F.substring(block, 1, 8)
 
 
-def planned(blocks: DataFrame, candidates: DataFrame, model) -> DataFrame:
-    """Decisions about each block (block_id, text) that has candidates (block_id, page, target, document, seq): one call for each.
+def planned(blocks: DataFrame, candidates: DataFrame, model, log: str | None = None) -> DataFrame:
+    """Decisions about each block (block_id, text) that has candidates (block_id, page, target, document, seq and, if known, frontmatter): one call for each.
 
     Numbers of targets become ids again; a target that is the page itself becomes add_section without one;
     unknown numbers and records that aren't valid are dropped.
@@ -70,9 +83,10 @@ def planned(blocks: DataFrame, candidates: DataFrame, model) -> DataFrame:
     own = D.with_candidates(blocks, candidates)
     rows = candidates.withColumnRenamed("block_id", "request")
     short = chunks.numbered(rows, "request", "target", "seq")
-    listed = rows.join(short, ["request", "target"]).select("request", "page", "seq", "document", F.col("short").cast("string").alias("block_id"))
-    prompts = outline.as_xml(listed).join(own.select(F.col("block_id").alias("request"), "text"), "request").select("request", F.concat(F.lit("<note>"), C.xml_escape(C.without_id_lines(F.col("text"))), F.lit("</note>\n"), "xml").alias("prompt"))
-    said = asked(prompts, model, "target_page string, action string, target_block_id string, confidence double, reasoning string")
+    front = F.col("frontmatter") if "frontmatter" in candidates.columns else F.lit(None).cast("string")
+    listed = rows.join(short, ["request", "target"]).select("request", "page", "seq", "document", F.col("short").cast("string").alias("block_id"), front.alias("frontmatter"), F.col("target").isin(PAGE, "__page__").alias("of_page"))
+    prompts = outline.pages_xml(listed).join(own.select(F.col("block_id").alias("request"), "text"), "request").select("request", F.concat(F.lit("<note>"), C.xml_escape(C.without_id_lines(F.col("text"))), F.lit("</note>\n"), "xml").alias("prompt"))
+    said = asked(prompts, model, "target_page string, action string, target_block_id string, confidence double, reasoning string", log)
     said = said.withColumn("short", F.col("target_block_id").cast("long")).drop("target_block_id")
     found = said.join(short, ["request", "short"], "left").where("short is null or target is not null")
     page = F.col("target").isin(PAGE, "__page__")

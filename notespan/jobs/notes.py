@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
-from notespan.operators import chunks, editing, merge, outline
+from notespan.operators import chunks, editing, merge, outline, places, table_functions
 from notespan.operators.store import Store
 from notespan.sources.work import work_folder, written
 
@@ -413,3 +413,77 @@ s AS (SELECT *, {NAMED % "'k0:' || page || ':replace:' || target"} AS s FROM n),
 t AS (SELECT doc_id, md5(array_to_string(['- text 0', '  ключ:: ' || lang, '  my key:: v v', '  see http::x/' || doc_id, '  id:: ' || {UUID.strip()}, '- text 3', '  id:: own-' || doc_id, '  k::'], chr(10))) AS text_md5 FROM s)
 SELECT doc_id * 4 + n AS seq, CASE WHEN n = 1 THEN 'invalid' ELSE 'replace' END AS done_as, n = 1 AS beaten, text_md5 FROM t, range(4) AS r(n)
 """
+
+
+def child_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all pages with four children more below their roots: first, second, before the last and last."""
+    outlines = written(outline.parsed(documents(spark, sf_dir)))
+    rows = written(places.keyed(outlines))
+    roots = rows.where("parent = ''").select("page", F.col("key").alias("parent"))
+    new = roots.withColumn("turn", F.explode(F.array(*map(F.lit, range(4)))))
+    at = F.when(F.col("turn") < 2, F.col("turn")).when(F.col("turn") == 2, -1)
+    out = places.rendered(outlines, places.inserted(rows, new.select("page", "parent", at.alias("position"), "turn", F.array(F.concat(F.lit("new "), "turn")).alias("content"))))
+    return out.select("page", F.md5("text").alias("text_md5"))
+
+
+CHILD_POSITIONS = LINES + """
+, c AS (SELECT page, lang, lines, len(lines) - 1 AS n FROM l),
+p AS (
+  SELECT page, seq AS spot, 0 AS kind, 0 AS turn, CASE WHEN line = '' THEN '  -' ELSE '  - ' || line END AS t FROM h WHERE seq > 0
+  UNION ALL SELECT page, CASE turn WHEN 0 THEN 0 WHEN 1 THEN least(1, n) WHEN 2 THEN greatest(n - 1, 0) ELSE n END, 1, turn, '  - new ' || turn FROM c, range(4) AS r(turn)
+), y AS (SELECT page, string_agg(t, chr(10) ORDER BY spot, kind, turn) AS body FROM p GROUP BY page)
+SELECT page, md5('lang:: ' || lang || chr(10) || CASE WHEN lines[1] = '' THEN '-' ELSE '- ' || lines[1] END || chr(10) || body) AS text_md5 FROM c JOIN y USING (page)
+"""
+
+
+def preview_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each decision's page as it would be, and the ids of the new block and of the one that it replaces."""
+    outlines, tree = trees(spark, sf_dir)
+    rows = places.previewed(outlines, decisions(spark, sf_dir, tree))
+    return rows.select("seq", "page", F.md5("text").alias("text_md5"), "highlight_id", "old_id")
+
+
+PREVIEW_HIGHLIGHTS = DECISIONS + """
+, k AS (
+  SELECT u.doc_id AS seq, u.page, u.done_as, l.lang, CASE WHEN lines[1] = '' THEN '-' ELSE '- ' || lines[1] END AS root, '- ' || lines[1] AS shown, 'noted ' || u.doc_id AS noted, lines FROM u JOIN l USING (page)
+), y AS (SELECT *, array_to_string(list_transform(lines[2:], lambda x: CASE WHEN x = '' THEN '  -' ELSE '  - ' || x END), chr(10)) AS body, len(lines) > 1 AS more FROM k)
+SELECT seq, page, md5('lang:: ' || lang || chr(10) || CASE done_as
+    WHEN 'replace' THEN root || chr(10) || '- ' || noted || CASE WHEN more THEN chr(10) || body ELSE '' END
+    ELSE root || CASE WHEN more THEN chr(10) || body ELSE '' END || CASE done_as WHEN 'add_under' THEN chr(10) || '  - ' || noted WHEN 'add_section' THEN chr(10) || '- ' || noted ELSE '' END END) AS text_md5,
+  CASE done_as WHEN 'invalid' THEN NULL WHEN 'add_under' THEN md5(page || '::lang:: ' || lang || chr(10) || chr(10) || shown || chr(10) || '  - ' || noted) ELSE md5(page || '::lang:: ' || lang || chr(10) || chr(10) || '- ' || noted) END AS highlight_id,
+  CASE WHEN done_as = 'replace' THEN md5(page || '::lang:: ' || lang || chr(10) || chr(10) || shown) END AS old_id
+FROM y
+"""
+
+
+def lateral_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index rows of all pages, as a query with a table function has them."""
+    table_functions.register(spark)
+    pages = documents(spark, sf_dir).select("page", "text")
+    return spark.sql("SELECT chunk_id, page, block_id, chunk_seq, md5(document) AS document_md5 FROM {pages}, LATERAL chunks(page, text)", pages=pages)
+
+
+LATERAL_CHUNKS = CHUNK_ROWS
+
+
+def request_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a request that may refer to the page of its id and that page's blocks, as a model gets them."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("request"))
+    d = documents(spark, sf_dir).withColumnRenamed("doc_id", "request").join(items, "request").withColumn("frontmatter", F.concat(F.lit("lang:: "), "lang", F.lit("\n ")))
+    page = d.select("request", "page", F.lit(-1).alias("seq"), F.lit("p").alias("block_id"), F.concat(F.lit("Page: "), "page", F.lit("\nlang:: "), "lang").alias("document"), "frontmatter", F.lit(True).alias("of_page"))
+    blocks = d.select("request", "page", F.posexplode("lines").alias("seq", "document"), "frontmatter").select("request", "page", "seq", F.concat_ws("<", "page", "seq").alias("block_id"), "document", "frontmatter", F.lit(False).alias("of_page"))
+    return outline.pages_xml(page.union(blocks)).select("request", F.md5("xml").alias("xml_md5"))
+
+
+REQUEST_XML = LINES + """
+SELECT request, md5('<pages>' || chr(10) || '<page name="' || page || '">' || chr(10) || '<properties>' || chr(10) || 'lang:: ' || any_value(lang) || chr(10) || '</properties>' || chr(10) || '<block id="p">' || chr(10) || 'Page: ' || page || chr(10) || '</block>' || chr(10)
+  || string_agg('<block id="' || page || '&lt;' || seq || '">' || chr(10) || line || chr(10) || '</block>', chr(10) ORDER BY seq) || chr(10) || '</page>' || chr(10) || '</pages>') AS xml_md5
+FROM (SELECT item_id AS request FROM benchmark) JOIN h ON h.doc_id = request GROUP BY request, page
+"""
+
+
+def block_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.block_total(outline.parsed(documents(spark, sf_dir)))
+
+
+BLOCK_TOTAL = LINES + "SELECT CAST(count(*) AS BIGINT) AS n_roots, CAST(sum(len(lines)) AS BIGINT) AS n_blocks FROM l"

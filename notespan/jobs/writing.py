@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notespan.operators import merge, outline
 from notespan.sources import graph as G
+from notespan.sources.folder import place
 from notespan.sources.work import written
 
 
@@ -27,12 +27,6 @@ def modified(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(old, "path", "left").where(~F.col("digest").eqNullSafe(F.col("_digest"))).select("path")
 
 
-def place(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:") :]
-    return fs.FileSystem.from_uri(uri)
-
-
 def replace_file(uri: str, text: str, digest: str) -> str | None:
     """Writes a file beside the old one and renames it, if the old one still has the digest; else, or on failure, the reason. A repeat that finds its own text is done."""
     try:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notespan.sources.folder import place
+
 #: Texts to vectors of one length.
 Encoder = Callable[[list[str]], np.ndarray]
 WORDS = re.compile(r"\w+").findall
@@ -56,8 +62,67 @@ def word_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+class Busy(Exception):
+    """The server has too much to do (status 429, or a time-out), and says after how many seconds to ask again, if it does."""
+
+    def __init__(self, retry_after: float | None = None):
+        super().__init__(retry_after)
+        self.retry_after = retry_after
+
+
+#: Times that a busy server is asked, and seconds before the second time; each later wait is twice as long.
+TIMES, WAIT = 5, 2.0
+
+
+def patient(model: Callable[[str], Iterator[str]], prompt: str, times: int = TIMES, wait: float = WAIT) -> list[str]:
+    """The whole answer to a prompt. A busy server is asked again, after as long as it says or twice as long each time; any other error isn't held back."""
+    for n in range(times):
+        try:
+            return list(model(prompt))
+        except Busy as e:
+            if n == times - 1:
+                raise
+            time.sleep(wait * 2**n if e.retry_after is None else e.retry_after)
+    return []
+
+
+def asked_once(requests: DataFrame, model: Callable[[str], Iterator[str]], folder: str, times: int = TIMES, wait: float = WAIT) -> DataFrame:
+    """request, seq and line for every line of the answer to each prompt (request, prompt), as answered(); but no prompt that has an answer in folder is asked again.
+
+    folder is on shared storage. Each different prompt is asked once, whoever has it, and its whole answer is
+    written under the prompt's digest as soon as it is there, aside and then renamed. So a task, a job or a run that is
+    repeated asks only what has no answer yet, and all requests see the same answers. Speculation should be off,
+    as two attempts at one time may both ask; the first answer written stays.
+    """
+    spark = requests.sparkSession
+    own = requests.select(F.col("request").cast("string"), F.coalesce(F.col("prompt").cast("string"), F.lit("")).alias("prompt")).withColumn("digest", F.sha2("prompt", 256))
+    system, path = place(folder)
+    system.create_dir(path, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = place(folder)
+        for batch in batches:
+            for digest, prompt in zip(batch.column("digest").to_pylist(), batch.column("prompt").to_pylist(), strict=True):
+                at = f"{path}/{digest}.json"
+                if system.get_file_info(at).type == fs.FileType.NotFound:
+                    said = json.dumps({"digest": digest, "lines": patient(model, prompt, times, wait)})
+                    aside = f"{path}/_{digest}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(aside) as f:
+                        f.write(said.encode())
+                    if system.get_file_info(at).type == fs.FileType.NotFound:
+                        system.move(aside, at)
+                    else:
+                        system.delete_file(aside)
+            yield pa.RecordBatch.from_arrays([batch.column("digest")], names=["digest"])
+
+    read = lambda: spark.read.schema("digest string, lines array<string>").option("pathGlobFilter", "*.json").json(folder)
+    todo = own.select("digest", "prompt").dropDuplicates(["digest"]).join(read().select("digest"), "digest", "left_anti")
+    todo.mapInArrow(run, "digest string").write.format("noop").mode("overwrite").save()
+    return own.join(read(), "digest").select("request", F.posexplode("lines").alias("seq", "line")).select("request", F.col("seq").cast("long"), "line")
+
+
 def answered(requests: DataFrame, model: Callable[[str], Iterator[str]], columns: str) -> DataFrame:
-    """request and line for every line that the model streams back to each prompt. A task that is repeated asks again: dedupe by request and block. Speculation should be off.
+    """request and line for every line that the model streams back to each prompt. A task that is repeated asks again; asked_once() doesn't.
 
     columns: the name of the prompt's column; requests has request and it.
     """

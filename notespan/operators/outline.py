@@ -160,3 +160,27 @@ def as_xml(chunks: DataFrame) -> DataFrame:
     page = F.concat(F.lit('<page name="'), C.xml_escape(F.col("page")), F.lit('">'), F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit("</page>"))
     pages = one.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("p")))).alias("ps"))
     return pages.select("request", F.array_join(F.transform("ps", lambda x: x["p"]), "\n").alias("xml"))
+
+
+def pages_xml(chunks: DataFrame) -> DataFrame:
+    """request and xml: what a plan may refer to, as a model gets it: pages by name, each with its properties, then its blocks in their own order, a part to a line.
+
+    chunks: request, page, seq, block_id (as shown), document, frontmatter (lines, or null) and of_page, whether
+    a row is the page itself, whose properties aren't shown a second time. Names and ids are escaped, contents are as they are.
+    A request's rows are one prompt, so they are few.
+    """
+    lines = F.coalesce(F.split("frontmatter", "\n"), F.array().cast("array<string>"))
+    own = F.when(F.col("of_page"), for_model(F.col("document"), lines)).otherwise(F.col("document"))
+    block = F.concat(F.lit('<block id="'), C.xml_escape(F.col("block_id")), F.lit('">\n'), F.coalesce(own, F.lit("")), F.lit("\n</block>"))
+    one = chunks.groupBy("request", "page").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("bs"), F.first("frontmatter", ignorenulls=True).alias("frontmatter"))
+    full = F.filter(F.split("frontmatter", "\n"), lambda x: C.strip(x) != "")
+    properties = F.when(F.size(full) > 0, F.concat(F.lit("<properties>\n"), F.array_join(full, "\n"), F.lit("\n</properties>")))
+    page = F.concat_ws("\n", F.concat(F.lit('<page name="'), C.xml_escape(F.col("page")), F.lit('">')), properties, F.array_join(F.transform("bs", lambda x: x["b"]), "\n"), F.lit("</page>"))
+    pages = one.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("p")))).alias("ps"))
+    return pages.select("request", F.concat(F.lit("<pages>\n"), F.array_join(F.transform("ps", lambda x: x["p"]), "\n"), F.lit("\n</pages>")).alias("xml"))
+
+
+def block_total(outlines: DataFrame) -> DataFrame:
+    """One row: n_roots, the blocks at the top of all outlines, and n_blocks, all of them."""
+    roots = F.size(F.filter("blocks", lambda b: b["parent"].isNull()))
+    return outlines.agg(F.coalesce(F.sum(roots), F.lit(0)).alias("n_roots"), F.coalesce(F.sum(F.size("blocks")), F.lit(0)).alias("n_blocks"))

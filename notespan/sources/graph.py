@@ -54,6 +54,11 @@ def entries(journals_: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("text", F.when(F.col("path").isNull(), F.raise_error(F.concat(F.lit("no journal for "), F.col("day").cast("string"))).cast("string")).otherwise(F.col("text")))
 
 
+def by_day(journals_: DataFrame) -> DataFrame:
+    """Journals in order of their day, a total order over files."""
+    return journals_.orderBy("journal_date", "path")
+
+
 def with_contents(candidates: DataFrame, pages_: DataFrame) -> DataFrame:
     """page, text and missing of every page that candidates name, each once; a page without a file, or whose text can't be read, is missing."""
     wanted = candidates.select("page").where("page is not null").distinct()
