@@ -8,6 +8,7 @@ different words meet with a probability of about 2^-64.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,11 @@ STEP_BYTES = 1 << 20
 #: Bytes of text that one group of a shuffle is sized for.
 GROUP_BYTES = 16 << 20
 
+#: Arrays of more bytes go back to the system as soon as they are freed, so that a worker, which Spark uses again, doesn't keep what its largest step needed.
+RETURN_BYTES = 4 << 20
+if hasattr(ctypes.CDLL(None), "mallopt"):  # of the GNU C library; -3 names the size from which blocks are mapped on their own
+    ctypes.CDLL(None).mallopt(-3, RETURN_BYTES)
+
 PLACES = 64
 WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.arange(256, dtype=np.uint8)
