@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
-from notespan.operators import chunks
+from notespan.operators import chunks, runs
 from notespan.operators import decisions as D
 from notespan.sources import graph as G
 
@@ -183,7 +183,7 @@ CONFIDENCE_RANGE = STATES + "SELECT coalesce(min(llm_confidence), 0) AS low, coa
 def next_match_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In each conversation, from every turn the next one of the user, around the end."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return c.select("conv_id", "turn", D.next_match(F.col("role") == "user", ["turn"], ["conv_id"])["turn"].alias("next_turn"))
+    return runs.matched(c, F.col("role") == "user", "turn", ["conv_id"]).select("conv_id", "turn", F.col("next_at").alias("next_turn"))
 
 
 NEXT_MATCH_WRAP = """
@@ -242,7 +242,7 @@ COMBINED_JOURNAL = "SELECT conv_id, md5(string_agg('# ' || role || chr(10) || te
 def previous_match_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In each conversation, from every turn the user's turn before it, around the beginning."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return c.select("conv_id", "turn", D.previous_match(F.col("role") == "user", ["turn"], ["conv_id"])["turn"].alias("previous_turn"))
+    return runs.matched(c, F.col("role") == "user", "turn", ["conv_id"]).select("conv_id", "turn", F.col("previous_at").alias("previous_turn"))
 
 
 PREVIOUS_MATCH_WRAP = """
@@ -271,8 +271,8 @@ RECORDED_BLOCKS = DECIDED + "SELECT count(*) FILTER (s) AS n_recorded FROM (SELE
 def change_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one role in each conversation: what is flushed together."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    runs = D.in_runs(c, "role", "turn", ["conv_id"])
-    return runs.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
+    found = runs.in_runs(c, "role", "turn", ["conv_id"])
+    return found.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
 CHANGE_RUNS = """

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespan.functions import columns as C
 from notespan.operators.outline import trimmed
+from notespan.operators.runs import ranked
 
 
 def page_context(page: Column, title: Column, frontmatter: Column) -> Column:
@@ -63,6 +64,6 @@ def updated(index: DataFrame, plan: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, request: str, item: str, position: str) -> DataFrame:
-    """request, item and short (from 1, by first appearance in the request): ids that are cheap to send to a model."""
-    first = rows.groupBy(request, item).agg(F.min(position).alias("_at"))
-    return first.select(request, item, F.row_number().over(Window.partitionBy(request).orderBy("_at", item)).cast("long").alias("short"))
+    """request, item and short (from 1, by first appearance in the request): ids that are cheap to send to a model. position is a whole number."""
+    first = rows.groupBy(request, item).agg(F.min(position).alias("_first"))
+    return ranked(first, "_first", item, [request], "short").select(request, item, "short")

@@ -74,20 +74,6 @@ def label(threshold: float = THRESHOLD, processed: Column | None = None) -> Colu
     return F.when(selected, "selected").when(F.lit(False) if processed is None else processed, "processed").when(suggested(threshold), "suggested").otherwise("none")
 
 
-def next_match(match: Column, order: list[str], within: list[str]) -> Column:
-    """The position of the next row that matches, around the end; null if none does."""
-    after = Window.partitionBy(*within).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.when(match, F.struct(*order))
-    return F.coalesce(F.last(at, ignorenulls=True).over(after), F.min(at).over(Window.partitionBy(*within)))
-
-
-def previous_match(match: Column, order: list[str], within: list[str]) -> Column:
-    """The position of the row before that matches, around the beginning; null if none does."""
-    before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.when(match, F.struct(*order))
-    return F.coalesce(F.last(at, ignorenulls=True).over(before), F.max(at).over(Window.partitionBy(*within)))
-
-
 def best_for_each_page(decisions: DataFrame, most: int = 2) -> DataFrame:
     """Of each block and page the decisions with the highest confidence."""
     w = Window.partitionBy("knowledge_block_id", "target_page").orderBy(F.desc("confidence"), "seq")
@@ -115,14 +101,6 @@ def recorded_already(decisions: DataFrame) -> DataFrame:
     return by_block(decisions).agg(F.count_if("all_skipped").alias("n_recorded"))
 
 
-def in_runs(rows: DataFrame, key: str, order: str, within: list[str]) -> DataFrame:
-    """rows with run: a number that goes up whenever the key changes, in order: what is flushed together."""
-    w = Window.partitionBy(*within).orderBy(order)
-    changed = F.coalesce((~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("long"), F.lit(1).cast("long"))
-    rows = rows.withColumn("_changed", F.when(F.row_number().over(w) == 1, F.lit(1).cast("long")).otherwise(changed))
-    return rows.withColumn("run", F.sum("_changed").over(w)).drop("_changed")
-
-
 def with_outcome(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Pending decisions take the outcome of their write (seq, error): completed without an error, else failed with its message."""
     tried = outcomes.select("seq", "error", F.lit(True).alias("_tried"))

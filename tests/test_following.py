@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notespan.operators import chunks, outline
+from notespan.operators import chunks, outline, runs
 from notespan.sources import folder
 from notespan.streaming import following as follow
 
@@ -110,3 +110,22 @@ def test_shared_list_over_any_split(spark, tmp_path, parts):
     assert got == want
     store = follow.blocks_ready(spark, f"{tmp_path}/out")
     assert {x["knowledge_block_id"]: x["n"] for x in store.read(store.version()).collect()} == {b: sum(x[1] == b for x in rows) for b in {x[1] for x in rows}}
+
+
+def test_windows_in_ranges_equal_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(runs, "SPAN", 5)
+    r = random.Random(8)
+    rows = [(g, n, r.choice(["a", "a", "b", None])) for g in ("x", "y", None) for n in sorted(r.sample(range(-20, 90), 40))] + [("z", 3, "b")]
+    df = spark.createDataFrame(rows, "g string, n int, k string")
+    got = {(x["g"], x["n"]): x for x in runs.in_runs(runs.matched(df, F.col("k") == "a", "n", ["g"]), "k", "n", ["g"]).collect()}
+    place = {(x["g"], x["n"]): x["p"] for x in runs.ranked(df, "n", "k", ["g"], "p").collect()}
+    for g in ("x", "y", None, "z"):
+        own = [(n, k) for h, n, k in rows if h == g]
+        hits, run = [n for n, k in own if k == "a"], 0
+        for i, (n, k) in enumerate(own):
+            run += i == 0 or k != own[i - 1][1]
+            after, before = [h for h in hits if h > n], [h for h in hits if h < n]
+            want = (after or hits or [None])[0], (before or hits or [None])[-1], run
+            assert (got[g, n]["next_at"], got[g, n]["previous_at"], got[g, n]["run"]) == want, (g, n)
+            assert place[g, n] == i + 1
+    assert len(got) == len(rows)
