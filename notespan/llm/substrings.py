@@ -33,14 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notespan.llm.bpe import Recent
 from notespan.llm.common import WHITE, Words, columns, documents, groups_for, ids_of, mix, odd_numbers, table
 
 WINDOW, PREFIX = 20, 5
 SPAN = WINDOW - PREFIX + 1
 #: How often a prefix occurs from which on parts of the input drop windows seen before, and from which on it is made longer.
 FREQUENT, VERY_FREQUENT = 8, 4096
+#: How often a prefix occurs in what a task sends at once from which on it counts as very frequent, and its documents don't go through its group.
+HOT = 256
 GROUP_BYTES = 4 << 20
 FLUSH_BYTES = 8 << 20
+#: Windows of frequent prefixes that a task remembers, in each of two generations.
+SEEN = 1 << 20
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +93,33 @@ def joined(group: pa.Table, name: str) -> bytes:
 
 
 def prefixes(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id and prefixes (array of long): those of the document's anchors that occur more than once; the last two bits tell how frequent."""
+    """doc_id and prefixes (array of long): those of the document's anchors that occur more than once; the last two bits tell how frequent.
+
+    Occurrences go to their prefix's group as id and prefix. Of a prefix that is hot in what a task sends at once,
+    only that goes there; the occurrences go to groups of their documents, as very frequent ones, and the
+    prefix's group calls all others very frequent too. So a line that every document has makes no large group.
+    """
+
+    def parted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """What is sent, without the occurrences of hot prefixes; those to groups below 0, by document."""
+        out, home = Blobs(2), []
+        for group, keys, ids in zip(*(batch.column(c).to_pylist() for c in ("group", "part0", "part1")), strict=True):
+            key, doc = np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
+            names, back, n = np.unique(key, return_inverse=True, return_counts=True)
+            hot = (n > HOT)[back.ravel()]
+            if hot.any():
+                home.append((key[hot] | np.uint64(3), doc[hot]))
+                key, doc = np.concatenate([key[~hot], names[n > HOT] | np.uint64(1)]), np.concatenate([doc[~hot], np.zeros((n > HOT).sum(), np.int64)])
+            out.add(group, key.tobytes(), doc.tobytes())
+        if home:
+            key, doc = (np.concatenate(x) for x in zip(*home, strict=True))
+            group = -1 - (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            key, doc, group = key[order], doc[order], group[order]
+            cuts = np.flatnonzero(np.diff(group, prepend=1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True):
+                out.add(int(group[a]), key[a:b].tobytes(), doc[a:b].tobytes())
+        return next(out.flush(-1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs(2)
@@ -105,20 +136,24 @@ def prefixes(docs: DataFrame, groups: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(group, prepend=-1))
                 for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True):
                     out.add(int(group[a]), key[a:b].tobytes(), ids[a:b].astype(np.int64).tobytes())
-                yield from out.flush(FLUSH_BYTES)
-        yield from out.flush(0)
+                yield from map(parted, out.flush(FLUSH_BYTES))
+        yield from map(parted, out.flush(0))
 
     def count(group: pa.Table) -> pa.Table:
         key = np.frombuffer(joined(group, "part0"), np.uint64)
         ids = np.frombuffer(joined(group, "part1"), np.int64)
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], ids[order]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(cuts, len(key)))
-        often = np.repeat(n, n)
-        key = key | (often > FREQUENT).astype(np.uint64) | ((often > VERY_FREQUENT).astype(np.uint64) << np.uint64(1))
-        keep = often > 1
-        key, ids = key[keep], ids[keep]
+        if group.column("group")[0].as_py() >= 0:
+            order = np.argsort(key, kind="stable")
+            key, ids = key[order], ids[order]
+            name = key & ~np.uint64(3)
+            cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), name[1:] != name[:-1]]))
+            n = np.diff(np.append(cuts, len(key)))
+            sign = key != name
+            hot = np.logical_or.reduceat(sign, cuts) if len(cuts) else np.empty(0, bool)
+            often = np.repeat(np.where(hot, VERY_FREQUENT + 1, n), n)
+            key = name | (often > FREQUENT).astype(np.uint64) | ((often > VERY_FREQUENT).astype(np.uint64) << np.uint64(1))
+            keep = (often > 1) & ~sign
+            key, ids = key[keep], ids[keep]
         order = np.argsort(ids, kind="stable")
         key, ids = key[order], ids[order]
         cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
@@ -142,7 +177,7 @@ def suffixes(docs: DataFrame, groups: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs(3)
-        seen: dict[int, tuple[int, int]] = {}
+        seen = Recent(SEEN)
         for batch in batches:
             for rows, data, bounds in columns(batch):
                 words = Words(data, bounds, WHITE)
@@ -165,11 +200,11 @@ def suffixes(docs: DataFrame, groups: int) -> DataFrame:
                 whole = window_hash(words.hash, start)
                 known = np.zeros(len(start), bool)
                 for k, h, d, s in zip(often.tolist(), whole[often].tolist(), ids[often].tolist(), local[often].tolist(), strict=True):
-                    first = seen.get(h)
+                    first = seen.find(h)
                     if first is not None and first < (d, s):
                         known[k] = True
                     else:
-                        seen[h] = d, s
+                        seen.keep(h, (d, s))
                 for d, a, b in zip(*intervals(ids[known], local[known]), strict=True):
                     out.add(int(d % groups), b"", b"", np.array([d, a, b], np.int64).tobytes())
                 left = np.flatnonzero(~known)

@@ -46,6 +46,16 @@ def test_substrings(spark):
     assert substrings.kept(X.empty(spark)).count() == 0
 
 
+def test_hot_prefixes_and_forgotten_windows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 3)
+    monkeypatch.setattr(substrings, "SEEN", 5)
+    r = random.Random(9)
+    line = " ".join(f"common{k}" for k in range(24))
+    docs = [(i, " ".join(r.choice("a b c d e f".split()) for _ in range(r.choice([0, 5, 30]))) + f" {line} " + " ".join(f"w{r.randint(0, 40)}" for _ in range(r.choice([3, 25])))) for i in range(90)]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.kept(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), texts=False).collect()}
+    assert got == removed(docs)
+
+
 def long_words():
     """Documents that differ in words of over 64 bytes alone: other orders, repetitions and lengths of the same stretches."""
     a, b, c = ("abc"[k] * 64 for k in range(3))
