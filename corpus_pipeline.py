@@ -1,7 +1,11 @@
 """A corpus pipeline: quality, near copies, benchmark passages, secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of docs.
+again as the next one's docs. All but the last return the columns of docs, whatever their names.
+
+Null texts are empty. Rows without doc_id are no document: the quality, near-copy and benchmark stages have
+no verdict on them and they stay, and the last stage has no row for them. Rows that repeat a doc_id share its verdict, and
+the last stage has a row for each. Empty tables give empty ones; without labels, or without a benchmark, nothing is rejected.
 """
 
 from __future__ import annotations
