@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -365,6 +366,45 @@ def test_rollup_commits_once(spark):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 7)]
 
 
+def test_quality_scores_by_brute_force(spark, monkeypatch):
+    """Each document's chances worked out alone, word by word, from the fitted weights."""
+    r = random.Random(15)
+    docs = [(i, " ".join(r.choice(["fine", "plain", "Words!", "12", "awful", "awfully"] if i % 3 == 0 else ["fine", "plain", "Words!", "12"]) for _ in range(r.randint(0, 30))) + ("\n|x|\n|x|" if i % 4 == 0 else ""), "en" if i % 2 else None, f"s{i % 3}") for i in range(400)]
+    df = spark.createDataFrame([*docs, (900, None, "de", "s1"), (901, "", None, None)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.trained(df, labels)
+    monkeypatch.setattr(quality, "trained", lambda *a: model)
+    got = {x["doc_id"]: x for x in quality.scored(df, labels).collect()}
+    known, odds, judges = model
+    place = {int(h): k for k, h in enumerate(known)}
+    hashes = {(x["doc_id"]): (x["source"], x["lang"]) for x in quality.rows_of(df).collect()}
+    chance = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    cut = lambda z: max(-15.0, min(15.0, z))
+
+    def term_hashes(word):
+        data = np.frombuffer(word.lower().encode(), np.uint8)
+        return quality.terms(common.Words(data, np.array([0, len(data)]), quality.BETWEEN))[1].tolist()
+
+    for i, t, _, _ in [*docs, (900, "", None, None), (901, "", None, None)]:
+        raw, words, lines = t.encode(), t.split(), [x for x in t.split("\n") if x]
+        size = max(len(raw), 1)
+        stats = [sum(c in b"!\"#$%&()*+/:;<=>?@[\\]^_`{|}~" for c in raw) / size, raw.count(b"|") / size, sum(48 <= c <= 57 for c in raw) / size, sum(65 <= c <= 90 for c in raw) / size, raw.count(b"\n") / size]
+        stats += [len(set(words)) / max(len(words), 1), len(set(lines)) / max(len(lines), 1), math.log1p(len(words)), math.log1p(len(lines)), min(size / max(len(words), 1), 40) / 10]
+        has = sorted({place[h] for w in re.findall("[a-z0-9]+", t.lower()) for h in term_hashes(w) if h in place})
+        for o in odds:
+            stats += [min(max([0.0, *(float(o[k]) for k in has)]), 30), min(sum(max(float(o[k]), 0) for k in has), 30)]
+        source, lang = hashes[i]
+        meta = quality.meta_features(np.array([source]), np.array([lang]), np.array([0, len(raw)]))[0]
+        for name, j in zip(("low", "toxic"), judges, strict=True):
+            x = (np.array(stats, np.float64) - j.text.mean) / j.text.scale
+            text = cut(float(x @ j.text.model.weights[: len(x)]) + sum(float(j.text.model.weights[len(x) + k]) for k in has) + j.text.model.bias)
+            other = cut(float(j.meta.model.weights[meta].sum()) + j.meta.model.bias)
+            own = [c.logit(quality.plain(np.array([z])))[0] for c, z in zip(j.calibrate, (text, other), strict=True)]
+            both = float(j.combine.logit(quality.plain(*(np.array([z]) for z in own)))[0])
+            assert got[i][name] == pytest.approx(chance(both), abs=2e-3), (i, name)
+        assert got[i]["keep"] == (got[i]["low"] < 0.5 and got[i]["toxic"] < 0.5)
+
+
 def test_a_batch_committed_while_others_are_summed_up_counts_once(spark, monkeypatch):
     rollup = token_counts.Rollup(spark, work_folder(spark))
     rows = spark.createDataFrame([("a", "en", "v1", "insert", None, 5)], "source string, lang string, tokenizer string, change string, before long, after long")

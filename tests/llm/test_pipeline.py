@@ -21,6 +21,24 @@ def test_stages_take_effect(spark):
     assert P.no_benchmarks(spark, docs, SF).count() == docs.count()
 
 
+def test_last_stages_on_empty_tables(spark):
+    assert P.one_of_each(spark, X.empty(spark), SF).count() == 0
+    out = P.token_ids(spark, X.empty(spark), SF)
+    assert out.count() == 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_run_of_odd_rows(spark, tmp_path):
+    docs = X.frame(spark, 40)
+    docs.union(docs.where("doc_id in (1, 2)")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).select("doc_id").collect()
+    ids = [r["doc_id"] for r in got]
+    known = [(i, t) for i, t, *_ in X.rows(40) if i is not None]
+    want = {i for i, (_, c) in linked(known).items() if c == i}
+    assert set(ids) == want and all(ids.count(i) == (2 if i in (1, 2) else 1) for i in want)
+
+
 def test_run(spark):
     assert [name for name, _ in P.STAGES] == ["quality", "near copies", "benchmarks", "secrets", "token ids"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -163,6 +163,41 @@ def test_markov_finds_random_strings(spark):
     assert got[900] == "markov:4:48" and got[901] == "" and got[902] == ""
 
 
+def test_all_spans_by_brute_force(spark):
+    r = random.Random(12)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    key = lambda n: "".join(r.choice(every) for _ in range(n))
+    names = ["get", "user", "name", "list", "value", "from", "table", "index"]
+    docs = [(i, f"é token = '{key(40)}' {key(r.randint(15, 60))} AKIA{'Q7WZ' * 4}/{key(30)} " + "_".join(r.choice(names) for _ in range(6)) + " " + "0af" * r.randint(9, 13)) for i in range(120)]
+    df = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id long, text string")
+    cells = [round(x, 5) for x in secrets.ratios(df)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.digests(df).collect()}
+    found = 0
+    for i, t in docs:
+        spans = base_spans(t)
+        bare = list(t)
+        for a, _, b in spans:
+            bare[a:b] = " " * (b - a)
+        for m in re.finditer(secrets.TOKEN, "".join(bare)):
+            ratio = sum(cells[ord(x) * 128 + ord(y)] for x, y in itertools.pairwise(m[0]))
+            if ratio >= max(secrets.LEAST_TOTAL, secrets.LEAST_MEAN * (len(m[0]) - 1)):
+                spans.append((m.start(), 3, m.end()))
+                found += 1
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), t
+    assert found > 50 and got[900] == got[901] == ""
+
+
+def test_filters_above_don_t_copy_spans(spark, monkeypatch):
+    df = X.frame(spark).select("doc_id", "text")
+    monkeypatch.setattr(secrets, "ratios", lambda *a: [0.1] * 128 * 128)
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    masked = secrets.redacted(df)
+    assert size(secrets.digests(df).where("spans != ''")) < 250_000 and size(masked.where("text like '%secret%'")) < 250_000
+    assert size(secrets.digests(masked).where("n_assign > 0")) < 400_000
+    want = sorted(r["doc_id"] for r in masked.collect() if r["text"] and "[secret]" in r["text"])
+    assert sorted(r["doc_id"] for r in masked.where("text like '%[secret]%'").collect()) == want and want
+
+
 @pytest.mark.parametrize("between", ["/", "+", "_", "-"])
 def test_what_a_known_form_leaves_of_a_token_is_scanned(spark, between):
     r = random.Random(6)
