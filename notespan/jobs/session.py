@@ -85,8 +85,8 @@ class Session:
         plans = written(extraction.planned(edited.select("block_id", F.col("current_content").alias("text")), written(candidates), self.model, log))
         first = chunks.first_wins(plans, ["target_page", "action", "target_block_id"], ["knowledge_block_id", "place"])
         order = edited.select(F.col("block_id").alias("knowledge_block_id"), "day", F.col("seq").alias("_seq"), F.col("current_content").alias("refined_text"))
-        rows = first.join(order, "knowledge_block_id")
-        seq = F.row_number().over(Window.orderBy("day", "_seq", "knowledge_block_id", "place")).cast("long")  # the decisions of one run, which a person reads
+        rows = first.join(order, "knowledge_block_id").orderBy("day", "_seq", "knowledge_block_id", "place")
+        seq = F.monotonically_increasing_id() + 1  # goes up in that order, with gaps between partitions
         return written(rows.withColumn("seq", seq).select("seq", "knowledge_block_id", "target_page", "action", "target_block_id", "confidence", "reasoning", "refined_text", "day"))
 
     def integrate(self, decisions: DataFrame) -> DataFrame:
