@@ -44,6 +44,26 @@ def test_labels_that_are_held_out_and_metadata_change_no_score(spark):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+def test_toxicity_learns_from_all_labels_and_calibrates_on_all(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('plain ', id % 7) AS text", "'en' AS lang")
+    rows = toxicity.learned(docs, docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 4 = 0 AS INT) AS toxic"))
+    assert {r["doc_id"] for r in rows.select("doc_id").collect()} == {i for i in range(20_000) if part_of(i) != 1}
+    random = np.random.default_rng(3)
+    z, y = random.normal(0, 3, 5000), random.random(5000) < 0.3
+    bins = toxicity.as_arrays(toxicity.binned(spark.createDataFrame([("en", int(b), float(a)) for a, b in zip(z, y, strict=True)], "lang string, toxic int, z double")).toArrow())
+    f1 = lambda cut: 2 * (y & (z >= cut)).sum() / ((z >= cut).sum() + y.sum())
+    assert bins[2].sum() == (~y).sum() and bins[3].sum() == y.sum()
+    assert f1(toxicity.best_cut(*bins)) >= max(map(f1, z)) - 1e-3
+
+
+def test_nets_of_many_trainers_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 500)
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('plain words ', id % 7, if(id % 4 = 0, ' awful', '')) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, labels).collect()}
+    assert got == {i: int(i % 4 == 0) for i in range(600)}
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = X.frame(spark)
     twice = docs.union(docs.limit(5))
