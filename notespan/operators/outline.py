@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +80,31 @@ def parse(text: str | None, strict: bool = False) -> dict:
     return {"indent": unit, "frontmatter": front, "blocks": blocks}
 
 
+#: Characters of text that are parsed at once: what a worker holds follows these, not the rows of a batch.
+PIECE = 1 << 18
+
+
+def in_pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in pieces of about so many bytes of a text column, of one row at least; an empty batch as it is."""
+    if not batch.num_rows:
+        yield batch
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    row = 0
+    while row < batch.num_rows:
+        before = ends[row - 1] if row else 0
+        to = max(row + 1, int(ends.searchsorted(before + size, "right")))
+        yield batch.slice(row, to - row)
+        row = to
+
+
 def parsed(pages: DataFrame, page: str = "page", text: str = "text", strict: bool = False) -> DataFrame:
     """page, indent, frontmatter, blocks: one row for each row of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [parse(t, strict) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array([o["indent"] for o in out], pa.string()), pa.array([o["frontmatter"] for o in out], pa.list_(pa.string())), pa.array([o["blocks"] for o in out], pa.list_(BLOCK))], names=["page", "indent", "frontmatter", "blocks"])
+            for own in in_pieces(batch, "text"):
+                out = [parse(t, strict) for t in own.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column("page"), pa.array([o["indent"] for o in out], pa.string()), pa.array([o["frontmatter"] for o in out], pa.list_(pa.string())), pa.array([o["blocks"] for o in out], pa.list_(BLOCK))], names=["page", "indent", "frontmatter", "blocks"])
 
     return pages.select(F.col(page).cast("string").alias("page"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

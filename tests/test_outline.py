@@ -1,6 +1,7 @@
 import hashlib
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,35 @@ def test_small_functions(spark):
     assert [(x[0], x[1]) for x in r["l"]] == [("A", "1"), ("B", "2")]
     assert (r["s"], r["k"], r["m"]) == ("a", "sk-12345...cdef", "3.0 GB")
     assert r["p"] == "[A](((1))), [B](((2)))"  # a repeat adds nothing
+
+
+def test_batches_are_parsed_in_pieces():
+
+    texts = ["x" * 10] * 20 + [None, "", "y" * 500, "z"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["page", "text"])
+    own = list(outline.in_pieces(batch, "text", 40))
+    assert [x for p in own for x in p.column("text").to_pylist()] == texts and [x for p in own for x in p.column("page").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= 40 for p in own)
+    assert [p.num_rows for p in outline.in_pieces(batch.slice(0, 0), "text", 40)] == [0]
+
+
+def test_a_worker_holds_pieces_of_a_batch_at_a_time(spark, monkeypatch):  # spark: expressions need a session
+    """A batch of 3,000 texts leaves the parser as batches of few."""
+    seen = []
+    texts = pa_batch(3000)
+    monkeypatch.setattr(outline, "parse", lambda t, strict=False: seen.append(t) or {"indent": "  ", "frontmatter": [], "blocks": []})
+
+    class Pages:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run(iter([texts]))
+
+    first = next(iter(outline.parsed(Pages())))
+    assert 0 < len(seen) == first.num_rows < 3000
+
+
+def pa_batch(n):
+
+    return pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(n)]), pa.array(["- " + "w" * 1000] * n)], names=["page", "text"])
