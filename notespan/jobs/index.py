@@ -167,7 +167,7 @@ def has_rows(spark: SparkSession, index: str) -> bool:
 def encoder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries over all documents as rows of an index, by counts of words; each item reads only the cells that can hold one of its best."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null")
-    rows = written(models.encoded(d.select(F.coalesce("source", F.lit("")).alias("page"), F.col("doc_id").cast("string").alias("block_id"), F.col("text").alias("document")), models.word_counts))
+    rows = written(models.encoded(d.select(F.coalesce("source", F.lit("")).alias("page"), F.col("doc_id").cast("string").alias("block_id"), F.col("text").alias("document")), models.word_counts).withColumn("document", F.lit(None).cast("string")))  # results have no text
     cells = fitted(rows)
     base = work_folder(spark)
     dealt(rows, cells).hint("rebalance", "cell").write.partitionBy("cell").parquet(base)

@@ -25,8 +25,15 @@ from notespan.sources.work import written
 
 #: Rows that the quantiser is fitted on, by hash; most cells; steps of the fit; cells that a query meets first.
 SAMPLE, CELLS, STEPS, PROBES = 10_000, 256, 6, 4
-#: Bytes of queries that are sent to every task; more go in blocks of so many.
-QUERY_BYTES = 8 << 20
+#: Bytes of queries that are sent to every task; more go in blocks of so many. Rows that a worker compares at once.
+QUERY_BYTES, ROWS = 8 << 20, 1024
+
+
+def in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in steps of ROWS rows at most: what a worker holds follows these."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -91,7 +98,7 @@ def dealt(rows: DataFrame, cells: Cells) -> DataFrame:
     schema, names = rows.schema.simpleString()[len("struct<") : -1], rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches):
             cell, near = cells.dealt(matrix(batch.column("embedding"))) if batch.num_rows else (np.empty(0), np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near.astype(np.float64))], names=[*names, "cell", "near"])
 
@@ -115,7 +122,7 @@ def nearest(rows: DataFrame, queries: np.ndarray, wanted: np.ndarray | None, n:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
-        for batch in batches:
+        for batch in in_steps(batches):
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("embedding"))

@@ -184,3 +184,14 @@ def test_search_of_odd_rows(spark):
     ties = models.encoded(spark.createDataFrame([(random.Random(i).choice("ab"), str(i), "same") for i in range(50)], "page string, block_id string, document string").repartition(9))
     best = [(r["page"], r["block_id"]) for r in index.search(ties, spark.createDataFrame([(1, "same")], "query_id int, text string"), 4).orderBy("rank").collect()]
     assert best == sorted((random.Random(i).choice("ab"), str(i)) for i in range(50))[:4]
+
+
+def test_cells_go_through_a_batch_in_steps():
+    import pyarrow as pa
+
+    from notespan.operators import cells
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3 * cells.ROWS + 5))], names=["n"])
+    own = list(cells.in_steps(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in own] == [cells.ROWS] * 3 + [5, 0]
+    assert [x for b in own for x in b.column("n").to_pylist()] == list(range(3 * cells.ROWS + 5))
