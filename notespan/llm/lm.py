@@ -20,6 +20,7 @@ Null and empty texts have the end as their only token. No documents: no rows.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,10 @@ TRAIN_STRETCH = 256
 RATE, CLIP = 1.2e-2, 1.0
 #: How many trained models are averaged at once.
 FAN_IN = 16
+#: Bytes of freed memory that a worker keeps at the end of its heap: a window's arrays are freed and asked for again at every step, and getting their pages anew from the system costs as much as the arithmetic.
+KEEP_BYTES = 16 << 20
+if hasattr(ctypes.CDLL(None), "mallopt"):  # of the GNU C library; -1 names the size above which the heap's end goes back
+    ctypes.CDLL(None).mallopt(-1, KEEP_BYTES)
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -76,40 +81,43 @@ class Network:
         return net
 
     def forward(self, inputs: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """States after each input, steps x lanes; reset: where a document begins. With keep, also the states before, gates, candidates and what the reset gate weighs."""
-        n, size = 2 * HIDDEN, len(inputs) if keep else 1
+        """States after each input, steps x lanes; reset: where a document begins. With keep, also the states before, both gates (gates x steps x lanes), candidates and what the reset gate weighs."""
+        size, n = len(inputs) if keep else 1, inputs.shape[1]
         states = np.empty((*inputs.shape, HIDDEN), np.float32)
-        before, new, inner = (np.empty((size, inputs.shape[1], HIDDEN), np.float32) for _ in range(3))
-        gates = np.empty((size, inputs.shape[1], n), np.float32)
-        into, begins = self.x[inputs], reset.any(axis=1).tolist()
-        into += self.b
-        for t in range(len(inputs)):
-            if begins[t]:
-                h = np.where(reset[t][:, None], np.float32(0), h)
-            k = t if keep else 0
-            a, g, gate, candidate = h @ self.u, into[t], gates[k], new[k]
-            np.add(a[:, :n], g[:, :n], out=gate)
-            gate *= np.float32(0.5)  # the logistic function of a number from the tanh of its half
-            np.tanh(gate, out=gate)
-            gate += 1
-            gate *= np.float32(0.5)
-            np.multiply(a[:, n:], gate[:, :HIDDEN], out=candidate)
-            candidate += g[:, n:]
-            np.tanh(candidate, out=candidate)
-            if keep:
-                before[k], inner[k] = h, a[:, n:]
-            out = states[t]
-            np.subtract(h, candidate, out=out)
-            out *= gate[:, HIDDEN:]
-            out += candidate
-            h = out
-        return states, (before, gates, new, inner)
+        before, new = (np.empty((size, n, HIDDEN), np.float32) for _ in range(2))
+        gates, g, a = np.empty((2, size, n, HIDDEN), np.float32), np.empty((3, n, HIDDEN), np.float32), np.empty((3, size, n, HIDDEN), np.float32)
+        # By gate, so that what a step works on lies end to end; the gates' signs are turned for the exponential.
+        x, u, begins = by_gate(self.x + self.b), by_gate(self.u), reset.any(axis=1).tolist()
+        np.negative(x[:2], out=x[:2])
+        np.negative(u[:2], out=u[:2])
+        with np.errstate(over="ignore"):  # the exponential may be infinite: the gate is 0
+            for t in range(len(inputs)):
+                if begins[t]:
+                    h = np.where(reset[t][:, None], np.float32(0), h)
+                k = t if keep else 0
+                gate, candidate, inner = gates[:, k], new[k], a[2, k]
+                np.matmul(h, u, out=a[:, k])
+                np.take(x, inputs[t], axis=1, out=g, mode="clip")
+                np.add(a[:2, k], g[:2], out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(inner, gate[0], out=candidate)
+                candidate += g[2]
+                np.tanh(candidate, out=candidate)
+                if keep:
+                    before[k] = h
+                out = states[t]
+                np.subtract(h, candidate, out=out)
+                out *= gate[1]
+                out += candidate
+                h = out
+        return states, (before, gates, new, a[2])
 
     def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of targets by class, and where each class begins in it (one more at the end)."""
-        cls = targets // MEMBERS
-        order = np.argsort(cls, kind="stable")
-        return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cls = (targets // MEMBERS).astype(np.uint8)  # few bytes are sorted by radix
+        return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
 
     def members(self, states: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """What each state, in the order of the target's class, gives the members of that class."""
@@ -122,9 +130,11 @@ class Network:
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's probability."""
-        out = log_softmax_at(states @ self.wc + self.bc, targets // MEMBERS)
+        x = states @ self.wc
+        x += self.bc
+        out = log_softmax_at(x, targets // MEMBERS)
         order, cuts = self.by_class(targets)
-        out[order] += log_softmax_at(self.members(states[order], cuts), (targets % MEMBERS)[order])
+        out[order] += log_softmax_at(self.members(np.take(states, order, axis=0), cuts), (targets % MEMBERS)[order])
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, reset: np.ndarray, used: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -132,60 +142,94 @@ class Network:
         grad = Network(np.zeros(self.size(), np.float32))
         states, (before, gates, new, inner) = self.forward(inputs, reset, h, keep=True)
         order, cuts = self.by_class(targets.ravel())
-        y, use, flat = targets.ravel()[order], used.ravel()[order], states.reshape(-1, HIDDEN)[order]
+        y, use, flat = targets.ravel()[order], used.ravel()[order], np.take(states.reshape(-1, HIDDEN), order, axis=0)
         rows, cls = np.arange(len(y)), y // MEMBERS
-        p, q = softmax(flat @ self.wc + self.bc), softmax(self.members(flat, cuts))
-        loss = -np.log(p[rows, cls] * q[rows, y % MEMBERS] + 1e-30)[use].sum()
-        p[rows, cls] -= 1
-        q[rows, y % MEMBERS] -= 1
+        p = flat @ self.wc
+        p += self.bc
+        p, q = softmax(p), softmax(self.members(flat, cuts))
+        at, member = p[rows, cls], q[rows, y % MEMBERS]
+        loss = -np.log(at * member + 1e-30)[use].sum()
+        p[rows, cls], q[rows, y % MEMBERS] = at - 1, member - 1
         if not use.all():
             p[~use] = q[~use] = 0
-        grad.wc[:], grad.bc[:] = flat.T @ p, p.sum(axis=0)
-        back = p @ self.wc.T
+        ones = np.ones(len(y), np.float32)
+        grad.wc[:], grad.bc[:] = flat.T @ p, ones @ p
+        back, up = p @ self.wc.T, np.ascontiguousarray(self.wi.swapaxes(1, 2))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[c], cuts[c + 1])
-            grad.wi[c], grad.bi[c] = flat[own].T @ q[own], q[own].sum(axis=0)
-            back[own] += q[own] @ self.wi[c].T
-        behind = np.empty_like(back)
-        behind[order] = back
-        behind = behind.reshape(states.shape)
-        # Each step's slopes are the state's slope times factors that don't depend on it.
-        r, z = gates[..., :HIDDEN], gates[..., HIDDEN:]
-        to_new = (1 - z) * (1 - new * new)
-        factors = np.stack([to_new * inner * r * (1 - r), (before - new) * z * (1 - z), to_new * r], axis=2)
-        d_a, d_h, up = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(self.u.T)
-        dh, begins = np.zeros_like(states[0]), reset.any(axis=1).tolist()
+            f, e = flat[own], q[own]
+            np.matmul(f.T, e, out=grad.wi[c])
+            np.matmul(ones[own], e, out=grad.bi[c])
+            back[own] += e @ up[c]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        behind = np.take(back, place, axis=0).reshape(states.shape)
+        # d_a: the slopes of each gate; d_new: those of what the candidate's tanh is taken of.
+        d_a, d_new = np.empty((3, *states.shape), np.float32), np.empty_like(states)
+        up, begins = np.ascontiguousarray(by_gate(self.u).swapaxes(1, 2)), reset.any(axis=1).tolist()
+        dh, rest, sent = np.zeros_like(states[0]), np.empty_like(states[0]), np.empty((3, *states[0].shape), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
+            r, z, n, d, own = gates[0, t], gates[1, t], new[t], d_a[:, t], d_new[t]
             dh += behind[t]
-            d_h[t] = dh
-            np.multiply(factors[t], dh[:, None], out=d_a[t])
-            dh = dh * z[t] + d_a[t].reshape(len(dh), -1) @ up
+            np.multiply(n, n, out=own)
+            np.subtract(1, own, out=own)
+            np.subtract(1, z, out=rest)
+            own *= rest
+            own *= dh
+            np.multiply(own, r, out=d[2])
+            np.subtract(before[t], n, out=d[1])
+            d[1] *= rest
+            dh *= z
+            d[1] *= dh
+            np.subtract(1, r, out=rest)
+            np.multiply(d[2], rest, out=d[0])
+            d[0] *= inner[t]
+            np.matmul(d, up, out=sent)
+            for x in sent:
+                dh += x
             if begins[t]:
                 dh[reset[t]] = 0
-        into = d_a.reshape(-1, 3 * HIDDEN)
-        grad.u[:] = before.reshape(-1, HIDDEN).T @ into
-        into[:, 2 * HIDDEN :] = (to_new * d_h).reshape(-1, HIDDEN)
-        grad.b[:] = into.sum(axis=0)
-        order = np.argsort(inputs, axis=None, kind="stable")
-        own = inputs.ravel()[order]
+        into, old = d_a.reshape(3, -1, HIDDEN), before.reshape(-1, HIDDEN)
+        order = np.argsort(inputs.astype(np.uint16), axis=None, kind="stable")
+        own, rows = inputs.ravel()[order], grad.x.reshape(-1, 3, HIDDEN)
         begin = np.flatnonzero(np.diff(own, prepend=-1))
-        grad.x[own[begin]] = np.add.reduceat(into[order], begin)
+        for k, last in enumerate((into[0], into[1], d_new.reshape(-1, HIDDEN))):
+            gate = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            grad.u[:, gate] = old.T @ into[k]
+            grad.b[gate] = ones @ last
+            rows[own[begin], k] = np.add.reduceat(np.take(last, order, axis=0), begin)
         return float(loss), grad.flat, states[-1]
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """Weights of the gates and the candidate, side by side in each row, as one array after the other."""
+    return np.ascontiguousarray(weights.reshape(-1, 3, HIDDEN).swapaxes(0, 1))
+
+
 #: What a symbol or class gets at most before its exponential, so that sums stay finite.
 MOST = np.float32(60)
+#: Rows whose numbers stay in a processor's cache from one step to the next.
+ROWS = 512
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(np.minimum(x, MOST))
-    e /= e.sum(axis=1, keepdims=True) + np.float32(1e-30)
-    return e
+    """The softmax of each row, in the place of x."""
+    ones = np.ones(x.shape[1], np.float32)
+    for at in range(0, len(x), ROWS):
+        own = x[at : at + ROWS]
+        np.exp(np.minimum(own, MOST, out=own), out=own)
+        own *= (1 / (own @ ones + np.float32(1e-30)))[:, None]
+    return x
 
 
 def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = np.minimum(x, MOST)
-    return x[np.arange(len(x)), at].astype(np.float64) - np.log(np.exp(x).sum(axis=1) + np.float32(1e-30))
+    """The logarithm of each row's softmax at one place; x is used up."""
+    own, total, ones = np.minimum(x[np.arange(len(x)), at], MOST).astype(np.float64), np.empty(len(x), np.float32), np.ones(x.shape[1], np.float32)
+    for begin in range(0, len(x), ROWS):
+        some = x[begin : begin + ROWS]
+        np.exp(np.minimum(some, MOST, out=some), out=some)
+        np.matmul(some, ones, out=total[begin : begin + ROWS])
+    return own - np.log(total + np.float32(1e-30))
 
 
 def lanes(lens: np.ndarray, n: int) -> list[list[int]]:

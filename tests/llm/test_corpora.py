@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import resource
 import re
 import zlib
 
@@ -290,6 +291,27 @@ def test_probabilities_sum_to_one_and_windows_carry_the_state():
     assert np.allclose(rest[-1], states[-1])
 
 
+def test_steps_of_training_use_the_memory_of_the_step_before():
+    net = lm.Network.start(np.random.default_rng(0).random(lm.SYMBOLS) * 100)
+    r = np.random.default_rng(1)
+    place = (lm.TRAIN_WINDOW, lm.TRAIN_LANES)
+    given = (r.integers(0, lm.SYMBOLS, place), r.integers(0, lm.SYMBOLS, place), r.random(place) < 0.01, np.ones(place, bool), np.zeros((lm.TRAIN_LANES, lm.HIDDEN), np.float32))
+    for _ in range(3):
+        net.gradient(*given)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(20):
+        net.gradient(*given)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 20 * 60
+
+
+def test_gates_at_both_ends():
+    net = lm.Network.start(np.ones(lm.SYMBOLS))
+    net.x[:, : 2 * lm.HIDDEN] = np.where(np.arange(2 * lm.HIDDEN) % 2, 500, -500)
+    with np.errstate(divide="raise", over="raise", invalid="raise"):
+        states, (_, gates, *_) = net.forward(np.array([[1], [5]]), np.zeros((2, 1), bool), np.full((1, lm.HIDDEN), 0.5, np.float32), keep=True)
+    assert np.isfinite(states).all() and np.allclose(states[..., 1::2], 0.5) and set(gates.ravel().tolist()) == {0, 1}
+
+
 def test_the_network_trains_on_every_learned_document_once(spark):
     dealt = [share.select("doc_id", "trainer").collect() for share in lm.shares(X.frame(spark).where("doc_id is not null"), 3)]
     given = [r["doc_id"] for rows in dealt for r in rows]
