@@ -4,7 +4,7 @@ A model's stream is lines; each gives a piece of text, cut anywhere. Objects are
 reader (depth of braces, inside a string, after a backslash) that goes on where the last piece ended, so
 nested objects and objects over many pieces come out as soon as they close, and only what is still open
 is kept. On a stream, the reader's state is in the state store, by request, with the number of the next
-piece: pieces that come early wait there, and pieces that come again are known by their number, so any
+piece: pieces that come early wait there, BLOCK numbers to a row, and pieces that come again are known by their number, so any
 order, any batches and any replay give the same rows. In a batch the same reader runs over whole texts.
 
 What is between objects is dropped. An outermost object that isn't JSON (braces in prose) is dropped, and
@@ -30,6 +30,10 @@ from notespan.sources.work import work_folder, written
 SPECIAL = re.compile(r'[{}"\\]')
 #: Characters of an open object that are waited for.
 MOST = 1 << 20
+#: Numbers of pieces that share a row of the state while they wait: a call of the store for each piece takes longer than all else.
+BLOCK = 256
+#: Characters of conversations that one file of streamed lines has; each file is a task of its batch.
+FILE_CHARS = 4 << 20
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -124,24 +128,58 @@ class Decoder(StatefulProcessor):
     """A reader for each request, in the state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reader = handle.getValueState("reader", "open string, at int, depth int, inside boolean, escaped boolean, place long, next long")
-        self.early = handle.getMapState("early", "seq long", "piece string, done boolean")
+        self.reader = handle.getValueState("reader", "open string, at int, depth int, inside boolean, escaped boolean, place long, next long, blocks array<bigint>")
+        self.early = handle.getMapState("early", "block long", "pieces string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         kept = self.reader.get() if self.reader.exists() else None
         reader = Reader(*kept[:5]) if kept else Reader()
-        place, after = (kept[5], kept[6]) if kept else (0, 0)
+        place, after, blocks = (kept[5], kept[6], set(kept[7])) if kept else (0, 0, set())
+        here: dict[int, tuple[str, bool]] = {}
+        held = 0
         for row in rows:
-            if row.seq >= after:
-                self.early.updateValue((row.seq,), (row.piece or "", bool(row.done)))
-        while self.early.containsKey((after,)):
-            piece, done = self.early.getValue((after,))
-            self.early.removeKey((after,))
-            after += 1
-            for found in reader.feed(piece) + (reader.end() if done else []):
-                yield Row(request=key[0], place=place, json=found)
-                place += 1
-        self.reader.update((reader.open, reader.at, reader.depth, reader.inside, reader.escaped, place, after))
+            if row.seq < after:
+                continue
+            here[row.seq] = (row.piece or "", bool(row.done))
+            held += len(here[row.seq][0]) + 1
+            if row.seq > after:
+                if held > MOST:
+                    self.put_by(here, blocks)
+                    held = 0
+                continue
+            while True:
+                if after // BLOCK in blocks:  # also where the piece is here: it may have come before
+                    here = self.taken(after // BLOCK, blocks) | here
+                if after not in here:
+                    break
+                piece, done = here.pop(after)
+                held = max(0, held - len(piece) - 1)
+                after += 1
+                for found in reader.feed(piece) + (reader.end() if done else []):
+                    yield Row(request=key[0], place=place, json=found)
+                    place += 1
+        self.put_by(here, blocks)
+        self.reader.update((reader.open, reader.at, reader.depth, reader.inside, reader.escaped, place, after, sorted(blocks)))
+
+    def put_by(self, here: dict[int, tuple[str, bool]], blocks: set[int]) -> None:
+        """Moves pieces to the state, where BLOCK numbers share a row."""
+        by_block: dict[int, dict[int, tuple[str, bool]]] = {}
+        for seq, x in here.items():
+            by_block.setdefault(seq // BLOCK, {})[seq] = x
+        here.clear()
+        for block, own in by_block.items():
+            if block in blocks:
+                own = self.taken(block, blocks, keep=True) | own
+            self.early.updateValue((block,), (json.dumps([(seq, *x) for seq, x in own.items()]),))
+            blocks.add(block)
+
+    def taken(self, block: int, blocks: set[int], keep: bool = False) -> dict[int, tuple[str, bool]]:
+        """The pieces of a block, which leave the state unless they are kept."""
+        found = {seq: (piece, done) for seq, piece, done in json.loads(self.early.getValue((block,))[0])}
+        if not keep:
+            self.early.removeKey((block,))
+            blocks.discard(block)
+        return found
 
     def close(self) -> None:
         pass
@@ -171,17 +209,20 @@ def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.struct(F.col("turn").cast("string").alias("block_id"), F.struct("role", F.struct(F.col("turn").alias("n"), F.lit("} \\ {").alias("mark")).alias("deep")).alias("meta"), F.coalesce("text", F.lit("")).alias("text"))
     own = c.groupBy(F.col("conv_id").cast("string").alias("request")).agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.to_json(turn).alias("x")))).alias("xs"))
     text = F.concat(F.lit("Here is {what I found}, {as asked:\n["), F.array_join(F.transform("xs", lambda x: x["x"]), ",\n"), F.lit("]"))
-    cut = own.withColumn("t", text).select("request", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 61).cast("int")), lambda i: F.substring(F.col("t"), i * 61 + 1, F.lit(61)))).alias("seq", "piece"))
+    own = own.withColumn("t", text)
+    cut = own.select("request", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 61).cast("int")), lambda i: F.substring(F.col("t"), i * 61 + 1, F.lit(61)))).alias("seq", "piece"))
     line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices"))))
-    ends = cut.groupBy("request").agg((F.max("seq") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
-    return cut.select("request", F.col("seq").cast("long"), line.alias("line")).unionByName(ends.withColumn("seq", F.col("seq").cast("long")))
+    ends = own.select("request", (F.floor((F.length("t") - 1) / 61) + 1).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line"))
+    return cut.select("request", F.col("seq").cast("long"), line.alias("line")).unionByName(ends)
 
 
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of streamed answers, decoded over four batches that the pieces fall into by hash, out of order."""
     base = work_folder(spark)
-    written(answer_lines(spark, sf_dir).repartition(4, F.xxhash64("request", "seq") % 64).sortWithinPartitions(F.xxhash64("seq")), f"{base}/lines")
-    rows = decoded_files(spark, f"{base}/lines", "block_id string, meta struct<role: string, deep: struct<n: int, mark: string>>, text string", f"{base}/out", f"{base}/checkpoint")
+    chars = spark.read.parquet(f"{sf_dir}/conversations.parquet").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    files = max(1, -(-chars // (4 * FILE_CHARS)))
+    written(answer_lines(spark, sf_dir).repartition(4 * files, F.xxhash64("request", "seq")).sortWithinPartitions(F.xxhash64("seq")), f"{base}/lines")
+    rows = decoded_files(spark, f"{base}/lines", "block_id string, meta struct<role: string, deep: struct<n: int, mark: string>>, text string", f"{base}/out", f"{base}/checkpoint", files)
     return rows.select("request", "place", "block_id", F.col("meta.role").alias("role"), F.col("meta.deep.n").cast("long").alias("n"), F.col("meta.deep.mark").alias("mark"), F.md5("text").alias("text_md5"))
 
 

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from notespan.jobs import extraction
@@ -67,6 +68,54 @@ def test_any_batches_order_and_replay_of_a_stream(spark, tmp_path, files):
     assert read() == want  # nothing new: nothing twice
 
 
+class Store:
+    """What the decoder asks of one key's state, and how often."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def counted(result):
+        def call(self, *given):
+            self.calls += 1
+            return result(self, *given)
+
+        return call
+
+    exists = counted(lambda self: self.value is not None)
+    get = counted(lambda self: self.value)
+    update = counted(lambda self, value: setattr(self, "value", value))
+    containsKey = counted(lambda self, key: key in self.rows)
+    getValue = counted(lambda self, key: self.rows[key])
+    updateValue = counted(lambda self, key, value: self.rows.update({key: value}))
+    removeKey = counted(lambda self, key: self.rows.pop(key))
+
+
+@pytest.mark.parametrize("block, most", [(256, 1 << 20), (3, 400), (1, 400)])
+def test_calls_of_the_store_are_by_block_and_not_by_piece(monkeypatch, block, most):
+    monkeypatch.setattr(answers, "BLOCK", block, raising=False)
+    text = "{ " + TEXT * 3
+    rows = [Row(seq=i, piece=text[2 * i : 2 * i + 2], done=False) for i in range(len(text) // 2 + 1)]
+    rows.append(Row(seq=len(rows), piece=None, done=True))
+    monkeypatch.setattr(answers, "MOST", most)
+    reader = answers.Reader()
+    want = [found for row in rows for found in reader.feed(row.piece or "")] + reader.end()
+    shuffled = rows[:]
+    random.Random(block).shuffle(shuffled)
+    store, found = Store(), []
+    decoder = answers.Decoder()
+    decoder.init(store)
+    for i in range(4):
+        found += list(decoder.handleInputRows(("r",), iter(shuffled[i::4] + shuffled[:5]), None))
+    assert [r["place"] for r in found] == list(range(len(found))) and not store.rows
+    assert [r["json"] for r in found] == want
+    assert block < 256 or store.calls < len(rows) / 8
+
+
 def test_pieces_of_lines(spark):
     lines = spark.createDataFrame([("r", 0, 'data: {"choices": [{"delta": {"content": "x"}}]}'), ("r", 1, "data: [DONE]"), ("r", 2, ""), ("r", 3, "plain"), ("r", 4, None), ("r", 5, '{"done": true}')], "request string, seq int, line string")
     assert [(r["piece"], r["done"]) for r in answers.pieces(lines).orderBy("seq").collect()] == [("x", False), ("", True), ("\n", False), ("plain\n", False), ("\n", False), ("", True)]
