@@ -202,17 +202,23 @@ SELECT page, CAST(len(lines) AS INT), CASE WHEN done_as = 'add_under' THEN 1 ELS
 APPLY_MERGE = MERGED + "SELECT * FROM m"
 
 
-def merged_pages(outlines: DataFrame, tree: DataFrame, todo: DataFrame) -> DataFrame:
-    """page, text and whether it changed, of all pages after the decisions."""
-    new = outline.rendered(merge.regrouped(outlines, merge.merged(tree, merge.resolved(todo, tree))))
-    old = outline.rendered(outlines).select("page", F.col("text").alias("_old"))
-    return new.join(old, "page").select("page", "text", (~F.col("text").eqNullSafe(F.col("_old"))).alias("changed"))
+def names(pages: DataFrame) -> DataFrame:
+    """What decisions about pages (page, text) are resolved with: page, seq, block_id and hybrid_id of their blocks, written without contents."""
+    return written(merge.tree(outline.parsed(pages)).select("page", "seq", "block_id", "hybrid_id"))
+
+
+def merged_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page, text and whether it changed, of those pages (page, text) that decisions name, after them."""
+    text = outline.file_text()
+    return merge.applied(outline.parsed(pages), found).select("page", text.alias("text"), (~text.eqNullSafe(outline.file_text("before"))).alias("changed"))
 
 
 def merge_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the pages that a merge changes."""
-    outlines, tree = trees(spark, sf_dir)
-    return merged_pages(outlines, tree, decisions(spark, sf_dir, tree)).where("changed").select("page", F.md5("text").alias("text_md5"))
+    pages = documents(spark, sf_dir).select("page", "text")
+    rows = names(pages)
+    found = merge.resolved(written(decisions(spark, sf_dir, rows)), rows)
+    return merged_pages(pages, found).where("changed").select("page", F.md5("text").alias("text_md5"))
 
 
 MERGE_RENDER = MERGED + """
@@ -259,12 +265,13 @@ SELECT 'k' || doc_id AS knowledge_block_id, done_as, new_id, CASE WHEN action =
 
 def idempotent_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second run of the same decisions finds, in the pages that the first run wrote, and whether it changes a page."""
-    outlines, tree = trees(spark, sf_dir)
-    todo = decisions(spark, sf_dir, tree)
-    again = written(outline.parsed(merged_pages(outlines, tree, todo)))
-    rows = written(merge.tree(again))
-    second = merged_pages(again, rows, todo).select(F.col("page").alias("target_page"), "changed")
-    return merge.resolved(todo, rows).join(second, "target_page").select("target_page", "knowledge_block_id", "done_as", "changed")
+    pages = documents(spark, sf_dir).select("page", "text")
+    rows = names(pages)
+    todo = written(decisions(spark, sf_dir, rows))
+    again = written(merged_pages(pages, merge.resolved(todo, rows)).select("page", "text"))
+    found = written(merge.resolved(todo, names(again)))
+    second = merged_pages(again, found).select(F.col("page").alias("target_page"), "changed")
+    return found.join(second, "target_page").select("target_page", "knowledge_block_id", "done_as", "changed")
 
 
 IDEMPOTENT_PROBE = DECISIONS + "SELECT page AS target_page, 'k' || doc_id AS knowledge_block_id, CASE WHEN done_as = 'invalid' THEN done_as ELSE 'done' END AS done_as, false AS changed FROM u"

@@ -103,6 +103,38 @@ def regrouped(outlines: DataFrame, rows: DataFrame) -> DataFrame:
     return outlines.join(new, "page", "left").select("page", "indent", "frontmatter", F.coalesce("_blocks", F.array().cast("array<struct<seq:int,level:int,content:array<string>>>")).alias("blocks"))
 
 
+def applied(outlines: DataFrame, found: DataFrame) -> DataFrame:
+    """The outlines of the pages that the decisions of resolved() name, after them: page, indent, frontmatter, blocks as regrouped() has them, and before, the blocks as they were.
+
+    The blocks are those of merged(), but a page's stay in its row and its decisions come to them: pages travel once, and their blocks never as rows. A
+    decision stands among the blocks at its place: a change just before what it changes, an addition after what it is added to.
+    """
+    edit = F.struct("done_as", "target_seq", F.col("seq").cast("long").alias("turn"), F.col("new_id").alias("id"), F.split("refined_text", "\n").alias("lines"))
+    edits = found.groupBy(F.col("target_page").alias("page")).agg(F.collect_list(F.when(F.col("done_as").isin("replace", "skip_exists", "add_under", "add_section"), edit)).alias("_edits"))
+    # The second field puts what has the same place in order: changes that keep the text, replacements, the block itself, additions.
+    fields = lambda place, kind, turn, id, level, lines: F.struct(place.cast("double").alias("place"), kind.alias("kind"), turn.alias("turn"), id.alias("id"), level.alias("level"), lines.alias("lines"))
+    old = F.transform("before", lambda b, i: fields(i, F.lit(2), F.lit(0).cast("long"), b["block_id"], b["level"], b["content"]))
+
+    def placed(e: Column) -> Column:
+        at, is_new, under = F.get("before", e["target_seq"]), e["done_as"].startswith("add_"), e["done_as"] == "add_under"
+        place = F.when(under, at["last"] + 0.5).when(is_new, F.lit(float("inf"))).otherwise(e["target_seq"])
+        kind = F.when(is_new, 3).when(e["done_as"] == "replace", 1).otherwise(0)
+        lines = F.when(is_new, F.concat(e["lines"], F.array(id_line(e["id"])))).when(kind == 1, e["lines"])
+        return fields(place, kind, e["turn"], e["id"], F.when(under, at["level"] + 1).otherwise(0), lines)
+
+    short = F.transform("blocks", lambda b: F.struct(b["level"].alias("level"), b["content"].alias("content"), b["block_id"].alias("block_id"), b["last"].alias("last")))
+    rows = outlines.select("page", "indent", "frontmatter", short.alias("before")).join(edits, "page")
+    rows = rows.withColumn("_all", F.array_sort(F.concat(old, F.transform("_edits", placed))))
+
+    def after(x: Column, i: Column) -> Column:
+        change = F.get("_all", i - 1)
+        content = F.when((x["kind"] == 2) & (change["kind"] < 2), edited(x["lines"], x["id"], F.struct(change["lines"].alias("lines"), change["id"].alias("new_id")))).otherwise(x["lines"])
+        return F.when(x["kind"] >= 2, F.struct(x["level"].alias("level"), content.alias("content")))
+
+    kept = F.filter(F.transform("_all", after), lambda x: x.isNotNull())
+    return rows.select("page", "indent", "frontmatter", F.transform(kept, lambda x, i: F.struct(i.alias("seq"), x["level"].alias("level"), x["content"].alias("content"))).alias("blocks"), "before")
+
+
 def with_provenance(outlines: DataFrame, written: DataFrame) -> DataFrame:
     """Journals with links to what their blocks became: written has knowledge_block_id, target_page, new_id and seq. A link that is there isn't added again.
 

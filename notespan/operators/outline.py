@@ -141,8 +141,8 @@ def contexts(outlines: DataFrame, hash_pages: bool = True) -> DataFrame:
     return rows.select("page", "b.seq", "b.parent", "b.depth", "b.level", "b.content", "b.block_id", "b.last", "context", own_id.alias("hybrid_id"), for_model(F.col("context"), F.col("frontmatter")).alias("clean"))
 
 
-def rendered(outlines: DataFrame) -> DataFrame:
-    """page, text: the frontmatter and all blocks at their textual level; empty lines at the end of a block are dropped."""
+def file_text(blocks: str = "blocks") -> Column:
+    """A file's text from its indent, its frontmatter and a column of blocks at their textual level; empty lines at the end of a block are dropped."""
 
     def lines(b: Column) -> Column:
         space = F.repeat(F.col("indent"), b["level"])
@@ -153,7 +153,12 @@ def rendered(outlines: DataFrame) -> DataFrame:
         more = F.transform(F.slice(b["content"], F.lit(2), size - 1), lambda x: F.when(x.startswith(MARK), F.concat(F.substring(under, F.lit(1), F.length(under) - less(x)), unmarked(x))).otherwise(F.concat(under, x)))
         return F.concat(F.array(F.concat(space, F.when(first == "", "-").otherwise(F.concat(F.lit("- "), first)))), more)
 
-    return outlines.select("page", F.array_join(F.concat("frontmatter", F.flatten(F.transform("blocks", lines))), "\n").alias("text"))
+    return F.array_join(F.concat("frontmatter", F.flatten(F.transform(blocks, lines))), "\n")
+
+
+def rendered(outlines: DataFrame) -> DataFrame:
+    """page, text: the frontmatter and all blocks, see file_text()."""
+    return outlines.select("page", file_text().alias("text"))
 
 
 def without_covered(blocks: DataFrame, selected: DataFrame) -> DataFrame:

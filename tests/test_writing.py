@@ -175,3 +175,41 @@ def test_titles_of_odd_contexts(spark):
     given = ["- - x", "\t- - \t y", "", None, "\n \n- z" + "w" * 60, "---"]
     rows = spark.createDataFrame(list(enumerate(given)), "n int, t string").select("n", C.block_title(F.col("t")).alias("x")).orderBy("n").collect()
     assert [r["x"] for r in rows] == ["x", "y", "Unknown block", None, "z" + "w" * 46 + "...", ""]
+
+
+def test_pages_after_decisions_are_those_of_their_rows(spark):
+    """applied() against merged() and regrouped(): every action, several of one block, ends of pages, pages without blocks, decisions or edits."""
+    deep = "f:: x\n- a\n  p:: 1\n  - b\n    id:: own\n    - c\n  - d\n- a2\n-"
+    pages = spark.createDataFrame([(p, deep) for p in "PQR"] + [("blank", ""), ("front", "only:: this"), ("none", "- alone")], "page string, text string")
+    outlines = outline.parsed(pages)
+    tree = merge.tree(outlines)
+    ids = {(r["page"], r["content"][0]): r["hybrid_id"] for r in tree.collect()}
+    rows, n = [], 0
+    for p in "PQ":
+        for target in ("a", "own", "c", "d", "a2", "", "gone"):
+            for action in ("skip_exists", "replace", "add_under", "replace", "skip_exists", "add_under", "add_section"):
+                n += 1
+                rows.append((f"k{n % 5}", 1000 - n if p == "Q" else n, p, action, ids.get((p, target), target), f"t{n}\nq:: {n}"))
+    rows += [("k", 2000, "R", "replace", "gone", "x"), ("k", 2001, "blank", "add_section", None, "x"), ("k", 2002, "front", "add_under", "gone", "y\n"), ("k", 2003, "absent", "add_section", None, "z")]
+    found = merge.resolved(todo(spark, *rows), tree)
+    shown = lambda o: {r["page"]: (r["indent"], r["frontmatter"], r["blocks"]) for r in o.collect()}
+    whole, own = shown(merge.regrouped(outlines, merge.merged(tree, found))), merge.applied(outlines, found)
+    assert shown(own) == {p: whole[p] for p in ("P", "Q", "R", "blank", "front")} and len(whole["P"][2]) > 20
+    assert {r["page"]: [b["content"] for b in r["before"]] for r in own.collect()}["R"] == [b["content"] for b in whole["R"][2]]
+    assert whole["none"][2] and {r["page"]: r["text"] for r in outline.rendered(own).collect()}["front"].startswith("only:: this\n- y\n  \n  id:: ")
+
+
+def test_a_second_run_keeps_no_blocks_beside_the_pages(spark):
+    from notespan.jobs import notes as N
+
+    local = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    work = os.path.dirname(N.work_folder(spark)).removeprefix("file:")
+
+    def kept():
+        files = [os.path.join(d, x) for top in (work, *local) for d, _, names in os.walk(top) for x in names if x.endswith(".parquet") or x.startswith("shuffle_")]
+        return {f: os.path.getsize(f) for f in files}
+
+    before = kept()
+    assert N.idempotent_probe(spark, "/root/testdata/sf0.01").where("changed").count() == 0
+    new = sum(size for f, size in kept().items() if f not in before)
+    assert new < 5 * os.path.getsize("/root/testdata/sf0.01/documents.parquet")
